@@ -89,9 +89,10 @@ def block_totals(
     return materialize(out, "block-totals")
 
 
-def carries(totals: DataFrame, keys: Sequence[str], scan: Scan) -> DataFrame:
-    """The merged state of all earlier blocks, per (keys, block)."""
-    last = totals.agg(F.max("block")).first()[0] or 0
+def carries(totals: DataFrame, keys: Sequence[str], scan: Scan, last: int | None = None) -> DataFrame:
+    """The merged state of all earlier blocks, per (keys, block); ``last`` is the highest block."""
+    if last is None:
+        last = totals.agg(F.max("block")).first()[0] or 0
     if last == 0:
         start = {f.name: F.lit(scan.unit[f.name]).cast(f.dataType) for f in _ddl(scan.state)}
         return totals.withColumns(start)

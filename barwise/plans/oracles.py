@@ -118,11 +118,6 @@ def second_recursion(source: str, name: str) -> str:
       FROM {name} r JOIN {source} d ON d.symbol = r.symbol AND d.i = r.i + 1"""
 
 
-def hull_sum(period: str) -> str:
-    """Hull average at row ``i`` of symbol from the raw closes, by its definition."""
-    return period
-
-
 CTES: dict[str, str] = {
     "bars_h": bars("event_type", "hour"),
     "bars_u": bars("user_id::VARCHAR", "day"),
@@ -529,7 +524,7 @@ _BODIES: dict[str, str] = {
     "cluster_labels": """SELECT symbol, time, round(volatility, 6) AS volatility, volume,
         CASE WHEN volatility > 0.06 AND volume > 5 THEN 'high_vol_high_volume' WHEN volatility > 0.06 THEN 'high_vol_low_volume'
         WHEN volatility <= 0.03 AND volume > 5 THEN 'low_vol_high_volume' ELSE 'low_vol_low_volume' END AS label FROM reg_u""",
-    "atr": f"SELECT symbol, time, {rnd(4, 'atr14', 'atr20')} FROM ind_h",
+    "atr": f"SELECT symbol, time, round(atr14 + 1e-9, 4) AS atr14, round(atr20 + 1e-9, 4) AS atr20 FROM ind_h",
     "rsi": f"SELECT symbol, time, {rnd(4, 'rsi')} FROM ind_h",
     "adx": f"SELECT symbol, time, {rnd(4, 'adx')} FROM ind_h",
     "kama": f"SELECT symbol, time, {rnd(4, 'kama')} FROM ind_h",
@@ -632,7 +627,7 @@ _BODIES: dict[str, str] = {
     "position_book": "SELECT account, symbol, id, is_open, round(position_pnl, 6) AS position_pnl, opened FROM book",
     "open_positions": "SELECT account, symbol, round(position_pnl, 6) AS position_pnl, opened FROM open_u",
     "rolling_var": f"""SELECT account, id, round(CASE WHEN n >= 30 THEN quantile_cont(pnl / {CAPITAL}, 0.05) OVER
-        (ORDER BY n ROWS 99 PRECEDING) ELSE 0 END, 6) AS var FROM t_n""",
+        (ORDER BY n ROWS 99 PRECEDING) ELSE 0 END, 9) AS var FROM t_n""",
     "value_at_risk": """SELECT 'A' AS account, round(var_95, 6) AS var_95, round(expected_shortfall, 6) AS expected_shortfall
         FROM var_a, es_a""",
     "risk_report": """SELECT 'A' AS account, round((SELECT dd FROM dd ORDER BY n DESC LIMIT 1), 6) AS current_drawdown,

@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from barwise import catalog
 from barwise.functions.scalars import feature_key
-from barwise.operators import allocation, bars, events, features, indicators, regimes, risk, signals
+from barwise.operators import (
+    allocation,
+    bars,
+    events,
+    features,
+    hidden_markov,
+    indicators,
+    mixture,
+    regimes,
+    risk,
+    signals,
+)
 from barwise.operators.asof import asof_join
 from barwise.operators.series import BLOCK, block, in_block, number, own_rows
 from barwise.plans import derive as d
@@ -278,7 +289,9 @@ def _indicators(spark, folder):
 
 @rounded(4)
 def atr(spark, folder):
-    return _indicators(spark, folder).select("symbol", "time", "atr14", "atr20")
+    # Means of 20 two-digit values end in exact halves; the nudge makes every engine round them up.
+    nudged = [(F.col(c) + 1e-9).alias(c) for c in ("atr14", "atr20")]
+    return _indicators(spark, folder).select("symbol", "time", *nudged)
 
 
 @rounded(4)
@@ -631,7 +644,7 @@ def open_positions(spark, folder):
     return risk.open_positions(risk.position_book(d.trades(spark, folder)))
 
 
-@query
+@rounded(9)
 def rolling_var(spark, folder):
     return risk.rolling_var(d.trades(spark, folder), CAPITAL).select("account", "id", "var")
 
@@ -777,9 +790,23 @@ def training_export(spark, folder):
 
 @query
 def feature_matrix(spark, folder):
-    from barwise.operators.mixture import feature_matrix as matrix
+    return mixture.feature_matrix(regimes.basic_features(d.bars_hourly(spark, folder)))
+
+
+@rounded(4)
+def volatility_clusters(spark, folder):
+    return mixture.volatility_clusters(regimes.basic_features(d.bars_hourly(spark, folder)))
+
 
-    return matrix(regimes.basic_features(d.bars_hourly(spark, folder)))
+@rounded(4)
+def mixture_regimes(spark, folder):
+    return mixture.mixture_regimes(regimes.basic_features(d.bars_hourly(spark, folder)))
+
+
+@rounded(4)
+def hidden_markov_regimes(spark, folder):
+    table = regimes.basic_features(d.bars_hourly(spark, folder))
+    return hidden_markov.hidden_markov_regimes(table, steps=10)
 
 
 @query
