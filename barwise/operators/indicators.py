@@ -117,12 +117,14 @@ SECOND_NAMES = ["adx", "signal"]
 
 
 def _steps(x: np.ndarray, pos: np.ndarray, at: int, n: int, mean: bool, keep: float, add: float):
-    """(a, b) of a recursive average: nothing before the seed, the seed, then the average."""
-    a = np.where(pos < at, 1.0, np.where(pos == at, 0.0, keep))
-    b = np.where(pos < at, 0.0, x * add)
-    for i in np.flatnonzero(pos == at):
-        seed = x[i - n + 1 : i + 1].sum()
-        b[i] = seed / n if mean else seed
+    """(a, b) of a recursive average seeded at ``at`` from its last ``n`` values.
+
+    The seed is a recurrence too: the values add up to it, so a series may be cut anywhere.
+    """
+    share = 1 / n if mean else 1.0
+    adding = (pos > at - n) & (pos < at)
+    a = np.where(pos < at, 1.0, np.where(pos == at, share, keep))
+    b = np.where(adding, x, np.where(pos < at, 0.0, np.where(pos == at, x * share, x * add)))
     return a, b
 
 

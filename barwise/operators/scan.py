@@ -91,9 +91,11 @@ def block_totals(
 
 def carries(totals: DataFrame, keys: Sequence[str], scan: Scan, last: int | None = None) -> DataFrame:
     """The merged state of all earlier blocks, per (keys, block); ``last`` is the highest block."""
+    first = 0
     if last is None:
-        last = totals.agg(F.max("block")).first()[0] or 0
-    if last == 0:
+        first, last = totals.agg(F.min("block"), F.max("block")).first()
+        first, last = first or 0, last or 0
+    if first == last == 0:
         start = {f.name: F.lit(scan.unit[f.name]).cast(f.dataType) for f in _ddl(scan.state)}
         return totals.withColumns(start)
     levels = 0

@@ -140,6 +140,11 @@ CTES: dict[str, str] = {
     "ev_u": regime_rows("reg_u"),
     "ev_h": regime_rows("reg_h"),
     "ev_i": regime_rows("reg_i"),
+    "flat": """SELECT event_type AS symbol, ts AS time, value AS open, value AS high, value AS low, value AS close,
+        1000 AS volume FROM events""",
+    "flat_feat": features("flat"),
+    "flat_reg": regimes("flat_feat"),
+    "flat_ev": regime_rows("flat_reg"),
     "ticks": """SELECT ts AS time, event_type AS symbol, value AS bid, value + 0.01 * (event_id % 5) AS ask
         FROM events""",
     "trades": """SELECT 'A' AS account, user_id::VARCHAR AS symbol, ts, event_id AS id,
@@ -686,6 +691,43 @@ _BODIES: dict[str, str] = {
         FROM nnfx_h WHERE time >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""",
     "feature_matrix": f"""SELECT symbol, time, {rnd(6, 'volatility', 'trend_strength', 'volume_profile')} FROM reg_h
         WHERE symbol IN (SELECT symbol FROM reg_h GROUP BY 1 HAVING count(*) >= 50)""",
+    "sql_regime_history": f"""SELECT symbol, timestamp, regime_type, round(confidence, 6) AS confidence FROM ev_h
+        WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY""",
+    "sql_regime_stats": f"""SELECT regime_type, count(*) AS occurrence_count, round(avg(confidence), 6) AS avg_confidence,
+        round(sum((epoch_us(e) - epoch_us(timestamp)) / 1e6), 6) AS total_seconds FROM (SELECT *,
+        coalesce(lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp), TIMESTAMP '{AS_OF}') AS e FROM ev_h
+        WHERE symbol = 'click') GROUP BY 1""",
+    "stored_bars": """SELECT symbol, time, round(CASE WHEN n.open IS NOT NULL THEN n.open ELSE b.open END, 6) AS open,
+        round(CASE WHEN n.open IS NOT NULL THEN n.high ELSE b.high END, 6) AS high,
+        round(CASE WHEN n.open IS NOT NULL THEN n.low ELSE b.low END, 6) AS low,
+        round(CASE WHEN n.open IS NOT NULL THEN n.close ELSE b.close END, 6) AS close,
+        CASE WHEN n.open IS NOT NULL THEN n.volume ELSE b.volume END AS volume
+        FROM bars_h b FULL JOIN incoming_last n USING (symbol, time)""",
+    "stored_events": """SELECT id, event_type, aggregate_id, data, metadata, timestamp, version FROM es
+        WHERE timestamp < TIMESTAMP '2024-01-16' UNION ALL SELECT e.id, event_type, e.aggregate_id, data, metadata, timestamp, e.version
+        FROM es e LEFT JOIN (SELECT aggregate_id, max(version) AS m FROM es WHERE timestamp < TIMESTAMP '2024-01-16' GROUP BY 1) s
+        ON s.aggregate_id = e.aggregate_id WHERE NOT (e.version > 1 AND coalesce(s.m >= e.version, FALSE))""",
+    "refreshed_daily_bars": """SELECT symbol, date_trunc('day', time)::TIMESTAMP AS time, round(arg_min(open, time), 6) AS open,
+        round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, time), 6) AS close,
+        sum(volume)::BIGINT AS volume FROM bars_h WHERE time >= TIMESTAMP '2023-12-26' AND time < TIMESTAMP '2024-01-25' GROUP BY 1, 2""",
+    "refreshed_regime_stats": """SELECT symbol, regime_type, date_trunc('day', timestamp)::TIMESTAMP AS bucket, count(*) AS count,
+        round(avg(confidence), 6) AS avg_confidence, round(min(confidence), 6) AS min_confidence,
+        round(max(confidence), 6) AS max_confidence FROM ev_h WHERE timestamp >= TIMESTAMP '2023-12-26'
+        AND timestamp < TIMESTAMP '2024-01-25' GROUP BY 1, 2, 3""",
+    "exported_package": """SELECT symbol, time AS timestamp, regime_type AS regime, round(volatility, 6) AS volatility,
+        round(close, 6) AS ohlcv_close FROM reg_u""",
+    "stream_daily_bars": """SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS time, round(arg_min(value, ts), 6) AS open,
+        round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, ts), 6) AS close,
+        1000 * count(*) AS volume FROM events GROUP BY 1, 2""",
+    "stream_regime_stats": """SELECT symbol, regime_type, date_trunc('day', timestamp)::TIMESTAMP AS bucket, count(*) AS count,
+        round(avg(confidence), 6) AS avg_confidence, round(min(confidence), 6) AS min_confidence,
+        round(max(confidence), 6) AS max_confidence FROM flat_ev GROUP BY 1, 2, 3""",
+    "stream_current_regimes": f"""SELECT {EVENT} FROM flat_ev
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
+    "stream_risk_state": """SELECT account, daily.id, round(dd, 6) AS drawdown, round(daily_pnl, 6) AS daily_pnl,
+        (sum(is_open::INT - was_open::INT) OVER (ORDER BY daily.n))::BIGINT AS active_positions FROM daily JOIN dd USING (n)
+        JOIN (SELECT id, is_open, was_open FROM pe) p ON p.id = daily.id""",
+    "stream_indicators": f"SELECT symbol, time, {rnd(4, 'rsi', 'adx', 'kama', 'macd_signal', 'stoch_d')}, period, {rnd(4, 'hma')} FROM ind_h",
     "bar_maps": """SELECT symbol, time, round(close, 6) AS ohlcv_close, volume::DOUBLE AS ohlcv_volume, 5 AS n FROM bars_u""",
 }
 

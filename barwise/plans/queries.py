@@ -23,8 +23,12 @@ from barwise.operators import (
 )
 from barwise.operators.asof import asof_join
 from barwise.operators.series import BLOCK, block, in_block, number, own_rows
+from barwise.functions import sql as sql_functions
 from barwise.plans import derive as d
-from barwise.sources import tables
+from barwise.session import new_path
+from barwise.sources import sinks, tables
+from barwise.streaming import bars as bar_streams
+from barwise.streaming import state as state_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -818,3 +822,159 @@ def bar_maps(spark, folder):
         F.col("fields")["ohlcv_volume"].alias("ohlcv_volume"),
         F.size("fields").alias("n"),
     )
+
+
+# --- SQL functions ---------------------------------------------------------------------------
+
+
+@query
+def sql_regime_history(spark, folder):
+    sql_functions.register(spark, d.regimes_hourly(spark, folder))
+    return spark.sql(
+        "SELECT s.symbol, h.* FROM (SELECT DISTINCT symbol FROM regime_events) s, "
+        f"LATERAL get_regime_history(s.symbol, TIMESTAMP'{AS_OF}', 14) h"
+    )
+
+
+@query
+def sql_regime_stats(spark, folder):
+    sql_functions.register(spark, d.regimes_hourly(spark, folder))
+    stats = spark.sql(f"SELECT * FROM calculate_regime_stats('click', TIMESTAMP'2024-01-01', TIMESTAMP'{AS_OF}')")
+    seconds = F.expr("extract(DAY FROM total_duration) * 86400 + extract(HOUR FROM total_duration) * 3600 "
+                     "+ extract(MINUTE FROM total_duration) * 60 + extract(SECOND FROM total_duration)")
+    return stats.withColumn("total_seconds", seconds.cast("double")).drop("total_duration")
+
+
+# --- storage forms ---------------------------------------------------------------------------
+
+
+@query
+def stored_bars(spark, folder):
+    """Hourly bars appended, then upserted with a second batch, read back."""
+    path = new_path(spark, "stored-bars")
+    sinks.append(d.bars_hourly(spark, folder), path)
+    sinks.upsert_bars(_incoming(spark, folder), path, "event_id")
+    return spark.read.parquet(path).select(*OHLCV)
+
+
+@query
+def stored_events(spark, folder):
+    """The first half of the history stored, then all of it appended with the version check."""
+    path = new_path(spark, "stored-events")
+    history = d.stored_events(spark, folder)
+    sinks.append(history.where(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")), path, "timestamp")
+    sinks.append_events(history, path)
+    return spark.read.parquet(path).drop("date")
+
+
+@query
+def refreshed_daily_bars(spark, folder):
+    path = new_path(spark, "daily-bars")
+    sinks.refresh_daily_bars(d.bars_hourly(spark, folder), path, "2024-01-25 12:30:00")
+    return spark.read.parquet(path).select(*OHLCV)
+
+
+@query
+def refreshed_regime_stats(spark, folder):
+    path = new_path(spark, "regime-stats")
+    sinks.refresh_regime_stats(d.regimes_hourly(spark, folder), path, "2024-01-25 12:30:00")
+    return spark.read.parquet(path).drop("date")
+
+
+@query
+def exported_package(spark, folder):
+    """The training package written as nested rows, flattened to CSV, and read back."""
+    path = new_path(spark, "package")
+    sinks.write_package(features.training_package(_user_rows(spark, folder)), path)
+    package = spark.read.parquet(path).drop("date")
+    flat = features.flatten_package(package)
+    out = new_path(spark, "export")
+    sinks.export_csv(flat.select("symbol", "timestamp", "regime", "volatility", "ohlcv_close"), out)
+    schema = "symbol string, timestamp timestamp, regime string, volatility double, ohlcv_close double"
+    return spark.read.schema(schema).option("header", True).csv(out)
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+def _event_stream(spark, folder):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return tables.tick_stream(spark, folder, d.EVENTS, pathGlobFilter="events.parquet")
+
+
+def _tick_stream(spark, folder):
+    v = F.col("value")
+    ticks = _event_stream(spark, folder).select(
+        F.col("ts").alias("time"), F.col("event_type").alias("symbol"), v.alias("bid"), v.alias("ask")
+    )
+    return tables.tick_bars(ticks)
+
+
+def _regime_stream(spark, folder):
+    return regimes.regime_events(_tick_stream(spark, folder))
+
+
+def _finish(stream, spark, name, writer, mode="append"):
+    folder = new_path(spark, name)
+    query_ = bar_streams.start(stream, f"{folder}/checkpoint", writer(f"{folder}/out"), mode=mode)
+    query_.awaitTermination()
+    return f"{folder}/out"
+
+
+@query
+def stream_daily_bars(spark, folder):
+    daily = bar_streams.daily_bars(_tick_stream(spark, folder))
+    writer = lambda path: bar_streams.replace_rows(["symbol", "time"], path, "time")
+    return spark.read.parquet(_finish(daily, spark, "stream-daily", writer, "update")).select(*OHLCV)
+
+
+@query
+def stream_regime_stats(spark, folder):
+    stats = bar_streams.daily_stats(_regime_stream(spark, folder))
+    writer = lambda path: bar_streams.replace_rows(["symbol", "regime_type", "bucket"], path, "bucket")
+    return spark.read.parquet(_finish(stats, spark, "stream-stats", writer, "update")).drop("date")
+
+
+@query
+def stream_current_regimes(spark, folder):
+    current = bar_streams.current_regimes(_regime_stream(spark, folder))
+    out = _finish(current, spark, "stream-current", bar_streams.versioned_rows, "update")
+    return bar_streams.newest_version(spark.read.parquet(out).drop("_batch"), ["symbol"])
+
+
+@query
+def stream_ingest(spark, folder):
+    """Ticks as bars through the whole write path; counts per regime and signal of the result."""
+    out = _finish(_tick_stream(spark, folder), spark, "stream-ingest", lambda p: bar_streams.ingest(p, source="live"))
+    rows = spark.read.parquet(f"{out}/features")
+    return rows.groupBy("symbol", "regime_type", "nnfx_signal").agg(
+        F.count(F.lit(1)).alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time")
+    )
+
+
+@query
+def stream_risk_state(spark, folder):
+    events = _event_stream(spark, folder)
+    pnl = F.when(F.col("event_id") % 17 == 0, 0.0).otherwise(F.col("value") - 50)
+    trades = events.select(
+        F.lit("A").alias("account"), F.col("user_id").cast("string").alias("symbol"), "ts",
+        F.col("event_id").alias("id"), pnl.alias("pnl"),
+    )
+    rolling = state_streams.rolling_risk(trades, CAPITAL)
+    out = _finish(rolling, spark, "stream-risk", bar_streams.versioned_rows)
+    return spark.read.parquet(out).select("account", "id", "drawdown", "daily_pnl", "active_positions")
+
+
+@rounded(4)
+def stream_indicators(spark, folder):
+    """Hourly bars of a stream, indicators continued from batch to batch."""
+    path = new_path(spark, "bar-files")
+    bars_ = d.bars_hourly(spark, folder)
+    day = F.dayofmonth("time")
+    for part in (day <= 1, (day > 1) & (day <= 10), day > 10):
+        bars_.where(part).select(*OHLCV).coalesce(1).write.mode("append").parquet(path)
+    stream = tables.bar_stream(spark, path, maxFilesPerTrigger="1")
+    out = _finish(stream, spark, "stream-indicators", state_streams.rolling_indicators)
+    return spark.read.parquet(f"{out}/indicators").select(
+        "symbol", "time", "rsi", "adx", "kama", "macd_signal", "stoch_d", "period", "hma"
+    )
