@@ -302,34 +302,46 @@ def _pair_sums(rows: pa.Table) -> pa.Table:
     times, line = np.unique(rows["_t"].to_numpy(), return_inverse=True)
     value, there = np.zeros((len(times), len(symbols))), np.zeros((len(times), len(symbols)))
     value[line, column], there[line, column] = rows["ret"].to_numpy(), 1.0
-    is_open = np.zeros(len(symbols), dtype=bool)
-    is_open[column] = rows["is_open"].to_numpy()
-    v, t = value[:, is_open], there[:, is_open]
-    n, x, y = there.T @ t, value.T @ t, there.T @ v
-    xx, yy, xy = (value**2).T @ t, there.T @ (v**2), value.T @ v
-    pick = np.nonzero((n > 0) & (symbols[:, None] != symbols[is_open][None, :]))
-    columns = [symbols[pick[0]], symbols[is_open][pick[1]], *(m[pick] for m in (n, x, y, xx, yy, xy))]
+    roles = {}
+    for role in ("is_candidate", "is_open"):
+        flag = np.zeros(len(symbols), dtype=bool)
+        flag[column] = rows[role].to_numpy()
+        roles[role] = np.flatnonzero(flag)
+    left, right = roles["is_candidate"], roles["is_open"]
+    v, t, x_v, x_t = value[:, right], there[:, right], value[:, left], there[:, left]
+    n, x, y = x_t.T @ t, x_v.T @ t, x_t.T @ v
+    xx, yy, xy = (x_v**2).T @ t, x_t.T @ (v**2), x_v.T @ v
+    pick = np.nonzero((n > 0) & (left[:, None] != right[None, :]))
+    named = pa.array(symbols.tolist(), type=pa.string())
+    pairs = [named.take(pa.array(left[pick[0]])), named.take(pa.array(right[pick[1]]))]
     names = ["candidate", "open_symbol", "n", "x", "y", "xx", "yy", "xy"]
-    return pa.table({c: pa.array(list(v) if v.dtype == object else v) for c, v in zip(names, columns)})
+    return pa.table(dict(zip(names, [*pairs, *(pa.array(m[pick]) for m in (n, x, y, xx, yy, xy))])))
 
 
-def correlations(returns: DataFrame, opened: DataFrame, seconds: int = 30 * DAY) -> DataFrame:
+def correlations(returns: DataFrame, opened: DataFrame, seconds: int = 30 * DAY, tiles: int = 16) -> DataFrame:
     """Correlation of every symbol with every open one over their common times.
 
-    A task takes one stretch of time of all symbols and gives one row of sums per pair, however
-    many times there are; no pair is formed per time.
+    A task takes one stretch of time and one tile of the candidates with all open symbols, and gives
+    one row of sums per pair, however many times there are; no pair is formed per time.
     """
-    flagged = returns.join(
-        opened.select("symbol").distinct().withColumn("_open", F.lit(True)), "symbol", "left"
-    ).select(
-        "symbol",
-        "ret",
-        F.unix_micros("time").alias("_t"),
-        F.coalesce("_open", F.lit(False)).alias("is_open"),
-        time_bucket("time", seconds).alias("_bucket"),
+    tile = F.pmod(F.hash("symbol"), F.lit(tiles))
+    everywhere = F.sequence(F.lit(0), F.lit(tiles - 1))
+    flagged = (
+        returns.join(opened.select("symbol").distinct().withColumn("_open", F.lit(True)), "symbol", "left")
+        .withColumn("is_open", F.coalesce("_open", F.lit(False)))
+        .withColumn("_tile", F.explode(F.when(F.col("is_open"), everywhere).otherwise(F.array(tile))))
+        .select(
+            "symbol",
+            "ret",
+            "is_open",
+            "_tile",
+            (F.col("_tile") == tile).alias("is_candidate"),
+            F.unix_micros("time").alias("_t"),
+            time_bucket("time", seconds).alias("_bucket"),
+        )
     )
     sums = (
-        flagged.groupBy("_bucket")
+        flagged.groupBy("_bucket", "_tile")
         .applyInArrow(_pair_sums, PAIR_SUMS)
         .groupBy("candidate", "open_symbol")
         .agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])

@@ -60,7 +60,7 @@ def bucket_seconds(df: DataFrame, keys: Sequence[str], time: str, rows: int = 50
             F.count(F.lit(1)).alias("n"),
             (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))).alias("span"),
         )
-        .agg(F.max(F.col("n") * 1e6 / F.greatest(F.col("span"), F.lit(1_000_000))))
+        .agg(F.max((F.col("n") - 1) * 1e6 / F.greatest(F.col("span"), F.lit(1_000_000))))
         .first()[0]
     )
     return max(1, int(rows / rate)) if rate else 86_400
