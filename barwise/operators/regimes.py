@@ -365,6 +365,14 @@ def top_regimes(distribution: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
+def regime_ranking(events: DataFrame) -> DataFrame:
+    """Regimes over all symbols, most frequent first."""
+    counted = events.groupBy("regime_type").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("avg_confidence")
+    )
+    return counted.orderBy(F.desc("count"), "regime_type")
+
+
 def cluster_label(volatility: Column, volume: Column) -> Column:
     """Name of a volatility cluster from its means."""
     return first_match(

@@ -518,6 +518,8 @@ _BODIES: dict[str, str] = {
     "regime_stability": """SELECT symbol, count(*) AS periods, round(CASE WHEN count(*) <= 1 THEN 1 ELSE
         1 - sum(c) / (count(*) - 1) END, 6) AS regime_stability FROM (SELECT symbol, (regime_type <>
         lag(regime_type) OVER (PARTITION BY symbol ORDER BY timestamp))::INT AS c FROM ev_u) GROUP BY symbol""",
+    "regime_ranking": """SELECT regime_type, count(*) AS count, round(avg(confidence), 6) AS avg_confidence FROM ev_u
+        GROUP BY 1 ORDER BY 2 DESC, 1""",
     "stability_labels": """SELECT symbol, n AS periods, round(s, 6) AS regime_stability,
         CASE WHEN s < 0.6 THEN 'unstable' ELSE 'stable' END AS stability_label, s < 0.5 AS volatility_alert FROM
         (SELECT symbol, count(*) AS n, CASE WHEN count(*) <= 1 THEN 1 ELSE 1 - sum(c) / (count(*) - 1) END AS s FROM
@@ -724,6 +726,8 @@ _BODIES: dict[str, str] = {
         round(max(confidence), 6) AS max_confidence FROM flat_ev GROUP BY 1, 2, 3""",
     "stream_current_regimes": f"""SELECT {EVENT} FROM flat_ev
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
+    "stream_expiring_regimes": """SELECT symbol, regime_type AS regime, timestamp AS time FROM flat_ev
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
     "stream_risk_state": """SELECT account, daily.id, round(dd, 6) AS drawdown, round(daily_pnl, 6) AS daily_pnl,
         (sum(is_open::INT - was_open::INT) OVER (ORDER BY daily.n))::BIGINT AS active_positions FROM daily JOIN dd USING (n)
         JOIN (SELECT id, is_open, was_open FROM pe) p ON p.id = daily.id""",

@@ -264,6 +264,11 @@ def regime_stability(spark, folder):
     return regimes.regime_stability(d.regimes_by_user(spark, folder))
 
 
+@query
+def regime_ranking(spark, folder):
+    return regimes.regime_ranking(d.regimes_by_user(spark, folder))
+
+
 @query
 def stability_labels(spark, folder):
     table = regimes.regime_stability(d.regimes_by_user(spark, folder))
@@ -942,6 +947,15 @@ def stream_current_regimes(spark, folder):
     return bar_streams.newest_version(spark.read.parquet(out).drop("_batch"), ["symbol"])
 
 
+@query
+def stream_expiring_regimes(spark, folder):
+    """Regimes of a stream with a lifetime; those still valid at its end."""
+    expiring = state_streams.expiring_regimes(_regime_stream(spark, folder), catalog.LIFETIME["high_frequency"])
+    out = _finish(expiring, spark, "stream-expiring", bar_streams.versioned_rows, "update")
+    newest = spark.read.parquet(out).groupBy("symbol").agg(F.max_by("regime", "time").alias("regime"), F.max("time").alias("time"))
+    return newest
+
+
 @query
 def stream_ingest(spark, folder):
     """Ticks as bars through the whole write path; counts per regime and signal of the result."""
