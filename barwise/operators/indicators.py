@@ -281,18 +281,27 @@ def frames(bars: DataFrame, keys: Sequence[str], size: int = BLOCK) -> DataFrame
 INPUTS = ["close", "_tr", "_up", "_down", "_gain", "_loss", "_speed"]
 
 
-def with_indicators(bars: DataFrame, keys: Sequence[str] = ("symbol",), size: int = BLOCK) -> DataFrame:
+def with_indicators(
+    bars: DataFrame, keys: Sequence[str] = ("symbol",), size: int = BLOCK, longest: int | None = None
+) -> DataFrame:
     """All indicators of a numbered series: atr14, atr20, rsi, adx, kama, stoch_k, stoch_d, macd,
     macd_signal, period, hma.
 
     Three passes over the blocks: totals of the first recurrences, totals of the two that build on
-    them (ADX, MACD signal), then the values. The first two read only the price columns.
+    them (ADX, MACD signal), then the values. The first two read only the price columns. Series of
+    at most ``size`` bars (``longest``, else looked up) are one block each and need the last alone.
     """
     rows = frames(bars, keys, size)
-    slim = rows.select(*keys, "block", "own", "pos", *INPUTS)
-    first = carries(block_totals(slim, keys, FIRST_SCAN), keys, FIRST_SCAN)
-    second = carries(block_totals(slim, keys, SECOND_SCAN, first), keys, SECOND_SCAN)
-    done = finish(rows, keys, SECOND_SCAN, first.join(second, [*keys, "block"]))
+    if longest is None:
+        longest = (bars.agg(F.max("pos")).first()[0] or 0) + 1
+    last = (longest - 1) // size
+    if last == 0:
+        done = finish(rows, keys, SECOND_SCAN, None, {**FIRST_SCAN.unit, **SECOND_SCAN.unit})
+    else:
+        slim = rows.select(*keys, "block", "own", "pos", *INPUTS)
+        first = carries(block_totals(slim, keys, FIRST_SCAN), keys, FIRST_SCAN, last)
+        second = carries(block_totals(slim, keys, SECOND_SCAN, first), keys, SECOND_SCAN, last)
+        done = finish(rows, keys, SECOND_SCAN, first.join(second, [*keys, "block"]))
     return done.drop("block", *[c for c in INPUTS if c != "close"])
 
 

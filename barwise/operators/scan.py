@@ -139,8 +139,13 @@ def _carries(totals: DataFrame, keys: Sequence[str], scan: Scan, levels: int) ->
     )
 
 
-def finish(df: DataFrame, keys: Sequence[str], scan: Scan, before: DataFrame) -> DataFrame:
-    """Rows of ``df`` (own rows only) with the columns of ``scan.out``."""
+def finish(
+    df: DataFrame, keys: Sequence[str], scan: Scan, before: DataFrame | None, start: State | None = None
+) -> DataFrame:
+    """Rows of ``df`` (own rows only) with the columns of ``scan.out``.
+
+    ``before`` holds the state before each block; without it every block begins at ``start``.
+    """
     by = [*keys, "block"]
     kept = [f for f in df.schema if f.name != "own"]
     schema = T.StructType([*kept, *_ddl(scan.out)])
@@ -149,16 +154,19 @@ def finish(df: DataFrame, keys: Sequence[str], scan: Scan, before: DataFrame) ->
     has_own = "own" in df.columns
 
     def run(key: tuple, rows: pa.Table, state: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return arrow.empty_table()
+        return run_from(rows, _one(state)) if rows.num_rows else arrow.empty_table()
+
+    def run_from(rows: pa.Table, state: State) -> pa.Table:
         rows = rows.sort_by("pos")
-        new = scan.run(rows, _one(state))
+        new = scan.run(rows, state)
         if has_own:
             rows = rows.filter(rows["own"])
         columns = [rows[n] for n in passed]
         columns += [pa.array(new[f.name], type=f.type) for f in arrow if f.name not in passed]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=arrow)
 
+    if before is None:
+        return df.groupBy(*by).applyInArrow(lambda key, rows: run_from(rows, start), schema)
     return df.groupBy(*by).cogroup(before.groupBy(*by)).applyInArrow(run, schema)
 
 

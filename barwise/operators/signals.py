@@ -114,7 +114,7 @@ def walk_forward(numbered: DataFrame, window: int = 252, step: int = 63, min_bar
         .drop("_n")
     )
     scored = with_strategy_signal(
-        strategy_indicators(with_indicators(folds, keys)), F.lit("trending_high_vol")
+        strategy_indicators(with_indicators(folds, keys, longest=step)), F.lit("trending_high_vol")
     )
     tested = F.col("pos") >= 20
     trades = F.count_if(tested & (F.col("signal") != 0))

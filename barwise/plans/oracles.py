@@ -630,16 +630,16 @@ _BODIES: dict[str, str] = {
         round(final_size * coalesce(f, 1.0) * b, 4) AS approved_size,
         final_size * coalesce(f, 1.0) <> final_size * coalesce(f, 1.0) * b AS circuit_breaker_applied FROM breaker LEFT JOIN
         (SELECT candidate AS symbol, CASE WHEN max(correlation) > 0.7 THEN 0.5 ELSE 1.0 END AS f FROM pairs_u GROUP BY 1) USING (symbol)""",
-    "trade_state": """SELECT account, id, round(dd, 6) AS drawdown, round(daily_pnl, 6) AS daily_pnl FROM daily JOIN dd USING (n)""",
+    "trade_state": """SELECT account, id, round(dd, 8) AS drawdown, round(daily_pnl, 8) AS daily_pnl FROM daily JOIN dd USING (n)""",
     "position_book": "SELECT account, symbol, id, is_open, round(position_pnl, 6) AS position_pnl, opened FROM book",
-    "open_positions": "SELECT account, symbol, round(position_pnl, 6) AS position_pnl, opened FROM open_u",
+    "open_positions": "SELECT account, symbol, round(position_pnl, 8) AS position_pnl, opened FROM open_u",
     "rolling_var": f"""SELECT account, id, round(CASE WHEN n >= 30 THEN quantile_cont(pnl / {CAPITAL}, 0.05) OVER
         (ORDER BY n ROWS 99 PRECEDING) ELSE 0 END, 9) AS var FROM t_n""",
     "value_at_risk": """SELECT 'A' AS account, round(var_95, 6) AS var_95, round(expected_shortfall, 6) AS expected_shortfall
         FROM var_a, es_a""",
-    "risk_report": """SELECT 'A' AS account, round((SELECT dd FROM dd ORDER BY n DESC LIMIT 1), 6) AS current_drawdown,
-        round((SELECT daily_pnl FROM daily ORDER BY n DESC LIMIT 1), 6) AS daily_pnl, total_trades, winning_trades, losing_trades,
-        round(var_95, 6) AS var_95, round(expected_shortfall, 6) AS expected_shortfall,
+    "risk_report": """SELECT 'A' AS account, round((SELECT dd FROM dd ORDER BY n DESC LIMIT 1), 8) AS current_drawdown,
+        round((SELECT daily_pnl FROM daily ORDER BY n DESC LIMIT 1), 8) AS daily_pnl, total_trades, winning_trades, losing_trades,
+        round(var_95, 8) AS var_95, round(expected_shortfall, 8) AS expected_shortfall,
         (SELECT count(*) FROM open_u) AS active_positions FROM var_a, es_a, (SELECT count(*) AS total_trades,
         count(*) FILTER (pnl > 0) AS winning_trades, count(*) FILTER (pnl < 0) AS losing_trades
         FROM (SELECT * FROM t_n ORDER BY n DESC LIMIT 1000))""",
@@ -728,7 +728,7 @@ _BODIES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
     "stream_expiring_regimes": """SELECT symbol, regime_type AS regime, timestamp AS time FROM flat_ev
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
-    "stream_risk_state": """SELECT account, daily.id, round(dd, 6) AS drawdown, round(daily_pnl, 6) AS daily_pnl,
+    "stream_risk_state": """SELECT account, daily.id, round(dd, 8) AS drawdown, round(daily_pnl, 8) AS daily_pnl,
         (sum(is_open::INT - was_open::INT) OVER (ORDER BY daily.n))::BIGINT AS active_positions FROM daily JOIN dd USING (n)
         JOIN (SELECT id, is_open, was_open FROM pe) p ON p.id = daily.id""",
     "stream_indicators": f"SELECT symbol, time, {rnd(4, 'rsi', 'adx', 'kama', 'macd_signal', 'stoch_d')}, period, {rnd(4, 'hma')} FROM ind_h",

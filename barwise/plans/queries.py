@@ -636,7 +636,7 @@ def approve_trades(spark, folder):
     )
 
 
-@query
+@rounded(8)
 def trade_state(spark, folder):
     return risk.trade_state(d.trades(spark, folder), CAPITAL).select("account", "id", "drawdown", "daily_pnl")
 
@@ -648,7 +648,7 @@ def position_book(spark, folder):
     )
 
 
-@query
+@rounded(8)
 def open_positions(spark, folder):
     return risk.open_positions(risk.position_book(d.trades(spark, folder)))
 
@@ -663,7 +663,7 @@ def value_at_risk(spark, folder):
     return risk.value_at_risk(d.trades(spark, folder), CAPITAL)
 
 
-@query
+@rounded(8)
 def risk_report(spark, folder):
     return risk.risk_report(d.trades(spark, folder), CAPITAL)
 
@@ -966,7 +966,7 @@ def stream_ingest(spark, folder):
     )
 
 
-@query
+@rounded(8)
 def stream_risk_state(spark, folder):
     events = _event_stream(spark, folder)
     pnl = F.when(F.col("event_id") % 17 == 0, 0.0).otherwise(F.col("value") - 50)
