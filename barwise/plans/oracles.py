@@ -153,8 +153,8 @@ CTES: dict[str, str] = {
         WHEN 'purchase' THEN 'order_placed' WHEN 'view' THEN 'data_ingested_with_regime' ELSE event_type END AS event_type,
         user_id::VARCHAR AS aggregate_id, props AS data, '{}' AS metadata, ts AS timestamp,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events""",
-    "incoming": """SELECT date_trunc('hour', ts)::TIMESTAMP AS time, event_type AS symbol, value AS open, value + 1 AS high,
-        value - 1 AS low, value AS close, 1000 AS volume, event_id FROM events WHERE value > 60""",
+    "incoming": """SELECT date_trunc('minute', ts)::TIMESTAMP AS time, event_type AS symbol, value AS open, value + 1 AS high,
+        value - 1 AS low, value AS close, 1000 AS volume, event_id FROM events""",
     "incoming_last": """SELECT time, symbol, arg_max(open, event_id) AS open, arg_max(high, event_id) AS high,
         arg_max(low, event_id) AS low, arg_max(close, event_id) AS close, 1000 AS volume
         FROM incoming GROUP BY 1, 2""",
@@ -695,10 +695,10 @@ _BODIES: dict[str, str] = {
         WHERE symbol IN (SELECT symbol FROM reg_h GROUP BY 1 HAVING count(*) >= 50)""",
     "sql_regime_history": f"""SELECT symbol, timestamp, regime_type, round(confidence, 6) AS confidence FROM ev_h
         WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY""",
-    "sql_regime_stats": f"""SELECT regime_type, count(*) AS occurrence_count, round(avg(confidence), 6) AS avg_confidence,
+    "sql_regime_stats": f"""SELECT symbol, regime_type, count(*) AS occurrence_count, round(avg(confidence), 6) AS avg_confidence,
         round(sum((epoch_us(e) - epoch_us(timestamp)) / 1e6), 6) AS total_seconds FROM (SELECT *,
         coalesce(lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp), TIMESTAMP '{AS_OF}') AS e FROM ev_h
-        WHERE symbol = 'click') GROUP BY 1""",
+        ) GROUP BY 1, 2""",
     "stored_bars": """SELECT symbol, time, round(CASE WHEN n.open IS NOT NULL THEN n.open ELSE b.open END, 6) AS open,
         round(CASE WHEN n.open IS NOT NULL THEN n.high ELSE b.high END, 6) AS high,
         round(CASE WHEN n.open IS NOT NULL THEN n.low ELSE b.low END, 6) AS low,

@@ -146,9 +146,10 @@ def bars_from_ticks(spark, folder):
 
 
 def _incoming(spark, folder):
+    """Every event as a bar of its minute: those of a full hour meet stored bars, the rest are new."""
     v = F.col("value")
-    return d.table(spark, folder, "events").where(v > 60).select(
-        F.date_trunc("hour", "ts").alias("time"),
+    return d.table(spark, folder, "events").select(
+        F.date_trunc("minute", "ts").alias("time"),
         F.col("event_type").alias("symbol"),
         v.alias("open"), (v + 1).alias("high"), (v - 1).alias("low"), v.alias("close"),
         F.lit(1000).cast("bigint").alias("volume"),
@@ -844,7 +845,10 @@ def sql_regime_history(spark, folder):
 @query
 def sql_regime_stats(spark, folder):
     sql_functions.register(spark, d.regimes_hourly(spark, folder))
-    stats = spark.sql(f"SELECT * FROM calculate_regime_stats('click', TIMESTAMP'2024-01-01', TIMESTAMP'{AS_OF}')")
+    stats = spark.sql(
+        "SELECT s.symbol, h.* FROM (SELECT DISTINCT symbol FROM regime_events) s, "
+        f"LATERAL calculate_regime_stats(s.symbol, TIMESTAMP'2024-01-01', TIMESTAMP'{AS_OF}') h"
+    )
     seconds = F.expr("extract(DAY FROM total_duration) * 86400 + extract(HOUR FROM total_duration) * 3600 "
                      "+ extract(MINUTE FROM total_duration) * 60 + extract(SECOND FROM total_duration)")
     return stats.withColumn("total_seconds", seconds.cast("double")).drop("total_duration")

@@ -27,6 +27,16 @@ def by_date(df: DataFrame, time: str) -> DataFrame:
     return dated.sortWithinPartitions("date", *order)
 
 
+def dates_of(df: DataFrame, time: str) -> list:
+    """The distinct dates of a batch: calendar days, so a few thousand values for decades of data."""
+    return [r[0] for r in df.select(F.to_date(time)).distinct().collect()]
+
+
+def on_dates(stored: DataFrame, dates: list) -> DataFrame:
+    """Stored rows of these dates; the literal list prunes all other partitions."""
+    return stored.where(F.col("date").isin(dates)).drop("date")
+
+
 def append(df: DataFrame, path: str, time: str = "time") -> None:
     by_date(df, time).write.mode("append").partitionBy("date").parquet(path)
 
@@ -52,15 +62,17 @@ def upsert_bars(incoming: DataFrame, path: str, sequence: str) -> None:
     if stored is None:
         append(last_write(incoming, sequence), path)
         return
-    touched = incoming.select(F.to_date("time").alias("date")).distinct()
-    existing = stored.join(touched, "date", "left_semi").drop("date")
+    existing = on_dates(stored, dates_of(incoming, "time"))
     replace_dates(materialize(merge_bars(existing, incoming, sequence), "merged-bars"), path)
 
 
 def append_events(incoming: DataFrame, path: str) -> DataFrame:
     """Append events without a version conflict; the rejected ones are returned."""
     stored = read_or_none(incoming.sparkSession, path)
-    known = incoming.limit(0) if stored is None else stored
+    if stored is None:
+        known = incoming.limit(0)
+    else:
+        known = stored.join(incoming.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
     checked = materialize(check_versions(known, incoming), "checked-events")
     append(checked.where(~F.col("conflict")).drop("conflict"), path, "timestamp")
     return checked.where("conflict").drop("conflict")

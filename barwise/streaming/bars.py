@@ -71,8 +71,7 @@ def replace_rows(keys: list[str], path: str, time: str):
             sinks.append(batch, path, time)
             return
         changed = materialize(batch, "changed-rows")
-        touched = changed.select(F.to_date(time).alias("date")).distinct()
-        old = stored.join(touched, "date", "left_semi").drop("date").join(changed, keys, "left_anti")
+        old = sinks.on_dates(stored, sinks.dates_of(changed, time)).join(changed, keys, "left_anti")
         sinks.replace_dates(materialize(old.unionByName(changed), "merged-rows"), path, time)
 
     return write
@@ -96,43 +95,81 @@ def newest_version(rows: DataFrame, keys: list[str]) -> DataFrame:
 # --- the write path --------------------------------------------------------------------------
 
 
-def with_lookback(new: DataFrame, stored: DataFrame, periods: int = LOOKBACK) -> DataFrame:
-    """New bars after up to ``periods`` stored bars of the same symbol that lie before them."""
+BAR_COLUMNS = ["symbol", "time", "open", "high", "low", "close", "volume"]
+
+
+def with_lookback(new: DataFrame, history: DataFrame, periods: int = LOOKBACK) -> DataFrame:
+    """New bars after up to ``periods`` earlier bars of the same symbol."""
     first = new.groupBy("symbol").agg(F.min("time").alias("_first"))
-    columns = ["symbol", "time", "open", "high", "low", "close", "volume"]
-    before = stored.join(first, "symbol").where(F.col("time") < F.col("_first")).select(*columns)
+    before = history.join(first, "symbol").where(F.col("time") < F.col("_first")).select(*BAR_COLUMNS)
     before = bar_ops.newest_per_symbol(before, periods).drop("rank").withColumn("is_new", F.lit(False))
-    return before.unionByName(new.select(*columns).withColumn("is_new", F.lit(True)))
+    return before.unionByName(new.select(*BAR_COLUMNS).withColumn("is_new", F.lit(True)))
 
 
-def batch_features(new: DataFrame, stored: DataFrame, model: str = "comprehensive", periods: int = LOOKBACK) -> DataFrame:
+def batch_features(new: DataFrame, history: DataFrame, model: str = "comprehensive", periods: int = LOOKBACK) -> DataFrame:
     """Features, regime and signal of the new bars of one batch."""
-    rows = with_lookback(new, stored, periods)
+    rows = with_lookback(new, history, periods)
     out = regimes.with_model(regimes.basic_features(feature_indicators(indicators(rows))), model)
     return out.where("is_new").drop("is_new")
 
 
+def split_late(new: DataFrame, tail: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars after the newest known bar of their symbol, and the others."""
+    newest = tail.groupBy("symbol").agg(F.max("time").alias("_newest"))
+    placed = new.join(newest, "symbol", "left")
+    is_late = F.coalesce(F.col("time") <= F.col("_newest"), F.lit(False))
+    return placed.where(~is_late).drop("_newest"), placed.where(is_late).drop("_newest")
+
+
+def newest_tail(tail: DataFrame | None, new: DataFrame, periods: int) -> DataFrame:
+    """The newest ``periods`` bars per symbol after a batch; a bar sent again replaces the old one."""
+    rows = new.select(*BAR_COLUMNS)
+    if tail is not None:
+        rows = tail.join(rows, ["symbol", "time"], "left_anti").select(*BAR_COLUMNS).unionByName(rows)
+    return bar_ops.newest_per_symbol(rows, periods).drop("rank")
+
+
 def ingest(store: str, model: str = "comprehensive", source: str = "live", periods: int = LOOKBACK):
     """Batch writer of the whole path: validate, normalize, upsert, features, regime, signal, then
-    history, key-values and audit. Bad bars go to quarantine. Every output of a batch lives under its
-    batch number, so a repeated batch writes the same rows again."""
+    history, key-values and audit. Bad bars go to quarantine.
+
+    The newest bars per symbol are kept from batch to batch, so the look-back of a new bar reads that
+    small table and not the history. Only late bars look up their earlier bars in the stored table.
+    Every output of a batch lives under its batch number: a repeated batch writes the same rows again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        part = f"batch={number}"
         arrived = materialize(batch, "batch")
         good, bad = bar_ops.split_valid(bar_ops.normalize(arrived))
-        part = f"batch={number}"
         bad.write.mode("overwrite").parquet(f"{store}/quarantine/{part}")
-        sequence = "seq" if "seq" in good.columns else "time"
-        sinks.upsert_bars(good, f"{store}/bars", sequence)
+        if "seq" not in good.columns:
+            good = good.withColumn("seq", F.lit(0))
+        new = materialize(bar_ops.last_write(good, "seq"), "new-bars")
+        tail = sinks.read_or_none(spark, f"{store}/tail/batch={number - 1}")
+        sinks.upsert_bars(good, f"{store}/bars", "seq")
         stored = sinks.read_or_none(spark, f"{store}/bars")
         if stored is None:
             return
-        new = bar_ops.last_write(good, sequence) if sequence != "time" else good
-        rows = materialize(batch_features(new, stored, model, periods), "batch-features")
+        if tail is None:
+            # No batch before: the table is new, or filled by another job. Look-backs come from it.
+            rows = batch_features(new, stored, model, periods)
+            kept = newest_tail(None, stored, periods)
+        else:
+            fresh, late = split_late(new, tail)
+            if late.isEmpty():
+                rows = batch_features(fresh, tail, model, periods)
+            else:
+                tail = newest_tail(tail, late, periods)
+                rows = batch_features(fresh, tail, model, periods).unionByName(
+                    batch_features(late, stored, model, periods)
+                )
+            kept = newest_tail(tail, fresh, periods)
+        kept.write.mode("overwrite").parquet(f"{store}/tail/{part}")
+        rows = materialize(rows, "batch-features")
         rows.write.mode("overwrite").parquet(f"{store}/features/{part}")
-        events = event_ops.regime_event_rows(rows)
-        events.write.mode("overwrite").parquet(f"{store}/regime_events/{part}")
+        event_ops.regime_event_rows(rows).write.mode("overwrite").parquet(f"{store}/regime_events/{part}")
         feature_ops.key_values(rows).write.mode("overwrite").parquet(f"{store}/key_values/{part}")
         event_ops.audit_events(rows, source).write.mode("overwrite").parquet(f"{store}/events/{part}")
 

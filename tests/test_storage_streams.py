@@ -25,7 +25,19 @@ def bar(i, symbol="X", price=10.0, seq=0):
 
 
 def test_shared_folder_follows_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_folder(spark) == named.rstrip("/")
+
+
+def test_without_the_setting_only_a_local_master_gets_a_folder():
+    from types import SimpleNamespace
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[4]"))
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"))
 
 
 def test_upsert_last_write_wins_and_keeps_other_dates(spark, tmp_path):
@@ -109,6 +121,30 @@ def test_ingest_quarantines_and_uses_the_lookback(spark, tmp_path):
     assert spark.read.parquet(f"{store}/events").count() == 40
 
 
+def test_ingest_looks_up_history_for_late_bars(spark, tmp_path):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    rows = [(t, "X", o, h, lo, c, v) for t, o, h, lo, c, v in random_bars(70, 5)]
+    again = [(*rows[40][:5], rows[40][5] + 0.1, 9)]
+    parts = [spark.createDataFrame(r, BARS) for r in (rows[:40] + rows[41:65], again, rows[65:])]
+    write_files(spark, parts, source)
+    run(tables.bar_stream(spark, source, maxFilesPerTrigger="1"), str(tmp_path), bar_streams.ingest(store))
+    got = {r.time: r for r in spark.read.parquet(f"{store}/features").collect()}
+    assert len(got) == 70 and got[rows[40][0]].close == again[0][5]
+    before = spark.createDataFrame(rows[:40] + again, BARS)
+    want = indicators.indicators(before).orderBy(F.desc("pos")).first()
+    assert got[rows[40][0]].rsi == pytest.approx(want.rsi)
+    tail = spark.read.parquet(f"{store}/tail/batch=2").orderBy("time").collect()
+    assert len(tail) == 50 and tail[-1].time == rows[-1][0]
+
+
+def test_only_touched_dates_are_read(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    sinks.append(frame(spark, [bar(0), bar(30), bar(60)]).drop("seq"), path)
+    dates = sinks.dates_of(frame(spark, [bar(31)]), "time")
+    plan = sinks.on_dates(spark.read.parquet(path), dates)._jdf.queryExecution().executedPlan().toString()
+    assert dates == [hours(30).date()] and "PartitionFilters: [isnotnull(date" in plan
+
+
 def test_rolling_indicators_continue_exactly(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(t, s, o, h, lo, c, v) for s, seed in (("X", 5), ("Y", 6)) for t, o, h, lo, c, v in random_bars(90, seed)]
