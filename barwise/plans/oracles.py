@@ -315,9 +315,9 @@ CTES: dict[str, str] = {
     # walk-forward over folds of the hourly bars
     **{
         name: sql
-        for tag, window, step in (("w", 252, 63), ("v", 126, 90))
+        for tag, window, step in (("w", 252, 63), ("v", 126, 90), ("f", 0, 0))
         for name, sql in {
-            f"fold_{tag}": f"""SELECT symbol || '|' || ((i - {window}) // {step}) AS symbol, time, open, high, low, close, volume
+            f"fold_{tag}": "SELECT * FROM flat" if tag == "f" else f"""SELECT symbol || '|' || ((i - {window}) // {step}) AS symbol, time, open, high, low, close, volume
                 FROM (SELECT *, max(i) OVER (PARTITION BY symbol) + 1 AS total FROM step_h)
                 WHERE i >= {window} AND ((i - {window}) // {step}) * {step} < total - {window}""",
             f"step_{tag}": indicator_steps(f"fold_{tag}"),
@@ -337,11 +337,17 @@ def _derived_fold(tag: str) -> dict[str, str]:
     """Stochastic, adaptive Hull average and signals of the fold series, as for the hourly bars."""
 
     def swap(text: str) -> str:
-        for name in ("step_h", "rec_h", "rows_h", "period_h", "hull_raw", "fast_k", "slow_k", "stoch_h", "index_h", "rec2_h", "hull_h", "ind_h"):
-            text = re.sub(rf"\b{name}\b", name.replace("_h", "") + f"_{tag}" if name.endswith("_h") else f"{name}_{tag}", text)
+        for name in (*names, *given):
+            text = re.sub(rf"\b{name}\b", name.removesuffix("_h") + f"_{tag}", text)
         return text
 
+    given = ["step_h", "rec_h", "rows_h", "index_h", "rec2_h"]
     names = ["fast_k", "slow_k", "stoch_h", "period_h", "hull_raw", "hull_h", "ind_h"]
+    if tag == "f":  # the tick bars go on to regimes and signals
+        names = [*names[:3], "ind_h", "tech_h", "techreg_h", "flag_h", "nnfx_h"]
+        plain = CTES["ind_h"].replace(", p.period, h.hma", "").replace(" JOIN period_h p USING (symbol, i) LEFT JOIN hull_h h USING (symbol, i)", "")
+        bodies = {**{n: CTES[n] for n in names}, "ind_h": plain, "tech_h": CTES["tech_h"].replace("reg_h", "flat_reg")}
+        return {swap(n): swap(bodies[n]) for n in names}
     out = {swap(n): swap(CTES[n]) for n in names}
     out[f"score_{tag}"] = f"""SELECT symbol, i, CASE WHEN i < 49 THEN 0 WHEN adx > 25 AND close > hma AND rsi < 70 THEN 1
         WHEN adx > 25 AND close < hma AND rsi > 30 THEN -1 ELSE 0 END AS signal, adx, macd, macd_signal, stoch_k
@@ -357,7 +363,7 @@ def _derived_fold(tag: str) -> dict[str, str]:
     return out
 
 
-for _tag in ("w", "v"):
+for _tag in ("w", "v", "f"):
     CTES.update(_derived_fold(_tag))
 
 
@@ -728,6 +734,9 @@ _BODIES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
     "stream_expiring_regimes": """SELECT symbol, regime_type AS regime, timestamp AS time FROM flat_ev
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
+    "stream_ingest": """SELECT symbol, regime_type, nnfx_signal, count(*) AS n, min(time) AS first_time, max(time) AS last_time,
+        round(avg(adx), 4) AS adx, round(avg(rsi), 4) AS rsi, round(avg(kama), 4) AS kama, round(avg(stoch_d), 4) AS stoch_d,
+        round(avg(enhanced), 4) AS regime_confidence_enhanced FROM nnfx_f GROUP BY 1, 2, 3""",
     "stream_risk_state": """SELECT account, daily.id, round(dd, 8) AS drawdown, round(daily_pnl, 8) AS daily_pnl,
         (sum(is_open::INT - was_open::INT) OVER (ORDER BY daily.n))::BIGINT AS active_positions FROM daily JOIN dd USING (n)
         JOIN (SELECT id, is_open, was_open FROM pe) p ON p.id = daily.id""",

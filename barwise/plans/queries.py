@@ -960,13 +960,16 @@ def stream_expiring_regimes(spark, folder):
     return newest
 
 
-@query
+@rounded(4)
 def stream_ingest(spark, folder):
-    """Ticks as bars through the whole write path; counts per regime and signal of the result."""
+    """Ticks as bars through the whole write path; counts and means per regime and signal."""
     out = _finish(_tick_stream(spark, folder), spark, "stream-ingest", lambda p: bar_streams.ingest(p, source="live"))
     rows = spark.read.parquet(f"{out}/features")
     return rows.groupBy("symbol", "regime_type", "nnfx_signal").agg(
-        F.count(F.lit(1)).alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time")
+        F.count(F.lit(1)).alias("n"),
+        F.min("time").alias("first_time"),
+        F.max("time").alias("last_time"),
+        *[F.avg(c).alias(c) for c in ("adx", "rsi", "kama", "stoch_d", "regime_confidence_enhanced")],
     )
 
 
