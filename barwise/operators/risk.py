@@ -13,7 +13,7 @@ from barwise.functions.scalars import first_match, interpolated_quantile, time_b
 from barwise.operators import scan as scans
 from barwise.operators.bars import newest_per_symbol
 from barwise.operators.scan import Scan, prefix_scan
-from barwise.operators.series import block, in_block, number, own_rows, running
+from barwise.operators.series import BLOCK, block, in_block, longest, number, own_rows, running
 
 # Limits of the risk rules.
 RISK_SHARE, STOP_ATR, MAX_POSITION, MIN_LOT = 0.02, 1.5, 0.1, 0.01
@@ -104,7 +104,7 @@ def _together(first: Scan, second: Scan) -> Scan:
     )
 
 
-def trade_state(trades: DataFrame, capital: float, seconds: int = DAY, size: int | None = None) -> DataFrame:
+def trade_state(trades: DataFrame, capital: float, seconds: int = DAY, size: int = BLOCK) -> DataFrame:
     """Drawdown after each trade of an account, and its pnl of the day so far.
 
     A loss adds its share of the capital, a gain takes a tenth of its share off, within [0, 1].
@@ -113,7 +113,7 @@ def trade_state(trades: DataFrame, capital: float, seconds: int = DAY, size: int
     w = in_block(["account"])
     share = F.abs(F.col("pnl")) / capital
     day = F.to_date("ts")
-    rows = block(numbered_trades(trades, seconds=seconds), back=1, **({"size": size} if size else {}))
+    rows = block(numbered_trades(trades, seconds=seconds), back=1, size=size)
     rows = rows.withColumns(
         {
             "_shift": F.when(F.col("pnl") < 0, share).otherwise(-share * RECOVERY),
@@ -122,7 +122,8 @@ def trade_state(trades: DataFrame, capital: float, seconds: int = DAY, size: int
         }
     ).withColumn("a_daily_pnl", F.coalesce("a_daily_pnl", F.lit(0.0)))
     both = _together(scans.clamp("_shift", "drawdown"), scans.affine(["daily_pnl"]))
-    return prefix_scan(own_rows(rows), ["account"], both).drop("_shift", "a_daily_pnl", "b_daily_pnl", "block")
+    short = longest(trades, ["account"]) <= size
+    return prefix_scan(own_rows(rows), ["account"], both, short).drop("_shift", "a_daily_pnl", "b_daily_pnl", "block")
 
 
 def _position_scan() -> Scan:
@@ -176,7 +177,7 @@ def _position_scan() -> Scan:
     return Scan(ddl, unit, total, merge, run, "is_open boolean, position_pnl double, _opened bigint")
 
 
-def position_book(trades: DataFrame, seconds: int = DAY, size: int | None = None) -> DataFrame:
+def position_book(trades: DataFrame, seconds: int = DAY, size: int = BLOCK) -> DataFrame:
     """Per trade the state of its symbol's position: open or not, pnl since it opened, opening time.
 
     Any trade opens a closed position, a zero closes an open one, others add to it. Rows with a true
@@ -184,12 +185,11 @@ def position_book(trades: DataFrame, seconds: int = DAY, size: int | None = None
     """
     keys = ["account", "symbol"]
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in trades.columns else F.lit(False)
-    rows = block(
-        numbered_trades(trades.where(F.col("symbol").isNotNull()), keys, seconds),
-        **({"size": size} if size else {}),
-    ).withColumns({"_at": F.unix_micros("ts"), "_reset": reset})
+    held = trades.where(F.col("symbol").isNotNull())
+    rows = block(numbered_trades(held, keys, seconds), size=size)
+    rows = rows.withColumns({"_at": F.unix_micros("ts"), "_reset": reset})
     return (
-        prefix_scan(rows.drop("own"), keys, _position_scan())
+        prefix_scan(rows.drop("own"), keys, _position_scan(), longest(held, keys) <= size)
         .withColumn("opened", F.timestamp_micros("_opened"))
         .drop("_at", "_reset", "_opened", "block")
     )

@@ -170,8 +170,13 @@ def finish(
     return df.groupBy(*by).cogroup(before.groupBy(*by)).applyInArrow(run, schema)
 
 
-def prefix_scan(df: DataFrame, keys: Sequence[str], scan: Scan) -> DataFrame:
-    """``df`` (with ``pos`` and ``block``) plus the columns of the scan."""
+def prefix_scan(df: DataFrame, keys: Sequence[str], scan: Scan, one_block: bool = False) -> DataFrame:
+    """``df`` (with ``pos`` and ``block``) plus the columns of the scan.
+
+    ``one_block`` says that no series has a second block, so there is nothing to carry.
+    """
+    if one_block:
+        return finish(df, keys, scan, None, scan.unit)
     return finish(df, keys, scan, carries(block_totals(df, keys, scan), keys, scan))
 
 

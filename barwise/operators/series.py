@@ -66,6 +66,11 @@ def bucket_seconds(df: DataFrame, keys: Sequence[str], time: str, rows: int = 50
     return max(1, int(rows / rate)) if rate else 86_400
 
 
+def longest(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the longest series: one aggregation over the keys, one number to the driver."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def block(df: DataFrame, back: int = 0, ahead: int = 0, size: int = BLOCK) -> DataFrame:
     """Add ``block`` and ``own``; the last ``back`` rows of a block also join the next one and
     the first ``ahead`` rows the previous one, there with ``own`` false."""
