@@ -496,12 +496,6 @@ def correlation_factor(spark, folder):
     return risk.correlation_factor(risk.correlations(returns, returns.select("symbol").distinct()), 0.0)
 
 
-def _instrument_models(spark, folder):
-    """Daily instrument bars with the features of the default model; short series stay basic."""
-    table = indicators.feature_indicators(indicators.indicators(d.bars_by_instrument(spark, folder), 3650 * 86_400))
-    return regimes.with_model(regimes.basic_features(table))
-
-
 @rounded(4)
 def symbol_profile(spark, folder):
     history = d.regimes_by_instrument(spark, folder)
