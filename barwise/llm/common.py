@@ -6,6 +6,7 @@ the input, also those named like a result column, neither disturb it nor get los
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies: in the folder of ``PUBLIC_TOKENIZERS`` if set, else in the installed package."""
+    if folder := os.environ.get("PUBLIC_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null stays null. ASCII texts take the faster built-in."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import exact_dedup, line_dedup, mixing, quality
-from barwise.llm.common import documents, word_count
-from barwise.session import materialize
+from barwise.llm import exact_dedup, line_dedup, mixing, piece_sampling, quality, token_files
+from barwise.llm.common import documents, tokenizer_path, word_count
+from barwise.session import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,14 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+@query
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document, read back from the written token files."""
+    target = new_path(spark, "token-ids")
+    files = token_files.write(documents(spark, folder), target, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.document_index(files, target)
+
+
 @query
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Page texts without the boilerplate lines of their site."""
@@ -52,3 +60,9 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition figures and verdict of every document."""
     return quality.score(documents(spark, folder))
+
+
+@query
+def op9_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampled pieces of every document and whether they decode to its text."""
+    return piece_sampling.sample(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
