@@ -36,7 +36,8 @@ PERCENTILE = 90
 END_ID = 0
 #: Pieces of text whose ids a task keeps: about 80 MB.
 KEPT_PIECES = 300_000
-_HEAD, _TAIL = struct.Struct("<HBBII"), struct.Struct("<QQQQ8s")
+_HEAD, _TAIL = "<HBBII", "<QQQQ8s"
+_HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 FILES = "file long, path string, n_docs long, n_tokens long"
 DOCS = "file long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -120,22 +121,22 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
                     packed[r] = line.tobytes()
             for r in rows:
                 odd = np.flatnonzero(rest[r] >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-                head = _HEAD.pack(table.shape[1], width, 0, len(odd), int(low[r]))
+                head = struct.pack(_HEAD, table.shape[1], width, 0, len(odd), int(low[r]))
                 packed[r] = head + packed[r] + odd.astype("<u2").tobytes() + rest[r][odd].astype("<u4").tobytes()
         out += packed
     return out
 
 
 def unpack_block(data: memoryview | bytes) -> np.ndarray:
-    n, width, _, odd, low = _HEAD.unpack_from(data)
+    n, width, _, odd, low = struct.unpack_from(_HEAD, data)
     size = (n * width + 7) // 8
     values = np.zeros((n, 4), dtype=np.uint8)
     if width:
         bits = np.zeros((n, 32), dtype=np.uint8)
-        bits[:, 32 - width :] = np.unpackbits(np.frombuffer(data, np.uint8, size, _HEAD.size), count=n * width).reshape(n, width)
+        bits[:, 32 - width :] = np.unpackbits(np.frombuffer(data, np.uint8, size, _HEAD_BYTES), count=n * width).reshape(n, width)
         values = np.packbits(bits, axis=1)
     out = values.view(">u4").reshape(-1).astype(np.uint32)
-    at = _HEAD.size + size
+    at = _HEAD_BYTES + size
     out[np.frombuffer(data, "<u2", odd, at).astype(np.int64)] = np.frombuffer(data, "<u4", odd, at + 2 * odd)
     return out + np.uint32(low)
 
@@ -176,7 +177,7 @@ class _Writer:
             self._flush(self.n_held)
         for values, kind in ((self.offsets, "<u8"), (self.ids, "<i8"), (self.there, "u1"), (self.lengths, "<u4")):
             self.out.write(np.array(values, dtype=kind).tobytes())
-        self.out.write(_TAIL.pack(len(self.offsets), len(self.ids), self.tokens, self.at, MAGIC))
+        self.out.write(struct.pack(_TAIL, len(self.offsets), len(self.ids), self.tokens, self.at, MAGIC))
         self.out.close()
         self.store.move(self.attempt, self.path)
         return self.number, self.path, len(self.ids), self.tokens
@@ -218,10 +219,10 @@ def read_file(folder: str, path: str, group: int = GROUP) -> Iterator[tuple[int
     store, _ = fs.FileSystem.from_uri(folder)
     with store.open_input_file(path) as source:
         size = source.size()
-        n_blocks, n_docs, _, index, magic = _TAIL.unpack(source.read_at(_TAIL.size, size - _TAIL.size))
+        n_blocks, n_docs, _, index, magic = struct.unpack(_TAIL, source.read_at(_TAIL_BYTES, size - _TAIL_BYTES))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token file")
-        table = source.read_at(size - _TAIL.size - index, index)
+        table = source.read_at(size - _TAIL_BYTES - index, index)
         offsets = np.append(np.frombuffer(table, "<u8", n_blocks), index).astype(np.int64)
         ids = np.frombuffer(table, "<i8", n_docs, 8 * n_blocks)
         there = np.frombuffer(table, "u1", n_docs, 8 * (n_blocks + n_docs))
