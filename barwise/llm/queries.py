@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import exact_dedup, line_dedup, mixing, piece_sampling, quality, token_files
+from barwise.llm import exact_dedup, line_dedup, mixing, paragraph_dedup, piece_sampling, quality, set_join, token_files
 from barwise.llm.common import documents, tokenizer_path, word_count
 from barwise.session import materialize, new_path
 
@@ -43,6 +43,12 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.document_index(files, target)
 
 
+@query
+def op5_set_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under Jaccard links of its word triples."""
+    return set_join.join(documents(spark, folder))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Page texts without the boilerplate lines of their site."""
@@ -66,3 +72,9 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled pieces of every document and whether they decode to its text."""
     return piece_sampling.sample(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op10_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of documents that repeat in other documents, and which of them go."""
+    return paragraph_dedup.repeats(documents(spark, folder))
