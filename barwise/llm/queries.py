@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import exact_dedup, line_dedup, mixing, paragraph_dedup, piece_sampling, quality, set_join, token_files
+from barwise.llm import exact_dedup, language_id, line_dedup, mixing, paragraph_dedup, piece_sampling, quality, set_join, token_files
 from barwise.llm.common import documents, tokenizer_path, word_count
 from barwise.session import materialize, new_path
 
@@ -43,6 +43,12 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.document_index(files, target)
 
 
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; a fifth of the documents is never learned from."""
+    return language_id.identify(documents(spark, folder))
+
+
 @query
 def op5_set_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under Jaccard links of its word triples."""
