@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import exact_dedup, language_id, line_dedup, mixing, paragraph_dedup, piece_sampling, quality, set_join, token_files
+from barwise.llm import exact_dedup, language_id, line_dedup, mixing, paragraph_dedup, piece_sampling, pitman_yor, quality, set_join, token_files
 from barwise.llm.common import documents, tokenizer_path, word_count
 from barwise.session import materialize, new_path
 
@@ -35,6 +35,12 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+@query
+def op2_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under the model and under smoothed word frequencies."""
+    return pitman_yor.score(documents(spark, folder))
+
+
 @query
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Place, length and checksum of every document, read back from the written token files."""
