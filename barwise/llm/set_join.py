@@ -207,3 +207,16 @@ def _keys(prefixes: DataFrame, at: int, percent: int) -> DataFrame:
     large = prefixes.where(F.col("n") > at)
     lists = large.select(F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("key"), "node", "n", "few")
     return subsets.unionByName(lists)
+
+
+def dedup(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+
+    Rows that share an id share their fate: they stay if one of them represents its component. Rows without an id
+    stay where no linked row has one. Empty texts link with nothing and stay.
+    """
+    found = join(docs, n, percent, doc_id, text)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(kept).alias("_kept")).where("not _kept")
+    gone = materialize(gone, "linked-rows")
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_anti")
