@@ -7,6 +7,8 @@ the input, also those named like a result column, neither disturb it nor get los
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,6 +61,14 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).split() if text else []
 
 
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """``make()``, once per Python process: tasks that follow each other in a worker share what is costly to build."""
+    store = sys.modules.setdefault("_text_operators", types.ModuleType("_text_operators")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -15,10 +15,13 @@ packed differences from the minimum, most significant bit first, padded to whole
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwise.llm.common import map_arrow
+from barwise.llm.common import map_arrow, per_process
 from barwise.session import materialize
 
 MAGIC = b"PFORIDS1"
 BLOCK, GROUP = 1024, 256
 PERCENTILE = 90
 END_ID = 0
-#: Pieces of text whose ids a task keeps: about 80 MB.
-KEPT_PIECES = 300_000
+#: Words whose ids a worker keeps, each after a space and at the start of a line: about 100 MB.
+KEPT_PIECES = 400_000
 _HEAD, _TAIL = "<HBBII", "<QQQQ8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 FILES = "file long, path string, n_docs long, n_tokens long"
@@ -51,54 +54,58 @@ class TextEncoder:
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.double_space = regex.compile(r"[\s\x1c-\x1f]{2}")
-        self.kept: dict[str, bytes] = {}
+        self.double_space = re.compile(r"\s\s")
+        # Ids of words that follow a space, and of words that begin a line.
+        self.inner: dict[str, bytes] = {"": self._encode([" "])[0]}
+        self.first: dict[str, bytes] = {"": b""}
+        self.feed, self.marks = self._encode(["\n"])[0], dict(zip(".,;:!?", self._encode(list(".,;:!?")), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.double_space.search(text):
-            return []
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-            out.append("\n")
-        return out[:-1]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        known = self.kept
-        new = {p for pieces in cut for p in pieces if p not in known}
-        local = self._learn(new)
-        whole = [i for i, (t, c) in enumerate(zip(texts, cut, strict=True)) if t and not c]
-        out = [b"".join([known[p] if p in known else local[p] for p in pieces]) for pieces in cut]
+        cut = [None if self.double_space.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        inner, first = set(), set()
+        for lines in cut:
+            for words in lines or ():
+                first.add(words[0])
+                inner.update(words[1:])
+        with self._learned(self.inner, inner, " "), self._learned(self.first, first, ""):
+            out = [b"" if lines is None else self._joined(lines) for lines in cut]
+        whole = [i for i, lines in enumerate(cut) if lines is None]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces. A mark after a letter is a token of its own, so it is encoded apart."""
-        ends = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha()}
-        plain = list({ends.get(p, p) for p in new if ends.get(p, p) not in self.kept} | set(".,;:!?") - self.kept.keys())
-        local = dict(zip(plain, self._encode(plain), strict=True))
-        at = lambda p: local[p] if p in local else self.kept[p]
-        for p, base in ends.items():
-            local[p] = at(base) + at(p[-1])
-        for p, ids in local.items():
-            if len(self.kept) >= KEPT_PIECES:
-                break
-            self.kept[p] = ids
-        return local
+    def _joined(self, lines: list[list[str]]) -> bytes:
+        known, parts = self.inner.__getitem__, []
+        for words in lines:
+            parts.append(self.first[words[0]])
+            parts.extend(map(known, words[1:]))
+            parts.append(self.feed)
+        return b"".join(parts[:-1])
+
+    @contextmanager
+    def _learned(self, known: dict[str, bytes], words: set[str], lead: str) -> Iterator[None]:
+        """``known`` with all ``words``; afterwards it keeps new ones only as far as ``KEPT_PIECES`` allows.
+
+        A mark after a letter is a token of its own, so it is encoded apart.
+        """
+        new = words.difference(known)
+        ends = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha()}
+        plain = list({ends.get(w, w) for w in new}.difference(known))
+        known.update(zip(plain, self._encode([lead + w for w in plain]), strict=True))
+        known.update({w: known[base] + self.marks[w[-1]] for w, base in ends.items()})
+        yield
+        if len(known) > KEPT_PIECES:
+            for w in list(islice(reversed(known), len(known) - KEPT_PIECES)):  # the newest
+                del known[w]
 
 
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
@@ -198,7 +205,7 @@ def write(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or TextEncoder(tokenizer)
+            encoder = encoder or per_process(("encoder", tokenizer), lambda: TextEncoder(tokenizer))
             writer = writer or _Writer(folder, TaskContext.get().partitionId())
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
@@ -259,7 +266,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return map_arrow(files.repartition("file").select("file", "path"), load, DOCS)
+    spread = files.select("file", "path").repartition(max(1, files.count()))
+    return map_arrow(spread, load, DOCS)
 
 
 def document_index(files: DataFrame, folder: str) -> DataFrame:
