@@ -12,17 +12,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import map_arrow
+from barwise.llm.common import map_arrow, per_process
 
 #: The sampler's sharpness: pieces weigh probability to this power.
 ALPHA = 1.0
+#: Characters of texts whose lattices are built together: some 100 MB in a task.
+TOGETHER = 1_000_000
 SPACE = "▁"
 #: Stands for a space mark that is itself part of the text; no valid text holds this code point.
 LITERAL = "\udc81"
@@ -119,9 +120,8 @@ class PieceModel:
         return b"".join([self.surface[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=4)
 def load(path: str, alpha: float = ALPHA) -> PieceModel:
-    return PieceModel(path, alpha)
+    return per_process(("pieces", path, alpha), lambda: PieceModel(path, alpha))
 
 
 def units_of(text: str) -> list[str]:
@@ -150,57 +150,64 @@ class Lattices:
     def __init__(self, model: PieceModel, units: list[str]):
         texts = [_verbatim(u) for u in units]
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]  # a unit of n characters has n + 1 nodes
         self.last = self.first + lengths
-        unit = np.repeat(np.arange(len(texts)), lengths)
-        node = np.arange(len(points)) + unit
-        ends = self.last[unit]
+        unit = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        node = np.arange(len(points), dtype=np.int32) + unit
+        left = self.last[unit].astype(np.int32) - node  # characters from here to the end of the unit
         mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        alive = np.arange(len(points))
+        alive = np.arange(len(points), dtype=np.int32)
         hashes = np.zeros(len(points), dtype=np.uint64)
-        froms, tos, pieces = [], [], []
-        spelled = np.zeros(0, dtype=np.int64)
+        starts, sizes, pieces = [], [], []
+        spelled = np.zeros(0, dtype=np.int32)
         for n in range(1, model.longest + 1):
             if not len(alive):
                 break
             hashes = hashes * _P + mixed[alive + n - 1]
             found = model.table.get((hashes ^ (hashes >> np.uint64(32))) * _P)
             hit = found >= 0
-            froms.append(node[alive[hit]])
-            tos.append(froms[-1] + n)
-            pieces.append(found[hit])
+            starts.append(node[alive[hit]])
+            sizes.append(np.full(len(starts[-1]), n, dtype=np.int8))
+            pieces.append(found[hit].astype(np.int32))
             if n == 1:
                 spelled = alive[~hit]
-            onward = (found != -2) & (node[alive] + n < ends[alive])
+            onward = (found != -2) & (left[alive] > n)
             alive, hashes = alive[onward], hashes[onward]
         # Codes from model.size on are characters spelled in bytes.
-        froms.append(node[spelled])
-        tos.append(froms[-1] + 1)
-        pieces.append(model.size + points[spelled])
-        start, end, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(pieces)
+        start = np.concatenate([*starts, node[spelled]])
+        size = np.concatenate([*sizes, np.ones(len(spelled), np.int8)])
+        piece = np.concatenate([*pieces, model.size + points[spelled]])
+        del unit, node, left, mixed, alive, hashes, starts, sizes, pieces, spelled
+        end = start + size
+        n_nodes = int(self.last[-1]) + 1 if len(texts) else 0
+        order = np.argsort(end, kind="stable")
+        start, end, piece, size = start[order], end[order], piece[order], size[order]
         weight = model.weight[np.minimum(piece, model.size)]
-        of = np.zeros(int(self.last[-1]) + 1 if len(texts) else 0, dtype=np.int64)
-        of[np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]] = 1
-        of = np.cumsum(of) - 1
-        reach = end - self.first[of[end]]
-        order = np.lexsort((end - start, reach))
-        alpha = np.full(len(of), -np.inf)
+        # Forward: edges by how far into its unit they lead, one length at a time, so every node is reached once.
+        offset = np.repeat(self.first.astype(np.int32), lengths + 1)
+        reach = end - offset[end]
+        del offset, order
+        step = (reach.astype(np.int64) << 5) + size
+        order = np.argsort(step, kind="stable").astype(np.int32)
+        step = step[order]
+        alpha = np.full(n_nodes, -np.inf)
         alpha[self.first] = 0.0
-        step = (reach[order] << 5) + (end - start)[order]
         cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])) if len(order) else []
+        del reach, step
         for low, high in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            e = order[low:high]  # one length into one position: every node is reached once
+            e = order[low:high]
             alpha[end[e]] = np.logaddexp(alpha[end[e]], alpha[start[e]] + weight[e])
-        order = np.argsort(end, kind="stable")
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
+        del order
         chance = np.exp(alpha[start] + weight - alpha[end])
-        self.edge_first = np.searchsorted(end, np.arange(len(of)))
+        del weight
+        self.edge_first = np.searchsorted(end, np.arange(n_nodes))
         self.edge_count = np.diff(np.append(self.edge_first, len(end)))
         total = np.cumsum(chance)
-        before = np.concatenate([[0.0], total])[self.edge_first]
-        self.upto = total - before[end] + end  # rises from node to node + 1 over the edges into a node
-        self.start, self.piece, self.alpha = start, piece, alpha
+        del chance
+        total -= np.concatenate([[0.0], total])[self.edge_first][end]
+        self.upto = total + end  # rises from node to node + 1 over the edges into a node
+        self.start, self.piece = start, piece
 
     def sample(self, which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all occurrences in order, and how many each has. ``keys`` seed the occurrences."""
@@ -248,7 +255,18 @@ def spell(model: PieceModel, codes: np.ndarray, counts: np.ndarray) -> tuple[np.
 
 
 def encode(model: PieceModel, keys: list, texts: list[str | None], seed: int = 0) -> list[np.ndarray]:
-    """One sampled encoding per text; ``keys`` (integers or None) seed the rows."""
+    """One sampled encoding per text; ``keys`` (integers or None) seed the rows. Works on some texts at a time."""
+    out: list[np.ndarray] = []
+    low = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= TOGETHER or i + 1 == len(texts):
+            out += _encode(model, keys[low : i + 1], texts[low : i + 1], seed)
+            low, size = i + 1, 0
+    return out
+
+
+def _encode(model: PieceModel, keys: list, texts: list[str | None], seed: int) -> list[np.ndarray]:
     numbers: dict[str, int] = {}
     cut = [units_of(t or "") for t in texts]
     which = np.fromiter((numbers.setdefault(u, len(numbers)) for units in cut for u in units), dtype=np.int64)
