@@ -11,6 +11,7 @@ CREATE OR REPLACE TEMPORARY FUNCTION get_regime_history(
 RETURNS TABLE (timestamp TIMESTAMP, regime_type STRING, confidence DOUBLE)
 RETURN SELECT e.timestamp, e.regime_type, e.confidence FROM {view} e
        WHERE e.symbol = p_symbol AND e.timestamp >= p_as_of - make_dt_interval(p_days)
+       ORDER BY e.timestamp DESC
 """
 
 STATS = """
@@ -23,6 +24,7 @@ RETURN SELECT q.regime_type, count(*), avg(q.confidence), sum(q.end_time - q.tim
              FROM {view} e
              WHERE e.symbol = p_symbol AND e.timestamp BETWEEN p_start AND p_end) q
        GROUP BY q.regime_type
+       ORDER BY count(*) DESC, q.regime_type
 """
 
 

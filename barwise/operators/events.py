@@ -48,9 +48,9 @@ def filter_events(
     event_type: str | None = None,
     start: str | None = None,
     end: str | None = None,
-    limit: int | None = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Events in time order; the limit keeps the earliest."""
+    """Events that pass the filters; a ``limit`` keeps the earliest in time order."""
     out = events
     if aggregate_id is not None:
         out = out.where(F.col("aggregate_id") == aggregate_id)

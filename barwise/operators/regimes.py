@@ -251,11 +251,11 @@ def regime_statistics(events: DataFrame, as_of: str, days: int = 30) -> DataFram
 
 
 def regime_history(events: DataFrame, as_of: str, days: int = 30, symbol: str | None = None) -> DataFrame:
-    """Events of the last ``days``, newest first within a symbol."""
+    """Events of the last ``days`` per symbol, newest first."""
     out = events.where(F.col("timestamp") >= since(as_of, days))
     if symbol is not None:
         out = out.where(F.col("symbol") == symbol)
-    return out.select("symbol", "timestamp", "regime_type", "confidence")
+    return out.select("symbol", "timestamp", "regime_type", "confidence").orderBy("symbol", F.desc("timestamp"))
 
 
 def filter_regime_events(
@@ -264,7 +264,7 @@ def filter_regime_events(
     regime: str | None = None,
     start: str | None = None,
     end: str | None = None,
-    limit: int | None = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
     out = events
     if symbol is not None:

@@ -234,13 +234,14 @@ def value_at_risk(trades: DataFrame, capital: float, confidence: float = 0.95) -
     )
 
 
-def risk_report(trades: DataFrame, capital: float) -> DataFrame:
-    """One row per account: drawdown, pnl of the last day, open positions, VaR and trade counts of
-    the retained 1000 trades."""
+def risk_report(trades: DataFrame, capital: float, retained: int | None = None) -> DataFrame:
+    """One row per account: drawdown, pnl of the last day, open positions, VaR and trade counts, of all
+    trades or of the newest ``retained`` ones."""
     state = trade_state(trades, capital).groupBy("account").agg(
         F.max_by(F.struct("drawdown", "daily_pnl"), "pos").alias("_s")
     )
-    counts = last_trades(trades, RETAINED).groupBy("account").agg(
+    counted = trades if retained is None else last_trades(trades, retained)
+    counts = counted.groupBy("account").agg(
         F.count(F.lit(1)).alias("total_trades"),
         F.count_if(F.col("pnl") > 0).alias("winning_trades"),
         F.count_if(F.col("pnl") < 0).alias("losing_trades"),

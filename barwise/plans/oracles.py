@@ -509,6 +509,8 @@ _BODIES: dict[str, str] = {
     "regime_history": f"""SELECT {EVENT} FROM ev_h WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY""",
     "regime_event_filter": f"""SELECT {EVENT}, regime_model FROM ev_u WHERE regime_type = 'trending_high_vol'
         AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' ORDER BY timestamp, symbol LIMIT 1000""",
+    "regime_event_filter_all": f"""SELECT {EVENT}, regime_model FROM ev_u WHERE regime_type = 'trending_high_vol'
+        AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'""",
     "history_summary": """SELECT symbol, count(*) AS total_periods, round(avg(confidence), 6) AS avg_confidence,
         arg_min(regime_type, rank) AS current_regime, round(CASE WHEN count(*) <= 1 THEN 1 ELSE
         1 - sum(changed) / (count(*) - 1) END, 6) AS regime_stability, 'basic' AS primary_model FROM
@@ -649,6 +651,12 @@ _BODIES: dict[str, str] = {
         (SELECT count(*) FROM open_u) AS active_positions FROM var_a, es_a, (SELECT count(*) AS total_trades,
         count(*) FILTER (pnl > 0) AS winning_trades, count(*) FILTER (pnl < 0) AS losing_trades
         FROM (SELECT * FROM t_n ORDER BY n DESC LIMIT 1000))""",
+    "risk_report_all": """SELECT 'A' AS account, round((SELECT dd FROM dd ORDER BY n DESC LIMIT 1), 8) AS current_drawdown,
+        round((SELECT daily_pnl FROM daily ORDER BY n DESC LIMIT 1), 8) AS daily_pnl, total_trades, winning_trades, losing_trades,
+        round(var_95, 8) AS var_95, round(expected_shortfall, 8) AS expected_shortfall,
+        (SELECT count(*) FROM open_u) AS active_positions FROM var_a, es_a, (SELECT count(*) AS total_trades,
+        count(*) FILTER (pnl > 0) AS winning_trades, count(*) FILTER (pnl < 0) AS losing_trades
+        FROM (SELECT * FROM t_n  ))""",
     "performance_metrics": f"""SELECT account, symbol, ts::DATE AS day, round(sum(pnl) / {CAPITAL}, 6) AS returns,
         round(stddev_samp(pnl / {CAPITAL}), 6) AS volatility, round(max(peak - cum) / {CAPITAL}, 6) AS max_drawdown,
         round(CASE WHEN stddev_samp(pnl / {CAPITAL}) > 0 THEN avg(pnl / {CAPITAL}) / stddev_samp(pnl / {CAPITAL}) END, 6) AS sharpe_ratio
@@ -659,6 +667,8 @@ _BODIES: dict[str, str] = {
     "highest_versions": "SELECT aggregate_id, max(version) AS version FROM es GROUP BY 1",
     "event_filter": """SELECT id, event_type, aggregate_id, data, metadata, timestamp, version FROM es WHERE event_type = 'order_placed'
         AND timestamp BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' ORDER BY timestamp, version, id LIMIT 1000""",
+    "event_filter_all": """SELECT id, event_type, aggregate_id, data, metadata, timestamp, version FROM es WHERE event_type = 'order_placed'
+        AND timestamp BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28'""",
     "event_state": """SELECT aggregate_id, signal, "order", last_data, json_extract_string(last_data, '$.k') AS last_regime FROM (
         SELECT aggregate_id, arg_max(data, version) FILTER (event_type = 'signal_generated') AS signal,
         arg_max(data, version) FILTER (event_type = 'order_placed') AS "order",
@@ -737,6 +747,13 @@ _BODIES: dict[str, str] = {
     "stream_ingest": """SELECT symbol, regime_type, nnfx_signal, count(*) AS n, min(time) AS first_time, max(time) AS last_time,
         round(avg(adx), 4) AS adx, round(avg(rsi), 4) AS rsi, round(avg(kama), 4) AS kama, round(avg(stoch_d), 4) AS stoch_d,
         round(avg(enhanced), 4) AS regime_confidence_enhanced FROM nnfx_f GROUP BY 1, 2, 3""",
+    "stream_ingest_bars": "SELECT symbol, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM flat",
+    "stream_ingest_outputs": """SELECT output, count(*) AS n, count(DISTINCT symbol) AS symbols, min(time) AS first_time, max(time) AS last_time
+        FROM flat CROSS JOIN (VALUES ('features'), ('regime_events'), ('history'), ('package')) o(output) GROUP BY 1""",
+    "stream_ingest_snapshot": """SELECT symbol, regime_type AS regime, round(volatility, 4) AS volatility, round(trend_strength, 4) AS trend,
+        time AS timestamp, nnfx_signal, round(CASE WHEN enhanced > 0 THEN enhanced END, 4) AS confidence_enhanced,
+        round(CASE WHEN enhanced > 0 THEN adx END, 4) AS adx FROM nnfx_f
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1""",
     "stream_risk_state": """SELECT account, daily.id, round(dd, 8) AS drawdown, round(daily_pnl, 8) AS daily_pnl,
         (sum(is_open::INT - was_open::INT) OVER (ORDER BY daily.n))::BIGINT AS active_positions FROM daily JOIN dd USING (n)
         JOIN (SELECT id, is_open, was_open FROM pe) p ON p.id = daily.id""",

@@ -13,10 +13,13 @@ from barwise.session import materialize
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None where nothing is stored yet; any other fault is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def by_date(df: DataFrame, time: str) -> DataFrame:
@@ -53,28 +56,39 @@ def replace_dates(df: DataFrame, path: str, time: str = "time") -> None:
 
 
 def upsert_bars(incoming: DataFrame, path: str, sequence: str) -> None:
-    """Write bars by (time, symbol), last write wins.
+    """Write bars by (time, symbol), last write wins; missing values of a write become 0, on the first one as well.
 
     Only the dates of the batch are read and rewritten. The merged rows are staged before their
     dates are replaced, and the result depends on the input alone, so a repeated batch is harmless.
     """
     stored = read_or_none(incoming.sparkSession, path)
     if stored is None:
-        append(last_write(incoming, sequence), path)
-        return
-    existing = on_dates(stored, dates_of(incoming, "time"))
+        existing = incoming.drop(sequence).limit(0)
+    else:
+        existing = on_dates(stored, dates_of(incoming, "time"))
     replace_dates(materialize(merge_bars(existing, incoming, sequence), "merged-bars"), path)
 
 
 def append_events(incoming: DataFrame, path: str) -> DataFrame:
-    """Append events without a version conflict; the rejected ones are returned."""
-    stored = read_or_none(incoming.sparkSession, path)
-    if stored is None:
-        known = incoming.limit(0)
-    else:
-        known = stored.join(incoming.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
+    """Append events without a version conflict; the rejected ones are returned.
+
+    The highest versions are a log of their own beside the events, one small row per aggregate and append,
+    so an append does not read the history. The log begins from the history where there is none.
+    """
+    spark, log = incoming.sparkSession, f"{path.rstrip('/')}-versions"
+    known = read_or_none(spark, log)
+    if known is None:
+        stored = read_or_none(spark, path)
+        if stored is None:
+            known = incoming.select("aggregate_id", "version").limit(0)
+        else:
+            stored.groupBy("aggregate_id").agg(F.max("version").alias("version")).write.mode("overwrite").parquet(log)
+            known = spark.read.parquet(log)
+    known = known.join(incoming.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
     checked = materialize(check_versions(known, incoming), "checked-events")
-    append(checked.where(~F.col("conflict")).drop("conflict"), path, "timestamp")
+    accepted = checked.where(~F.col("conflict")).drop("conflict")
+    append(accepted, path, "timestamp")
+    accepted.groupBy("aggregate_id").agg(F.max("version").alias("version")).write.mode("append").parquet(log)
     return checked.where("conflict").drop("conflict")
 
 
@@ -94,11 +108,21 @@ def refresh_range(as_of: str) -> tuple:
 
 
 def _refresh(source: DataFrame, time: str, as_of: str, build, path: str, bucket: str) -> None:
+    """Recompute the range and replace it: days of the range that have no rows any more are emptied."""
+    spark = source.sparkSession
     first, end = refresh_range(as_of)
     inside = source.where((F.col(time) >= first) & (F.col(time) < end))
     if "date" in source.columns:
         inside = inside.where(F.col("date").between(F.to_date(first), F.to_date(end))).drop("date")
-    replace_dates(build(inside), path, bucket)
+    built = materialize(build(inside), "refreshed")
+    stored = read_or_none(spark, path)
+    if stored is not None:
+        days = stored.where((F.col("date") >= F.to_date(first)) & (F.col("date") < F.to_date(end))).select("date").distinct()
+        gone = [r[0] for r in days.join(built.select(F.to_date(bucket).alias("date")).distinct(), "date", "left_anti").collect()]
+        for day in gone:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    replace_dates(built, path, bucket)
 
 
 def refresh_daily_bars(bars: DataFrame, path: str, as_of: str) -> None:

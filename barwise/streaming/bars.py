@@ -10,12 +10,14 @@ from barwise.operators import bars as bar_ops
 from barwise.operators import events as event_ops
 from barwise.operators import features as feature_ops
 from barwise.operators import regimes
-from barwise.operators.indicators import feature_indicators, indicators
+from barwise.operators.indicators import feature_indicators
+from barwise.operators.series import BLOCK
 from barwise.session import materialize
 from barwise.sources import sinks
+from barwise.streaming.replay import BAR_COLUMNS, replayed_indicators
 
+#: Rows later than this are not in the incremental tables; the batch refresh takes them in.
 WATERMARK = "31 days"
-LOOKBACK = 50
 
 
 def start(stream: DataFrame, checkpoint: str, each_batch, seconds: int | None = None, mode: str = "append") -> StreamingQuery:
@@ -92,85 +94,51 @@ def newest_version(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-# --- the write path --------------------------------------------------------------------------
-
-
-BAR_COLUMNS = ["symbol", "time", "open", "high", "low", "close", "volume"]
-
-
-def with_lookback(new: DataFrame, history: DataFrame, periods: int = LOOKBACK) -> DataFrame:
-    """New bars after up to ``periods`` earlier bars of the same symbol."""
-    first = new.groupBy("symbol").agg(F.min("time").alias("_first"))
-    before = history.join(first, "symbol").where(F.col("time") < F.col("_first")).select(*BAR_COLUMNS)
-    before = bar_ops.newest_per_symbol(before, periods).drop("rank").withColumn("is_new", F.lit(False))
-    return before.unionByName(new.select(*BAR_COLUMNS).withColumn("is_new", F.lit(True)))
+def newest_batches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of the newest batch that wrote a key; the other rows are of replaced versions."""
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [*keys, "batch"], "left_semi").drop("batch")
 
 
-def batch_features(new: DataFrame, history: DataFrame, model: str = "comprehensive", periods: int = LOOKBACK) -> DataFrame:
-    """Features, regime and signal of the new bars of one batch."""
-    rows = with_lookback(new, history, periods)
-    out = regimes.with_model(regimes.basic_features(feature_indicators(indicators(rows))), model)
-    return out.where("is_new").drop("is_new")
-
-
-def split_late(new: DataFrame, tail: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bars after the newest known bar of their symbol, and the others."""
-    newest = tail.groupBy("symbol").agg(F.max("time").alias("_newest"))
-    placed = new.join(newest, "symbol", "left")
-    is_late = F.coalesce(F.col("time") <= F.col("_newest"), F.lit(False))
-    return placed.where(~is_late).drop("_newest"), placed.where(is_late).drop("_newest")
+# --- the write path --------------------------------------------------------------------------
 
 
-def newest_tail(tail: DataFrame | None, new: DataFrame, periods: int) -> DataFrame:
-    """The newest ``periods`` bars per symbol after a batch; a bar sent again replaces the old one."""
-    rows = new.select(*BAR_COLUMNS)
-    if tail is not None:
-        rows = tail.join(rows, ["symbol", "time"], "left_anti").select(*BAR_COLUMNS).unionByName(rows)
-    return bar_ops.newest_per_symbol(rows, periods).drop("rank")
+def batch_features(store: str, number: int, new: DataFrame, model: str = "comprehensive", size: int = BLOCK) -> DataFrame:
+    """Features, regime and signal of all bars whose values a batch changes: from its first bar of a symbol on."""
+    rows = replayed_indicators(store, number, new, size)
+    return regimes.with_model(regimes.basic_features(feature_indicators(rows)), model)
 
 
-def ingest(store: str, model: str = "comprehensive", source: str = "live", periods: int = LOOKBACK):
+def ingest(store: str, model: str = "comprehensive", source: str = "live", size: int = BLOCK):
     """Batch writer of the whole path: validate, normalize, upsert, features, regime, signal, then
-    history, key-values and audit. Bad bars go to quarantine.
+    regime events, key-values, snapshot, history, training package and audit. Bad bars go to quarantine.
 
-    The newest bars per symbol are kept from batch to batch, so the look-back of a new bar reads that
-    small table and not the history. Only late bars look up their earlier bars in the stored table.
-    Every output of a batch lives under its batch number: a repeated batch writes the same rows again.
+    Every output lives under its batch number, so a repeated batch writes the same rows again. A bar that is sent
+    again or comes late appears under a newer batch, with all later bars of its symbol; :func:`newest_batches` by symbol
+    and time gives the current rows, equal to one run over all bars however the stream was cut.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         part = f"batch={number}"
-        arrived = materialize(batch, "batch")
+        arrived = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
+        arrived = materialize(arrived, "batch")
         good, bad = bar_ops.split_valid(bar_ops.normalize(arrived))
         bad.write.mode("overwrite").parquet(f"{store}/quarantine/{part}")
-        if "seq" not in good.columns:
-            good = good.withColumn("seq", F.lit(0))
-        new = materialize(bar_ops.last_write(good, "seq"), "new-bars")
-        tail = sinks.read_or_none(spark, f"{store}/tail/batch={number - 1}")
-        sinks.upsert_bars(good, f"{store}/bars", "seq")
-        stored = sinks.read_or_none(spark, f"{store}/bars")
-        if stored is None:
+        new = materialize(bar_ops.last_write(good, "seq").select(*BAR_COLUMNS), "new-bars")
+        if new.isEmpty():
             return
-        if tail is None:
-            # No batch before: the table is new, or filled by another job. Look-backs come from it.
-            rows = batch_features(new, stored, model, periods)
-            kept = newest_tail(None, stored, periods)
-        else:
-            fresh, late = split_late(new, tail)
-            if late.isEmpty():
-                rows = batch_features(fresh, tail, model, periods)
-            else:
-                tail = newest_tail(tail, late, periods)
-                rows = batch_features(fresh, tail, model, periods).unionByName(
-                    batch_features(late, stored, model, periods)
-                )
-            kept = newest_tail(tail, fresh, periods)
-        kept.write.mode("overwrite").parquet(f"{store}/tail/{part}")
-        rows = materialize(rows, "batch-features")
-        rows.write.mode("overwrite").parquet(f"{store}/features/{part}")
-        event_ops.regime_event_rows(rows).write.mode("overwrite").parquet(f"{store}/regime_events/{part}")
-        feature_ops.key_values(rows).write.mode("overwrite").parquet(f"{store}/key_values/{part}")
-        event_ops.audit_events(rows, source).write.mode("overwrite").parquet(f"{store}/events/{part}")
+        sinks.upsert_bars(new.withColumn("seq", F.lit(0)), f"{store}/bars", "seq")
+        rows = materialize(batch_features(store, number, new, model, size), "batch-features")
+        outputs = {
+            "features": rows,
+            "regime_events": event_ops.regime_event_rows(rows),
+            "key_values": feature_ops.key_values(rows),
+            "snapshot": feature_ops.strategy_snapshot(rows),
+            "history": feature_ops.regime_history_rows(rows),
+            "package": feature_ops.training_package(rows),
+            "events": event_ops.audit_events(rows, source),
+        }
+        for name, out in outputs.items():
+            out.write.mode("overwrite").parquet(f"{store}/{name}/{part}")
 
     return write

@@ -11,26 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barwise.operators.indicators import (
-    FIRST_SCAN,
-    INPUTS,
-    SECOND_SCAN,
-    frames,
-)
+from barwise.operators.bars import last_write
 from barwise.operators.risk import RECOVERY, VAR_MIN, VAR_TRADES
-from barwise.operators.scan import block_totals, carries, finish
-from barwise.operators.series import BLOCK, number
+from barwise.operators.series import BLOCK
 from barwise.session import materialize
-from barwise.sources.sinks import read_or_none
+from barwise.sources.sinks import upsert_bars
+from barwise.streaming.replay import BAR_COLUMNS, replayed_indicators
 
 # --- expiring state --------------------------------------------------------------------------
 
 EXPIRING = "symbol string, regime string, confidence double, time timestamp, expired boolean"
 
 
-def expiring_regimes(events: DataFrame, seconds: int, watermark: str = "0 seconds") -> DataFrame:
+def expiring_regimes(events: DataFrame, seconds: int, watermark: str | None = None) -> DataFrame:
     """The newest regime per symbol of a stream, and a row with ``expired`` once the watermark has
-    passed ``seconds`` after it. Columns symbol, regime_type, confidence, timestamp."""
+    passed ``seconds`` after it. Columns symbol, regime_type, confidence, timestamp.
+
+    Rows may arrive up to the lifetime late (``watermark``, by default ``seconds``); per symbol the newest wins.
+    Rows later than that could only be expired ones.
+    """
+    watermark = watermark or f"{seconds} seconds"
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (symbol,) = key
@@ -109,76 +109,21 @@ def rolling_risk(trades: DataFrame, capital: float) -> DataFrame:
 
 # --- rolling indicators ----------------------------------------------------------------------
 
-TAIL = 45
-_BAR = ["symbol", "time", "open", "high", "low", "close", "volume"]
-
-
-def _states(folder: str, spark, batch: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
-    """Tail, first and second recurrence states that the batches before ``batch`` left behind."""
-    before = batch - 1
-    names = ("tail", "first", "second")
-    return tuple(read_or_none(spark, f"{folder}/state/{n}/batch={before}") for n in names) if batch else (None,) * 3
-
-
-def _end_states(totals: DataFrame, scan, keys: list[str]) -> DataFrame:
-    """The state after the last row of each series: the carry into one block more."""
-    ends = totals.groupBy(*keys).agg((F.max("block") + 1).alias("block"))
-    unit = {n: F.lit(v) for n, v in scan.unit.items()}
-    probes = ends.withColumns(unit)
-    whole = totals.unionByName(probes)
-    return carries(whole, keys, scan).join(ends, [*keys, "block"], "left_semi").drop("block")
-
 
 def rolling_indicators(folder: str, size: int = BLOCK):
-    """Batch writer that continues all indicators bar by bar.
+    """Batch writer that continues all indicators bar by bar, late and corrected bars included.
 
-    Between batches each symbol keeps its last 45 bars with their positions and the values of its
-    recurrences; a new batch is scanned from there with the operators of the batch form, so results
-    equal those of the whole series. Bars not later than the last one seen are set aside under
-    ``late``. Everything is written under the batch number, so a repeated batch gives the same files.
+    Bars are merged into ``{folder}/bars`` and scanned from the kept states (see ``replay``). Rows are written under
+    the batch number; :func:`barwise.streaming.bars.newest_version` gives the current ones.
     """
-    keys = ["symbol"]
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        tail, first_old, second_old = _states(folder, spark, n)
-        arrived = materialize(batch.select(*_BAR), "batch")
-        if tail is None:
-            fresh, base = arrived, None
-        else:
-            base = tail.groupBy("symbol").agg(F.max("time").alias("_last"), (F.max("pos") + 1).alias("_n"))
-            placed = arrived.join(base, "symbol", "left")
-            late = placed.where(F.col("time") <= F.col("_last")).select(*_BAR)
-            late.write.mode("overwrite").parquet(f"{folder}/late/batch={n}")
-            fresh = placed.where(F.col("_last").isNull() | (F.col("time") > F.col("_last"))).select(*_BAR)
-        rows = number(fresh, keys, ["time"], 30 * 86_400)
-        if base is not None:
-            rows = rows.join(base.select("symbol", "_n"), "symbol", "left")
-            rows = rows.withColumn("pos", F.col("pos") + F.coalesce("_n", F.lit(0))).drop("_n")
-        rows = rows.withColumn("_seen", F.lit(False))
-        if tail is not None:
-            rows = rows.unionByName(tail.withColumn("_seen", F.lit(True)))
-        rows = materialize(rows, "numbered-bars")
-        framed = frames(rows, keys, size).withColumn("own", F.col("own") & ~F.col("_seen")).drop("_seen")
-        slim = framed.select(*keys, "block", "own", "pos", *INPUTS)
-        has_new = slim.where("own").select(*keys, "block").distinct()
-        framed, slim = (x.join(has_new, [*keys, "block"], "left_semi") for x in (framed, slim))
-
-        def with_old(totals: DataFrame, old: DataFrame | None) -> DataFrame:
-            return totals if old is None else totals.unionByName(old.withColumn("block", F.lit(-1).cast("bigint")))
-
-        first_totals = with_old(block_totals(slim, keys, FIRST_SCAN), first_old)
-        first = carries(first_totals, keys, FIRST_SCAN).where("block >= 0")
-        second_totals = with_old(block_totals(slim, keys, SECOND_SCAN, first), second_old)
-        second = carries(second_totals, keys, SECOND_SCAN).where("block >= 0")
-        done = finish(framed, keys, SECOND_SCAN, first.join(second, [*keys, "block"]))
-        done.drop("block", *[c for c in INPUTS if c != "close"]).write.mode("overwrite").parquet(
-            f"{folder}/indicators/batch={n}"
-        )
-        newest = rows.groupBy("symbol").agg(F.max("pos").alias("_top"))
-        kept = rows.join(newest, "symbol").where(F.col("pos") > F.col("_top") - TAIL)
-        kept.select(*_BAR, "pos").write.mode("overwrite").parquet(f"{folder}/state/tail/batch={n}")
-        _end_states(first_totals, FIRST_SCAN, keys).write.mode("overwrite").parquet(f"{folder}/state/first/batch={n}")
-        _end_states(second_totals, SECOND_SCAN, keys).write.mode("overwrite").parquet(f"{folder}/state/second/batch={n}")
+        arrived = materialize(batch.select(*BAR_COLUMNS).withColumn("seq", F.monotonically_increasing_id()), "batch")
+        if arrived.isEmpty():
+            return
+        new = materialize(last_write(arrived, "seq"), "new-bars")
+        upsert_bars(new.withColumn("seq", F.lit(0)), f"{folder}/bars", "seq")
+        rows = replayed_indicators(folder, n, new, size)
+        rows.write.mode("overwrite").parquet(f"{folder}/indicators/batch={n}")
 
     return write

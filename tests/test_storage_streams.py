@@ -50,6 +50,41 @@ def test_upsert_last_write_wins_and_keeps_other_dates(spark, tmp_path):
     assert got == {(hours(0), "X"): 10.0, (hours(30), "X"): 30.0, (hours(31), "X"): 40.0, (hours(60), "X"): 10.0}
 
 
+def test_missing_values_become_zero_on_every_write(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    empty = [(hours(1), "X", 1.0, 1.0, 1.0, 1.0, None, 1)]
+    for _ in range(2):
+        sinks.upsert_bars(frame(spark, empty), path, "seq")
+        assert [r.volume for r in spark.read.parquet(path).collect()] == [0]
+
+
+def test_unreadable_tables_are_not_taken_for_new(spark, tmp_path):
+    path = tmp_path / "broken"
+    assert sinks.read_or_none(spark, str(path)) is None
+    path.mkdir()
+    (path / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        sinks.read_or_none(spark, str(path))
+
+
+def test_refresh_empties_days_without_rows(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    bars = frame(spark, [bar(0), bar(30)]).drop("seq")
+    sinks.refresh_daily_bars(bars, path, "2024-01-03 02:00:00")
+    sinks.refresh_daily_bars(bars.where(F.col("time") < hours(24)), path, "2024-01-03 02:00:00")
+    assert [r.time for r in spark.read.parquet(path).collect()] == [hours(0)]
+
+
+def test_appends_read_the_version_log(spark, tmp_path):
+    path = str(tmp_path / "events")
+    schema = "id int, aggregate_id string, version int, timestamp timestamp"
+    event = lambda i, v: spark.createDataFrame([(i, "a", v, hours(i))], schema)
+    assert sinks.append_events(event(1, 1), path).count() == 0
+    assert sinks.append_events(event(2, 2), path).count() == 0
+    assert sinks.append_events(event(3, 2), path).count() == 1
+    assert spark.read.parquet(f"{path}-versions").agg(F.max("version")).first()[0] == 2
+
+
 def test_append_events_returns_rejects(spark, tmp_path):
     path = str(tmp_path / "events")
     schema = "id bigint, event_type string, aggregate_id string, data string, metadata string, timestamp timestamp, version int"
@@ -105,36 +140,47 @@ def test_daily_stream_over_several_batches(spark, tmp_path):
     assert got == {hours(0): (1.0, 10.0, 5.0, 15), hours(24): (10.0, 11.0, 10.0, 5)}
 
 
-def test_ingest_quarantines_and_uses_the_lookback(spark, tmp_path):
-    source, store = str(tmp_path / "in"), str(tmp_path / "store")
-    rows = [(t, "X", o, h, lo, c, v) for t, o, h, lo, c, v in random_bars(40, 5)]
+def current(spark, path):
+    return {(r.symbol, r.time): r for r in bar_streams.newest_version(spark.read.parquet(path), ["symbol", "time"]).collect()}
+
+
+VALUES = ("atr14", "rsi", "adx", "kama", "macd_signal", "stoch_d", "hma", "period")
+
+
+def assert_same_values(got, want, names=VALUES):
+    assert set(got) == {(w.symbol, w.time) for w in want}
+    for w in want:
+        g = got[(w.symbol, w.time)]
+        for name in names:
+            assert (g[name] is None) == (w[name] is None), (name, w.pos)
+            assert w[name] is None or g[name] == pytest.approx(w[name], abs=1e-8), (name, w.pos)
+
+
+def test_ingest_does_not_depend_on_the_cut(spark, tmp_path):
+    """Late, repeated and corrected bars over several batches, and all bars at once, give the same rows."""
+    rows = [(t, s, o, h, lo, c, v) for s, seed in (("X", 5), ("Y", 6)) for t, o, h, lo, c, v in random_bars(70, seed)]
     bad = [(hours(100), "X", 1.0, 0.5, 2.0, 1.0, 1)]
-    write_files(spark, [spark.createDataFrame(rows[:30], BARS), spark.createDataFrame(rows[30:] + bad, BARS)], source)
-    run(tables.bar_stream(spark, source, maxFilesPerTrigger="1"), str(tmp_path), bar_streams.ingest(store))
-    assert spark.read.parquet(f"{store}/bars").count() == 40
-    assert [r.reject_reason for r in spark.read.parquet(f"{store}/quarantine").collect()] == ["high below low"]
-    features = spark.read.parquet(f"{store}/features").orderBy("time").collect()
-    assert len(features) == 40 and features[-1].adx is not None and features[5].adx is None
-    whole = indicators.indicators(spark.createDataFrame(rows, BARS)).orderBy("time").collect()
-    assert features[-1].rsi == pytest.approx(whole[-1].rsi)
-    assert spark.read.parquet(f"{store}/regime_events").count() == 40
-    assert spark.read.parquet(f"{store}/events").count() == 40
-
-
-def test_ingest_looks_up_history_for_late_bars(spark, tmp_path):
-    source, store = str(tmp_path / "in"), str(tmp_path / "store")
-    rows = [(t, "X", o, h, lo, c, v) for t, o, h, lo, c, v in random_bars(70, 5)]
-    again = [(*rows[40][:5], rows[40][5] + 0.1, 9)]
-    parts = [spark.createDataFrame(r, BARS) for r in (rows[:40] + rows[41:65], again, rows[65:])]
-    write_files(spark, parts, source)
-    run(tables.bar_stream(spark, source, maxFilesPerTrigger="1"), str(tmp_path), bar_streams.ingest(store))
-    got = {r.time: r for r in spark.read.parquet(f"{store}/features").collect()}
-    assert len(got) == 70 and got[rows[40][0]].close == again[0][5]
-    before = spark.createDataFrame(rows[:40] + again, BARS)
-    want = indicators.indicators(before).orderBy(F.desc("pos")).first()
-    assert got[rows[40][0]].rsi == pytest.approx(want.rsi)
-    tail = spark.read.parquet(f"{store}/tail/batch=2").orderBy("time").collect()
-    assert len(tail) == 50 and tail[-1].time == rows[-1][0]
+    x, y = rows[:70], rows[70:]
+    wrong = [(*x[30][:5], x[30][5] + 0.5, 9)]
+    cuts = [x[:10] + x[11:30] + wrong + x[31:50] + y[:60], x[30:31] + x[50:60] + y[60:], x[10:11] + x[50:55] + bad, x[60:]]
+    stores = {}
+    for name, parts in (("many", cuts), ("one", [rows + bad])):
+        source, stores[name] = str(tmp_path / f"in-{name}"), str(tmp_path / name)
+        for part in parts:
+            spark.createDataFrame(part, BARS).write.mode("append").parquet(source)
+            run(tables.bar_stream(spark, source), str(tmp_path / f"c-{name}"), bar_streams.ingest(stores[name], size=48))
+    assert spark.read.parquet(f"{stores['many']}/bars").count() == 140
+    assert [r.reject_reason for r in spark.read.parquet(f"{stores['many']}/quarantine").collect()] == ["high below low"]
+    got, want = (current(spark, f"{stores[n]}/features") for n in ("many", "one"))
+    names = ("close", "adx", "rsi", "kama", "stoch_d", "regime_type", "nnfx_signal", "regime_confidence_enhanced")
+    assert set(got) == set(want) and len(got) == 140
+    for k, w in want.items():
+        for name in names:
+            same = got[k][name] == (w[name] if w[name] is None or isinstance(w[name], str) else pytest.approx(w[name], abs=1e-8))
+            assert same, (k, name)
+    for name, keys in (("key_values", ["symbol", "time"]), ("history", ["symbol", "timestamp"]), ("package", ["symbol", "timestamp"]), ("snapshot", ["symbol"])):
+        rows_of = [bar_streams.newest_batches(spark.read.parquet(f"{stores[n]}/{name}"), keys) for n in ("many", "one")]
+        assert rows_of[0].count() == rows_of[1].count() > 0
 
 
 def test_only_touched_dates_are_read(spark, tmp_path):
@@ -149,21 +195,14 @@ def test_rolling_indicators_continue_exactly(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(t, s, o, h, lo, c, v) for s, seed in (("X", 5), ("Y", 6)) for t, o, h, lo, c, v in random_bars(90, seed)]
     df = spark.createDataFrame(rows, BARS)
+    late = (F.col("time") == hours(3)) & (F.col("symbol") == "X")
     cuts = [hours(0), hours(9), hours(20), hours(90)]
-    parts = [df.where((F.col("time") >= a) & (F.col("time") < b)) for a, b in zip(cuts, cuts[1:])]
-    late = df.where((F.col("time") == hours(3)) & (F.col("symbol") == "X"))
-    parts[2] = parts[2].unionByName(late)
-    write_files(spark, parts, source)
-    run(tables.bar_stream(spark, source, maxFilesPerTrigger="1"), str(tmp_path), state_streams.rolling_indicators(out, size=48))
-    got = {(r.symbol, r.time): r for r in spark.read.parquet(f"{out}/indicators").collect()}
-    want = indicators.indicators(df).collect()
-    assert len(got) == len(want) == 180
-    for w in want:
-        g = got[(w.symbol, w.time)]
-        for name in ("atr14", "rsi", "adx", "kama", "macd_signal", "stoch_d", "hma", "period"):
-            assert (g[name] is None) == (w[name] is None), (name, w.pos)
-            assert w[name] is None or g[name] == pytest.approx(w[name], abs=1e-8), (name, w.pos)
-    assert spark.read.parquet(f"{out}/late").count() == 1
+    parts = [df.where((F.col("time") >= a) & (F.col("time") < b) & ~late) for a, b in zip(cuts, cuts[1:])]
+    parts.append(df.where(late))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        run(tables.bar_stream(spark, source), str(tmp_path), state_streams.rolling_indicators(out, size=48))
+    assert_same_values(current(spark, f"{out}/indicators"), indicators.indicators(df).collect())
 
 
 def test_rolling_risk_equals_the_batch_form(spark, tmp_path):
