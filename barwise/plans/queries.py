@@ -1065,15 +1065,16 @@ def stream_ingest_snapshot(spark, folder):
 
 @rounded(8)
 def stream_risk_state(spark, folder):
-    events = _event_stream(spark, folder)
-    pnl = F.when(F.col("event_id") % 17 == 0, 0.0).otherwise(F.col("value") - 50)
-    trades = events.select(
-        F.lit("A").alias("account"), F.col("user_id").cast("string").alias("symbol"), "ts",
-        F.col("event_id").alias("id"), pnl.alias("pnl"),
-    )
-    rolling = state_streams.rolling_risk(trades, CAPITAL)
-    out = _finish(rolling, spark, "stream-risk", bar_streams.versioned_rows)
-    return spark.read.parquet(out).select("account", "id", "drawdown", "daily_pnl", "active_positions")
+    """Risk state after each trade, the trades arriving in four batches."""
+    trades = materialize(d.trades(spark, folder), "trades")
+    low, high = trades.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.floor((F.unix_micros("ts") - low) * 4 / (high - low)), F.lit(3))
+    path, out = new_path(spark, "trades-in"), new_path(spark, "stream-risk")
+    for n in range(4):
+        trades.where(part == n).write.mode("append").parquet(path)
+        stream = tables.tick_stream(spark, path, trades.schema)
+        bar_streams.start(stream, f"{out}/checkpoint", state_streams.rolling_risk(f"{out}/out", CAPITAL)).awaitTermination()
+    return spark.read.parquet(f"{out}/out/risk").select("account", "id", "drawdown", "daily_pnl", "active_positions")
 
 
 @rounded(4)

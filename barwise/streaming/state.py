@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barwise.operators import risk
 from barwise.operators.bars import last_write
-from barwise.operators.risk import RECOVERY, VAR_MIN, VAR_TRADES
-from barwise.operators.series import BLOCK
+from barwise.operators.series import BLOCK, block, in_block, number, own_rows, running
 from barwise.session import materialize
-from barwise.sources.sinks import upsert_bars
+from barwise.sources.sinks import read_or_none, upsert_bars
 from barwise.streaming.replay import BAR_COLUMNS, replayed_indicators
 
 # --- expiring state --------------------------------------------------------------------------
@@ -68,43 +66,67 @@ def expiring_regimes(events: DataFrame, seconds: int, watermark: str | None = No
 
 # --- rolling risk ----------------------------------------------------------------------------
 
-RISK = (
-    "account string, id bigint, ts timestamp, drawdown double, daily_pnl double, active_positions int, "
-    "var double"
-)
-RISK_STATE = "drawdown double, day string, daily double, recent array<double>, positions string, trades bigint"
+TRADE = ["account", "symbol", "ts", "id", "pnl"]
 
+def rolling_risk(folder: str, capital: float, size: int = BLOCK):
+    """Batch writer of the risk state after each trade: drawdown, pnl of the day, open positions and VaR.
 
-def rolling_risk(trades: DataFrame, capital: float) -> DataFrame:
-    """Risk state after each trade of a stream: drawdown, pnl of the day, open positions and VaR.
-
-    The state per account holds four numbers, the last 100 pnl and the open positions.
+    Between batches an account keeps its drawdown and the pnl of its last day, its last 100 trades, and its open
+    positions. They are put before the batch as trades that lead to just that state, and the block-parallel
+    operators of the batch form run over both, so no account is one task. Trades of one batch are taken in time order,
+    batches in the order in which they arrive. Rows are written under the batch number; a repeated batch gives the same.
     """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        drawdown, day, daily, recent, positions, count = state.get if state.exists else (0.0, "", 0.0, [], "{}", 0)
-        recent, opened = list(recent), json.loads(positions)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        out = []
-        for ts, number_, symbol, pnl in zip(rows["ts"], rows["id"], rows["symbol"], rows["pnl"]):
-            share, today = abs(pnl) / capital, str(ts.date())
-            drawdown = min(1.0, drawdown + share) if pnl < 0 else max(0.0, drawdown - share * RECOVERY)
-            daily, day = (daily + pnl if today == day else pnl), today
-            if symbol is not None:
-                if pnl == 0 and symbol in opened:
-                    del opened[symbol]
-                else:
-                    opened[symbol] = opened.get(symbol, 0.0) + pnl
-            recent, count = [*recent, pnl][-VAR_TRADES:], count + 1
-            var = float(np.percentile(np.array(recent) / capital, 5)) if count >= VAR_MIN else 0.0
-            out.append((key[0], number_, ts, drawdown, daily, len(opened), var))
-        state.update((drawdown, day, daily, recent, json.dumps(opened), count))
-        columns = ["account", "id", "ts", "drawdown", "daily_pnl", "active_positions", "var"]
-        yield pd.DataFrame(out, columns=columns)
-
-    return trades.groupBy("account").applyInPandasWithState(
-        update, RISK, RISK_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    def earlier(spark, name: str, n: int) -> DataFrame | None:
+        return read_or_none(spark, f"{folder}/state/{name}/batch={n - 1}") if n else None
+
+    def led_by(rows: DataFrame, carried: DataFrame | None) -> DataFrame:
+        rows = rows.withColumn("_carried", F.lit(False))
+        return rows if carried is None else carried.withColumn("_carried", F.lit(True)).unionByName(rows)
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = materialize(batch.select(*TRADE), "trades")
+        accounts, recent, positions = (earlier(spark, name, n) for name in ("accounts", "recent", "positions"))
+        before = F.lit(None).cast("string").alias("symbol"), F.lit(-1).cast("bigint").alias("id")
+        start = None if accounts is None else accounts.select(
+            "account", before[0], F.lit("1970-01-01").cast("timestamp").alias("ts"), before[1], (-F.col("drawdown") * capital).alias("pnl")
+        )
+        today = None if accounts is None else accounts.select(
+            "account", before[0], F.date_trunc("day", "ts").alias("ts"), before[1], F.col("daily_pnl").alias("pnl")
+        )
+        key = ["account", "id"]
+        state = risk.trade_state(led_by(rows, start), capital, size=size).where("not _carried")
+        daily = risk.trade_state(led_by(rows, today), capital, size=size).where("not _carried")
+        var = risk.rolling_var(led_by(rows, recent), capital).where("not _carried")
+        book = materialize(risk.position_book(led_by(rows, positions), size=size), "positions")
+        moves = block(book.select("account", "symbol", "ts", "id", "pos", "is_open"), back=1, size=size)
+        was_open = F.coalesce(F.lag("is_open").over(in_block(["account", "symbol"])), F.lit(False))
+        moves = own_rows(moves.withColumn("_move", F.col("is_open").cast("int") - was_open.cast("int"))).select(*key, "ts", "_move")
+        idle = rows.where(F.col("symbol").isNull()).select(*key, "ts", F.lit(0).alias("_move"))
+        moves = block(number(moves.unionByName(idle), ["account"], ["ts", "id"], 86_400), size=size).drop("own")
+        active = running(moves, ["account"], "sum", "_move", "active_positions")
+        out = (
+            state.select(*key, "ts", "drawdown")
+            .join(daily.select(*key, "daily_pnl"), key)
+            .join(var.select(*key, "var"), key)
+            .join(active.select(*key, F.col("active_positions").cast("int").alias("active_positions")), key)
+        )
+        out = materialize(out, "risk")
+        out.write.mode("overwrite").parquet(f"{folder}/risk/batch={n}")
+        newest = out.groupBy("account").agg(F.max_by(F.struct("drawdown", "ts", "daily_pnl"), F.struct("ts", "id")).alias("_s"))
+        kept = newest.select("account", "_s.*")
+        last = led_by(rows, recent).drop("_carried")
+        held = risk.open_positions(book).select(
+            "account", "symbol", F.col("opened").alias("ts"), before[1], F.col("position_pnl").alias("pnl")
+        )
+        if accounts is not None:
+            kept = kept.unionByName(accounts.join(kept.select("account"), "account", "left_anti"))
+        kept.write.mode("overwrite").parquet(f"{folder}/state/accounts/batch={n}")
+        risk.last_trades(last, risk.VAR_TRADES).drop("rank").write.mode("overwrite").parquet(f"{folder}/state/recent/batch={n}")
+        held.write.mode("overwrite").parquet(f"{folder}/state/positions/batch={n}")
+
+    return write
 
 
 # --- rolling indicators ----------------------------------------------------------------------

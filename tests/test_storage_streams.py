@@ -210,16 +210,23 @@ def test_rolling_risk_equals_the_batch_form(spark, tmp_path):
 
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = random_trades(200, 21)
-    write_files(spark, [trade_frame(spark, rows[:80]), trade_frame(spark, rows[80:])], source)
-    schema = "account string, symbol string, ts timestamp, id bigint, pnl double"
-    stream = tables.tick_stream(spark, source, schema, maxFilesPerTrigger="1")
-    run(state_streams.rolling_risk(stream, 10_000.0), str(tmp_path), bar_streams.versioned_rows(out))
-    got = {r.id: r for r in spark.read.parquet(out).collect()}
+    for part in (rows[:80], rows[80:130], rows[130:]):
+        trade_frame(spark, part).write.mode("append").parquet(source)
+        stream = tables.tick_stream(spark, source, trade_frame(spark, rows).schema)
+        run(stream, str(tmp_path), state_streams.rolling_risk(out, 10_000.0, size=64))
+    got = {r.id: r for r in spark.read.parquet(f"{out}/risk").collect()}
     trades = trade_frame(spark, rows)
     var = {r.id: r["var"] for r in risk.rolling_var(trades, 10_000.0).collect()}
-    for r in risk.trade_state(trades, 10_000.0).collect():
-        assert got[r.id].drawdown == pytest.approx(r.drawdown) and got[r.id].daily_pnl == pytest.approx(r.daily_pnl)
-        assert got[r.id]["var"] == pytest.approx(var[r.id])
+    opened = {}
+    assert len(got) == 200
+    state = {r.id: r for r in risk.trade_state(trades, 10_000.0).collect()}
+    for r in sorted(risk.position_book(trades).collect(), key=lambda r: (r.ts, r.id)):
+        opened.setdefault(r.account, set())
+        (opened[r.account].add if r.is_open else opened[r.account].discard)(r.symbol)
+        assert got[r.id].active_positions == len(opened[r.account])
+    for i, r in state.items():
+        assert got[i].drawdown == pytest.approx(r.drawdown) and got[i].daily_pnl == pytest.approx(r.daily_pnl)
+        assert got[i]["var"] == pytest.approx(var[i])
 
 
 def test_regimes_expire(spark, tmp_path):
