@@ -243,6 +243,8 @@ CTES: dict[str, str] = {
         (SELECT max(timestamp) FROM ev_i x WHERE x.symbol = e.symbol)""",
     "hist_h": """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_h
         QUALIFY rank <= 100""",
+    "hist_h1000": """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_h
+        QUALIFY rank <= 1000""",
     "hist_i": """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_i
         QUALIFY rank <= 100""",
     "sum_i": """SELECT symbol, count(*) AS total_periods, avg(confidence) AS avg_confidence,
@@ -516,6 +518,11 @@ _BODIES: dict[str, str] = {
         1 - sum(changed) / (count(*) - 1) END, 6) AS regime_stability, 'basic' AS primary_model FROM
         (SELECT *, (regime_type <> lag(regime_type) OVER (PARTITION BY symbol ORDER BY rank))::INT AS changed FROM hist_h)
         GROUP BY symbol""",
+    "history_summary_1000": """SELECT symbol, count(*) AS total_periods, round(avg(confidence), 6) AS avg_confidence,
+        arg_min(regime_type, rank) AS current_regime, round(CASE WHEN count(*) <= 1 THEN 1 ELSE
+        1 - sum(changed) / (count(*) - 1) END, 6) AS regime_stability, 'basic' AS primary_model FROM
+        (SELECT *, (regime_type <> lag(regime_type) OVER (PARTITION BY symbol ORDER BY rank))::INT AS changed FROM hist_h1000)
+        GROUP BY symbol""",
     "history_distribution": """SELECT symbol, dimension, value, count, round(count / sum(count) OVER (PARTITION BY symbol, dimension), 6) AS share
         FROM (SELECT symbol, 'regime' AS dimension, regime_type AS value, count(*) AS count FROM hist_h GROUP BY 1, 3
         UNION ALL SELECT symbol, 'model', regime_model, count(*) FROM hist_h GROUP BY symbol, regime_model)""",
@@ -536,9 +543,9 @@ _BODIES: dict[str, str] = {
     "regime_change_alert": """SELECT symbol, round(r, 6) AS distinct_ratio, r > 0.6 AS alert FROM (SELECT symbol,
         CASE WHEN count(*) >= 5 THEN count(DISTINCT regime_type) / 5 END AS r FROM (SELECT *,
         row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS k FROM ev_u) WHERE k <= 5 GROUP BY symbol)""",
-    "cluster_labels": """SELECT symbol, time, round(volatility, 6) AS volatility, volume,
-        CASE WHEN volatility > 0.06 AND volume > 5 THEN 'high_vol_high_volume' WHEN volatility > 0.06 THEN 'high_vol_low_volume'
-        WHEN volatility <= 0.03 AND volume > 5 THEN 'low_vol_high_volume' ELSE 'low_vol_low_volume' END AS label FROM reg_u""",
+    "cluster_labels": """SELECT symbol, time, round(volatility, 6) AS volatility, round(volume_profile, 6) AS volume_profile,
+        CASE WHEN volatility > 0.06 AND volume_profile > 5 THEN 'high_vol_high_volume' WHEN volatility > 0.06 THEN 'high_vol_low_volume'
+        WHEN volatility <= 0.03 AND volume_profile > 5 THEN 'low_vol_high_volume' ELSE 'low_vol_low_volume' END AS label FROM reg_u""",
     "atr": f"SELECT symbol, time, round(atr14 + 1e-9, 4) AS atr14, round(atr20 + 1e-9, 4) AS atr20 FROM ind_h",
     "rsi": f"SELECT symbol, time, {rnd(4, 'rsi')} FROM ind_h",
     "adx": f"SELECT symbol, time, {rnd(4, 'adx')} FROM ind_h",
@@ -592,7 +599,17 @@ _BODIES: dict[str, str] = {
     "asof_features": """SELECT t.symbol, t.time, round(t.bid, 6) AS bid, round(t.ask, 6) AS ask,
         CASE WHEN ok THEN f_time END AS asof_time, CASE WHEN ok THEN regime_type END AS regime,
         round(CASE WHEN ok THEN volatility END, 6) AS volatility FROM (SELECT t.*, f.time AS f_time, f.regime_type, f.volatility,
-        f.time >= t.time - INTERVAL 300 SECOND AS ok FROM ticks t ASOF LEFT JOIN reg_h f
+        f.time >= t.time - INTERVAL 300 SECOND AS ok FROM ticks t ASOF LEFT JOIN (SELECT symbol, time + INTERVAL 1 HOUR AS time, regime_type, volatility FROM reg_h) f
+        ON t.symbol = f.symbol AND t.time >= f.time) t""",
+    "asof_features_day": """SELECT t.symbol, t.time, round(t.bid, 6) AS bid, round(t.ask, 6) AS ask,
+        CASE WHEN ok THEN f_time END AS asof_time, CASE WHEN ok THEN regime_type END AS regime,
+        round(CASE WHEN ok THEN volatility END, 6) AS volatility FROM (SELECT t.*, f.time AS f_time, f.regime_type, f.volatility,
+        f.time >= t.time - INTERVAL 86400 SECOND AS ok FROM ticks t ASOF LEFT JOIN (SELECT symbol, time + INTERVAL 1 HOUR AS time, regime_type, volatility FROM reg_h) f
+        ON t.symbol = f.symbol AND t.time >= f.time) t""",
+    "asof_features_week": """SELECT t.symbol, t.time, round(t.bid, 6) AS bid, round(t.ask, 6) AS ask,
+        CASE WHEN ok THEN f_time END AS asof_time, CASE WHEN ok THEN regime_type END AS regime,
+        round(CASE WHEN ok THEN volatility END, 6) AS volatility FROM (SELECT t.*, f.time AS f_time, f.regime_type, f.volatility,
+        f.time >= t.time - INTERVAL 604800 SECOND AS ok FROM ticks t ASOF LEFT JOIN (SELECT symbol, time + INTERVAL 1 HOUR AS time, regime_type, volatility FROM reg_h) f
         ON t.symbol = f.symbol AND t.time >= f.time) t""",
     "training_rows": f"""SELECT {BAR}, {rnd(6, 'volatility', 'regime_confidence')}, regime_type FROM reg_u""",
     "correlation": f"SELECT candidate, open_symbol, common_bars, {rnd(4, 'correlation')} FROM pairs_u",
@@ -702,6 +719,10 @@ _BODIES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1""",
     "bounded_history": f"""SELECT {EVENT}, regime_model, 'HOLD' AS nnfx_signal, 0.0 AS signal_confidence,
         row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_u QUALIFY rank <= 10""",
+    "bounded_history_100": f"""SELECT {EVENT}, regime_model, 'HOLD' AS nnfx_signal, 0.0 AS signal_confidence,
+        row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_u QUALIFY rank <= 100""",
+    "bounded_history_1000": f"""SELECT {EVENT}, regime_model, 'HOLD' AS nnfx_signal, 0.0 AS signal_confidence,
+        row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_u QUALIFY rank <= 1000""",
     "training_export": f"""SELECT time AS timestamp, symbol, regime_type AS regime, 'comprehensive' AS regime_model, {rnd(4, *ALWAYS)},
         {', '.join(f'round(coalesce({t}, 0), 4) AS {t}' for t in TECH)}, nnfx_signal, {rnd(4, 'signal_confidence')}, baseline_signal,
         {rnd(4, 'confirmation_strength')}, time AS ohlcv_time, symbol AS ohlcv_symbol, round(open, 4) AS ohlcv_open,

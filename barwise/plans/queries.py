@@ -293,8 +293,8 @@ def regime_change_alert(spark, folder):
 def cluster_labels(spark, folder):
     table = regimes.basic_features(d.bars_by_user(spark, folder))
     return table.select(
-        "symbol", "time", "volatility", "volume",
-        regimes.cluster_label(F.col("volatility"), F.col("volume")).alias("label"),
+        "symbol", "time", "volatility", "volume_profile",
+        regimes.cluster_label(F.col("volatility"), F.col("volume_profile")).alias("label"),
     )
 
 
@@ -470,15 +470,30 @@ def walk_forward_summary(spark, folder):
 # --- joins -----------------------------------------------------------------------------------
 
 
-@query
-def asof_features(spark, folder):
-    """Each tick with the newest hourly features, not older than an hour."""
+def _asof_features(spark, folder, tolerance):
+    """Each tick with the newest hourly features; features count from the end of their hour, when they are known."""
     table = regimes.basic_features(d.bars_hourly(spark, folder)).withColumn("regime", regimes.basic_regime())
+    known = table.select("symbol", (F.col("time") + F.expr("interval 1 hour")).alias("time"), "regime", "volatility")
     ticks = d.ticks(spark, folder).select("symbol", "time", "bid", "ask")
-    return asof_join(
-        ticks, table.select("symbol", "time", "regime", "volatility"), ["symbol"], "time", "time",
-        catalog.LIFETIME["high_frequency"], ["regime", "volatility"], width=3600,
-    )
+    return asof_join(ticks, known, ["symbol"], "time", "time", tolerance, ["regime", "volatility"], width=3600)
+
+
+@query
+def asof_features(spark, folder):
+    """Not older than five minutes."""
+    return _asof_features(spark, folder, catalog.LIFETIME["high_frequency"])
+
+
+@query
+def asof_features_day(spark, folder):
+    """Not older than a day."""
+    return _asof_features(spark, folder, 86_400)
+
+
+@query
+def asof_features_week(spark, folder):
+    """Not older than a week."""
+    return _asof_features(spark, folder, 604_800)
 
 
 @query
@@ -808,6 +823,22 @@ def bounded_history(spark, folder):
     return features.bounded_history(rows, 10)
 
 
+@query
+def bounded_history_100(spark, folder):
+    return features.bounded_history(features.regime_history_rows(_user_rows(spark, folder)))
+
+
+@query
+def bounded_history_1000(spark, folder):
+    return features.bounded_history(features.regime_history_rows(_user_rows(spark, folder)), 1000)
+
+
+@query
+def history_summary_1000(spark, folder):
+    """The extended history."""
+    return regimes.history_summary(d.regimes_hourly(spark, folder), 1000)
+
+
 @rounded(4)
 def training_export(spark, folder):
     package = features.training_package(_modelled(spark, folder))
