@@ -24,7 +24,7 @@ from barwise.llm.common import folds, map_arrow
 from barwise.session import materialize
 
 #: Longest n-gram, characters of a language that the sample holds on average at most, quantile beyond which texts are rejected.
-ORDER, SAMPLE_CHARS, ACCEPTED = 5, 4_000_000, 0.999
+ORDER, SAMPLE_CHARS, ACCEPTED = 5, 2_000_000, 0.999
 UNKNOWN = "und"
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SLICE = 1 << 20
@@ -138,13 +138,15 @@ class Model:
         return -sums / np.maximum(counts, 1)[:, None], counts
 
 
-def _train(rows: dict[str, np.ndarray], languages: list[str], order: int) -> Model:
-    """``rows``: per distinct longest n-gram its language, count, and hashes ``h1..hN`` and contexts ``c2..cN``."""
+def _train(rows: dict[str, np.ndarray], languages: list[str], order: int) -> Model | None:
+    """``rows``: per distinct longest n-gram its language, count ``n``, and hashes ``h1..hN`` and contexts ``c2..cN``."""
+    if not len(rows["n"]):
+        return None
     grams, logp, contexts, backoff = [None] * (order + 1), [None] * (order + 1), [None] * (order + 1), [None] * (order + 1)
     n_lang = len(languages)
     # From the longest down: distinct n-grams per language with counts (continuation counts below the longest).
     levels = {}
-    lang, count = rows["lang"], rows["count"].astype(np.float64)
+    lang, count = rows["lang"], rows["n"].astype(np.float64)
     pick = np.arange(len(lang))
     for n in range(order, 0, -1):
         h = rows[f"h{n}"][pick]
@@ -187,15 +189,15 @@ def _train(rows: dict[str, np.ndarray], languages: list[str], order: int) -> Mod
 
 
 def _count(sample: DataFrame, order: int) -> DataFrame:
-    """Distinct longest n-grams per language with counts and the hashes of their parts."""
+    """Distinct longest n-grams per language (``lang`` is its number) with counts and the hashes of their parts."""
     names = [f"h{n}" for n in range(1, order + 1)] + [f"c{n}" for n in range(2, order + 1)]
-    schema = "lang string, n long, " + ", ".join(f"{x} long" for x in names)
+    schema = "lang int, n long, " + ", ".join(f"{x} long" for x in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            langs = batch.column(0).to_numpy()
             texts = batch.column(1).to_pylist()
-            for lang in sorted(set(langs)):
+            for lang in np.unique(langs):
                 points, _ = letters([texts[i] for i in np.flatnonzero(langs == lang)], order)
                 hashes = [gram_hashes(points, n) for n in range(order + 1)]
                 at = np.flatnonzero(points != 0)
@@ -205,7 +207,7 @@ def _count(sample: DataFrame, order: int) -> DataFrame:
                 at = at[first]
                 columns = [hashes[n][at] for n in range(1, order + 1)] + [hashes[n - 1][at - 1] for n in range(2, order + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(at)), pa.array(counts.astype(np.int64)), *(pa.array(c.astype(np.int64)) for c in columns)], ["lang", "n", *names]
+                    [pa.array(np.full(len(at), lang, np.int32)), pa.array(counts.astype(np.int64)), *(pa.array(c.astype(np.int64)) for c in columns)], ["lang", "n", *names]
                 )
 
     counted = map_arrow(sample.select("lang", "text"), run, schema)
@@ -224,18 +226,18 @@ def fit(
     """
     rows = labelled.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    chars = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars"))
+    chars = materialize(rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars")), "language-sizes")
+    languages = sorted((r[0] for r in chars.select("lang").collect()), key=lambda x: x.encode())  # one row per language
+    if not languages:
+        return None
     share = (F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     sample = rows.join(chars, "lang").where(share * F.col("chars") <= sample_chars).drop("chars")
-    sample = materialize(sample.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5))), "language-sample")
-    learn = sample.where("part > 0")
-    counts = _count(learn, order).toPandas()  # bounded by the sample: at most one row per character
-    if not len(counts):
+    number = (F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1).cast("int")
+    sample = sample.select("text", number.alias("lang"), F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)).alias("part"))
+    sample = materialize(sample, "language-sample")
+    model = _train(_columns(_count(sample.where("part > 0"), order)), languages, order)
+    if model is None:
         return None
-    languages = sorted(counts["lang"].unique(), key=lambda x: x.encode())
-    data = {c: counts[c].to_numpy().astype(np.uint64) for c in counts.columns if c[0] in "hc"}
-    data |= {"lang": counts["lang"].map(languages.index).to_numpy(), "count": counts["n"].to_numpy()}
-    model = _train(data, languages, order)
     judged = _entropies(sample.where("part = 0"), model, "lang").toPandas()
     _calibrate(model, judged, accepted)
     return model
@@ -244,11 +246,11 @@ def fit(
 def _calibrate(model: Model, judged, accepted: float) -> None:
     """Sharpness by the least log loss on a grid; limits by the quantile of the true language's entropy."""
     model.limits = np.full(len(model.languages), np.inf)
-    judged = judged[judged["lang"].isin(model.languages) & (judged["n"] > 0)]
+    judged = judged[judged["n"] > 0]
     if not len(judged):
         return
     table = np.stack(judged["entropies"].to_numpy())
-    true = judged["lang"].map(model.languages.index).to_numpy()
+    true = judged["lang"].to_numpy()
     losses = {}
     for sharp in np.geomspace(0.5, 200, 25):
         scaled = -sharp * (table - table.min(axis=1, keepdims=True))
@@ -259,6 +261,12 @@ def _calibrate(model: Model, judged, accepted: float) -> None:
             model.limits[k] = np.quantile(table[true == k, k], accepted)
 
 
+def _columns(counts: DataFrame) -> dict[str, np.ndarray]:
+    """The counted n-grams as arrays; the sample bounds them to one row per character."""
+    table = counts.toArrow()
+    return {name: table.column(name).to_numpy().astype(np.uint64 if name[0] in "hc" else np.int64) for name in table.column_names}
+
+
 def _entropies(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = [f.simpleString().replace(":", " ") for f in rows.select(*keep).schema]

@@ -169,12 +169,8 @@ def test_language_edges(spark):
 
 def test_character_model_is_a_distribution(spark):
     texts = ["abab abc cab", "xyz zyx xyx"] * 3
-    sample = spark.createDataFrame([("l" + str(i % 2), t) for i, t in enumerate(texts)], "lang string, text string")
-    counts = language_id._count(sample, 3).toPandas()
-    data = {c: counts[c].to_numpy().astype(np.uint64) for c in counts.columns if c[0] in "hc"}
-    languages = ["l0", "l1"]
-    data |= {"lang": counts["lang"].map(languages.index).to_numpy(), "count": counts["n"].to_numpy()}
-    model = language_id._train(data, languages, 3)
+    sample = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "lang int, text string")
+    model = language_id._train(language_id._columns(language_id._count(sample, 3)), ["l0", "l1"], 3)
     for history in ("ab", "b ", "xy", "qq"):
         total = np.zeros(2)
         for c in " abcxyz?":  # the last one stands for all that are unknown
