@@ -3,7 +3,8 @@
 Lines count once per page. Pairs of host and line combine before the shuffle, so neither a host with a third of
 all pages nor a line on every page gathers rows in one task. The lines that exceed the ratio are few per host
 by construction: with ratio r and L lines on an average page of the host there are at most L / r. They are
-listed per host as 128-bit hashes and joined to the pages by host; a large host's pages are split by adaptive execution.
+listed per host as 128-bit hashes and joined to the pages by host. Pages are cut into lines once and written, and so is the table
+of hosts: with its true size known, it is broadcast where small, else a large host's pages are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwise.session import materialize
+
 #: A line on more than this part of its host's pages is boilerplate, if it is on so many pages at least.
 RATIO, LEAST_PAGES = 0.05, 3
 # Elements without text of the page, elements that end a line, and entities.
@@ -61,13 +64,14 @@ def drop_boilerplate(
     all lines and ``host_pages`` is null. Repeated page rows count one by one. An empty page gives an empty text.
     """
     cut = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
+    cut = materialize(cut, "page-lines")
     sites = cut.where(F.col("host").isNotNull())
     totals = sites.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     seen = sites.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", _key(F.col("line")).alias("key"))
     seen = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     common = seen.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("host_pages"))
     common = common.groupBy("host").agg(F.collect_set("key").alias("common"))
-    per_host = totals.join(common, "host", "left")
+    per_host = materialize(totals.join(common, "host", "left"), "host-lines")
     joined = cut.join(per_host, "host", "left")
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("common"), _key(x)), F.lit(False)))
     joined = joined.withColumn("kept", F.when(F.col("common").isNull(), F.col("lines")).otherwise(kept))
