@@ -45,6 +45,10 @@ FILES = "file long, path string, n_docs long, n_tokens long"
 DOCS = "file long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TextEncoder:
     """Ids of texts as bytes of uint32, equal to the tokenizer's own.
 
@@ -67,7 +71,7 @@ class TextEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [_packed(x.ids) for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.double_space.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
@@ -98,10 +102,13 @@ class TextEncoder:
         A mark after a letter is a token of its own, so it is encoded apart.
         """
         new = words.difference(known)
-        ends = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha()}
-        plain = list({ends.get(w, w) for w in new}.difference(known))
+        marks = self.marks
+        ends = [w for w in new if w[-1] in marks and w[-2:-1].isalpha()]
+        plain = new.difference(ends)
+        plain.update([w[:-1] for w in ends])
+        plain = list(plain.difference(known))
         known.update(zip(plain, self._encode([lead + w for w in plain]), strict=True))
-        known.update({w: known[base] + self.marks[w[-1]] for w, base in ends.items()})
+        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in ends])
         yield
         if len(known) > KEPT_PIECES:
             for w in list(islice(reversed(known), len(known) - KEPT_PIECES)):  # the newest
