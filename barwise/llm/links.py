@@ -18,6 +18,14 @@ from barwise.session import materialize
 
 #: Rounds against one pivot before the open pairs are compared in full.
 ROUNDS = 4
+#: Rows of a few numbers each that may be sent to every task: 40 bytes a row, so 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_small(table: DataFrame) -> DataFrame:
+    """A written table of ids and hashes, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows. Larger ones are left
+    to the planner, which joins them by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,16 +60,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     met = pairs.join(left, "a").join(right, "b")
     met = met.withColumn("both", F.size(F.array_intersect("ta", "tb")))
-    return met.where(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
+    # A set may stand in the table twice, for rows that repeat an id and a text.
+    return met.where(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b").distinct()
 
 
 def link(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """``buckets`` (key, node, n: size of the set, few: smaller is a better pivot) to (edges, components).
 
+    Give the buckets as a written table without those of one node; every round reads it.
+
     The edges connect exactly what all similar pairs of the buckets connect; they are not all such pairs.
     """
-    many = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
-    keys = materialize(buckets.join(many, "key"), "bucket-rows")
+    keys = buckets
     spark = buckets.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")

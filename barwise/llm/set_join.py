@@ -3,8 +3,9 @@
 1. A document is the set of its distinct n-grams as 64-bit hashes. Documents with equal sets form a class
    (128-bit hash of the set) and go on as one.
 2. Sets that reach the threshold share all but a few elements, so they share ``c`` of the first ones in any common order
-   when the prefix is ``c`` longer than what may be missing. Frequent elements come last in the order: those that
-   are frequent in the first prefixes are found by counting, moved to the end, and the prefixes that held them are redone.
+   when the prefix is ``c`` longer than what may be missing. Frequent elements come last in the order: they are found by
+   counting the first elements, some ``SPARE`` more than a prefix needs, so that a prefix can be made up without the
+   frequent ones. Only sets with too many frequent elements are read as a whole for that.
 3. Small sets are joined on all subsets of two prefix elements, which hardly ever meet by chance; large sets, whose subsets
    would be many, on the inverted lists of single prefix elements. The boundary is the size with the least cost, rows written
    plus candidates met. Sets up to the boundary divided by the threshold are on the small side as well, so pairs across are met.
@@ -13,6 +14,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,10 @@ from barwise.llm.common import lower_words_of, map_arrow
 from barwise.session import materialize
 
 WORDS, PERCENT = 3, 90
-#: From so many prefixes on an element is frequent and moves to the end of the order.
+#: From so many sets on an element is frequent and moves to the end of the order.
 FREQUENT = 64
+#: Elements kept beyond those of a prefix.
+SPARE = 64
 #: Cost of a candidate met in an inverted list, in rows written.
 PER_CANDIDATE = 2.0
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -90,7 +94,7 @@ def _fold(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
-    """Hashes of every document's set, with the prefix for two shared elements or with all elements."""
+    """Hashes of every document's set, with its first elements or with all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in (SETS if whole else PRINTS).split(", ")]
@@ -99,7 +103,7 @@ def _sets(docs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
             if not sets:
                 continue
             folds = [_fold(s) for s in sets]
-            kept = sets if whole else [s[: allowed(len(s), percent) + 2] for s in sets]
+            kept = sets if whole else [s[: allowed(len(s), percent) + 2 + SPARE] for s in sets]
             stops = np.cumsum([0, *map(len, kept)])
             lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(kept).astype(np.int64), pa.int64()))
             sizes = [len(s) for s in sets]
@@ -143,22 +147,13 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     single = every.where((F.col("row") == F.col("node")) & (F.col("n") > 0))
     # Below 100 / (100 - percent) elements only equal sets reach the threshold, and those are one class.
     least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
-    heads = single.where(F.col("n") >= least)
-    first = heads.select("node", "doc_id", "h1", "h2", "n", F.explode("prefix").alias("token"))
-    counts = materialize(first.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1), "prefix-counts")
-    # Only sets that share a prefix element with another set can have a partner: their whole sets are read.
-    shared = first.join(counts, "token").groupBy("node").agg(F.max("m").alias("most"), F.sum("m").alias("met"))
-    shared = materialize(shared, "sharing-sets")
-    wanted = heads.join(shared, "node").select("node", "most", "met", F.col("doc_id").alias("_id"), "h1", "h2")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    near = texts.join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = _sets(near.withColumn("row", F.lit(0).cast("long")), n, percent, whole=True).drop("doc_id", "row", "few")
-    sets = sets.join(wanted.drop("_id"), ["h1", "h2"]).dropDuplicates(["node"])
-    sets = materialize(sets.select("node", "n", "most", "met", "tokens"), "whole-sets")
-    prefixes = materialize(_reordered(sets, counts, percent), "prefixes")
-    bins = prefixes.groupBy("n").agg(F.count(F.lit(1)).alias("m"), F.sum("met").cast("double").alias("met"))
-    at = boundary([tuple(r) for r in bins.collect()], percent)  # one row per size of set
-    buckets = _keys(prefixes, at, percent)
+    heads = single.where(F.col("n") >= least).select("node", "doc_id", "h1", "h2", "n", "prefix")
+    prefixes, at = _prefixes(docs, heads, n, percent, doc_id, text)
+    keys = _keys(prefixes, at, percent)
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
+    buckets = materialize(_of_like_size(keys.join(many, "key"), percent), "bucket-rows")
+    wanted = heads.join(buckets.select("node").distinct(), "node", "left_semi")
+    sets = _whole(docs, wanted, n, percent, doc_id, text)
     edges, parts = links.link(buckets, sets.select("node", "tokens"), percent)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     ids = every.groupBy("node").agg(F.min("doc_id").alias("class_id"))
@@ -175,26 +170,74 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     )
 
 
-def _reordered(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """``node, n, met, few, prefix`` with frequent elements moved to the end of the order.
+def _whole(docs: DataFrame, wanted: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """``node, n, tokens`` for the wanted heads: their documents are read again. Rows that repeat an id and a text give a set twice."""
+    wanted = materialize(wanted.select("node", F.col("doc_id").alias("_id"), "h1", "h2"), "wanted-sets")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    ids = materialize(wanted.select("_id").distinct(), "wanted-ids")
+    near = texts.join(links.broadcast_small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = _sets(near.withColumn("row", F.lit(0).cast("long")), n, percent, whole=True)
+    found = sets.join(links.broadcast_small(wanted).drop("n"), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return materialize(found.select("node", "n", "tokens"), "whole-sets")
+
 
-    Frequent are elements in more than ``FREQUENT`` first prefixes, and of the sets that hold such elements all those in as many
-    sets. Which elements are frequent is one table, so the order is the same for all sets.
+def _prefixes(docs: DataFrame, heads: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """``node, n, few, prefix`` with frequent elements at the end of the order, and the size up to which sets are small.
+
+    Which elements are frequent is one table, so the order is the same for all sets. Sets that run out of other elements
+    are counted as a whole once more, as what they share with each other may lie behind their first elements.
     """
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 2).cast("int")
-    known = counts.where(F.col("m") > FREQUENT).select("token")
-    hit = sets.where(F.col("most") > FREQUENT).select("node", F.explode("tokens").alias("token"))
-    among = hit.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > FREQUENT).select("token")
-    frequent = materialize(known.unionByName(among).distinct(), "frequent-elements")
-    heads = sets.select("node", F.explode(F.slice("tokens", F.lit(1), length)).alias("token"))
-    touched = heads.join(frequent, "token", "left_semi").select("node").distinct()
-    redo = sets.join(touched, "node", "left_semi")
-    late = redo.select("node", F.explode("tokens").alias("token")).join(frequent, "token", "left_semi")
-    late = late.groupBy("node").agg(F.collect_list("token").alias("late"))
-    moved = redo.join(late, "node").withColumn("tokens", F.concat(F.array_except("tokens", "late"), F.array_intersect("tokens", "late")))
-    moved = moved.withColumn("few", F.size("tokens") - F.size("late")).drop("late")
-    rest = sets.join(touched, "node", "left_anti").withColumn("few", F.size("tokens"))
-    return rest.unionByName(moved).select("node", "n", "met", "few", F.slice("tokens", F.lit(1), length).alias("prefix"))
+    counts = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    counts = materialize(counts.where(F.col("m") > 1), "element-counts")
+    frequent = materialize(counts.where(F.col("m") > FREQUENT).select("token"), "frequent-elements")
+
+    def late(sets: DataFrame, column: str) -> DataFrame:
+        found = sets.select("node", F.explode(column).alias("token")).join(frequent, "token")
+        found = found.groupBy("node").agg(F.collect_list("token").alias("late"))
+        return sets.join(found, "node", "left").withColumn("late", F.coalesce("late", F.array().cast("array<bigint>")))
+
+    def ordered(sets: DataFrame, column: str) -> DataFrame:
+        first = F.array_except(column, "late")
+        return sets.withColumn("first", first).withColumn("prefix", F.slice(F.concat("first", F.array_intersect(column, "late")), F.lit(1), length))
+
+    def short(placed: DataFrame):
+        return (F.size("first") < length) & (F.col("held") < F.col("n"))
+
+    held = heads.withColumn("held", F.size("prefix"))
+    lacking = ordered(late(held, "prefix"), "prefix").where(short(held)).select("node", "doc_id", "h1", "h2")
+    lacking = materialize(lacking, "lacking-sets")
+    if not lacking.isEmpty():
+        more = _whole(docs, lacking, n, percent, doc_id, text).select(F.explode("tokens").alias("token")).groupBy("token")
+        more = more.agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > FREQUENT).select("token")
+        frequent = materialize(frequent.unionByName(more).distinct(), "frequent-elements")
+    placed = materialize(ordered(late(held, "prefix"), "prefix").withColumn("short", short(held)), "ordered-sets")
+    out = placed.where("not short").select("node", "n", F.size("first").alias("few"), "prefix")
+    lacking = placed.where("short").select("node", "doc_id", "h1", "h2")
+    if not lacking.isEmpty():
+        whole = ordered(late(_whole(docs, lacking, n, percent, doc_id, text), "tokens"), "tokens")
+        out = out.unionByName(whole.select("node", "n", F.size("first").alias("few"), "prefix"))
+    out = materialize(out, "prefixes")
+    # The candidates of an inverted list, from the counts of first elements; one row per size of set. Sets that meet by chance
+    # are compared in full, half of them each; lists of frequent elements are of near copies, a pivot per round connects them.
+    met = out.select("node", "n", F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("token"))
+    each = F.when(F.col("m") > FREQUENT, F.lit(float(links.ROUNDS))).otherwise((F.col("m") - 1) / 2)
+    met = met.join(counts, "token").groupBy("n").agg(F.sum(each).alias("met"))
+    bins = out.groupBy("n").agg(F.count(F.lit(1)).alias("m")).join(met, "n", "left")
+    at = boundary([(r.n, r.m, r.met or 0.0) for r in bins.collect()], percent)
+    return out, at
+
+
+def _of_like_size(buckets: DataFrame, percent: int) -> DataFrame:
+    """Buckets cut into bands of size, so that sets too different in size to be similar do not meet.
+
+    Sizes of a similar pair lie in the same band or in neighbours, and every set is in its own and the next one.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - math.log(percent / 100))) if percent < 100 else F.col("n").cast("long")
+    banded = buckets.withColumn("band", F.explode(F.array(band, band + 1)))
+    banded = banded.select(F.xxhash64("key", "band").alias("key"), "node", "n", "few")
+    many = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
+    return banded.join(many, "key")
 
 
 def _keys(prefixes: DataFrame, at: int, percent: int) -> DataFrame:

@@ -84,9 +84,10 @@ def crowded(seed):
     return data + [(300 + k, sentence(rng, rng.randrange(1, 30)), "en", "s") for k in range(20)]
 
 
-@pytest.mark.parametrize("percent", [90, 80])
-def test_set_join_matches_brute_force(spark, monkeypatch, percent):
+@pytest.mark.parametrize(("percent", "spare"), [(90, 64), (90, 0), (80, 5)])
+def test_set_join_matches_brute_force(spark, monkeypatch, percent, spare):
     monkeypatch.setattr(set_join, "FREQUENT", 5)
+    monkeypatch.setattr(set_join, "SPARE", spare)
     data = rows() + crowded(3)
     got = set_join.join(documents(spark, data), percent=percent).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(data, percent=percent)
