@@ -41,9 +41,60 @@ def tune(percent: int = PERCENT, recall: float = RECALL, most: int = 32) -> tupl
     return best
 
 
-def lines_of(text: str | None) -> list[list[bytes]]:
-    """The words of every line, lower-cased; words are cut at white space, lines at line feeds."""
-    return [lower_words_of(line) for line in text.split("\n")] if text else []
+class Lines:
+    """The words of a batch of texts, end to end: hashes, and for every line that is a paragraph its text, place and size.
+
+    Words are lower-cased (A-Z) and cut at white space, lines at line feeds.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        words: list[bytes] = []
+        sizes, owner, starts, totals = [], [], [], []
+        for i, text in enumerate(texts):
+            before = len(words)
+            for line in (text or "").split("\n"):
+                found = lower_words_of(line)
+                if len(found) >= LEAST:
+                    sizes.append(len(found))
+                    owner.append(i)
+                    starts.append(len(words))
+                words += found
+            totals.append(len(words) - before)
+        self.hashes = word_hashes(words)
+        self.sizes, self.owner, self.starts = (np.array(x, dtype=np.int64) for x in (sizes, owner, starts))
+        self.stops = np.cumsum(np.array(totals, dtype=np.int64))
+        self.firsts = self.stops - np.array(totals, dtype=np.int64)
+
+    def identity(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of every line."""
+        at = _spread(self.starts, self.sizes)
+        first = np.cumsum(self.sizes) - self.sizes
+        place = _mixed((np.arange(len(at)) - np.repeat(first, self.sizes)).astype(np.uint64) * _P)
+        own = self.hashes[at]
+        return tuple(np.add.reduceat(x, first).astype(np.int64) for x in (_mixed(own ^ place), _mixed(own * _P + place)))
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """The n-gram hashes of all lines, end to end, and their number per line."""
+        counts = self.sizes - WORDS + 1
+        return ngram_hashes(self.hashes, WORDS)[_spread(self.starts, counts)], counts
+
+    def bands(self, bands: int, rows: int) -> np.ndarray:
+        """The band keys of all lines. A hash function is one multiplication, as n-gram hashes are mixed already."""
+        grams, counts = self.grams()
+        first = np.cumsum(counts) - counts
+        seeds = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _P)
+        keys = np.empty((len(counts), bands), dtype=np.uint64)
+        for b in range(bands):
+            key = np.full(len(counts), b, dtype=np.uint64)
+            for s in seeds[b * rows : (b + 1) * rows]:
+                key = _mixed(key * _P + np.minimum.reduceat((grams ^ s) * (s | np.uint64(1)), first))
+            keys[:, b] = key
+        return keys.astype(np.int64)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all stretches, end to end."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def _fold(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,55 +116,35 @@ def chosen(hashes: np.ndarray) -> np.ndarray:
     return at[np.concatenate([[True], hashes[at][1:] != hashes[at][:-1]])]
 
 
-def signature(grams: np.ndarray, bands: int, rows: int) -> list[int]:
-    """The band keys of a set of n-gram hashes."""
-    seeds = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _P)
-    low = np.array([_mixed(grams ^ s).min() for s in seeds])
-    key = np.arange(bands, dtype=np.uint64)
-    for k in range(rows):
-        key = _mixed(key * _P + low.reshape(bands, rows)[:, k])
-    return key.astype(np.int64).tolist()
-
-
-def _line_hash(hashes: np.ndarray) -> tuple[int, int]:
-    place = _mixed(np.arange(len(hashes), dtype=np.uint64) * _P)
-    return int(_mixed(hashes ^ place).sum().astype(np.int64)), int(_mixed(hashes * _P + place).sum().astype(np.int64))
-
-
 def _paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """All paragraphs with their place in words and their hashes; bands are null for windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PARTS.split(", ")]
         for batch in batches:
-            out: list[tuple] = []
-            wide: list[tuple] = []
-            for at, text in enumerate(batch.column(2).to_pylist()):
-                lines = lines_of(text)
-                hashes = word_hashes([w for line in lines for w in line])
-                first = 0
-                for line in lines:
-                    n = len(line)
-                    if n >= LEAST:
-                        own = hashes[first : first + n]
-                        out.append((at, first, n, *_line_hash(own), signature(np.unique(ngram_hashes(own, WORDS)), bands, rows)))
-                    first += n
-                if len(hashes) >= LEAST:
-                    a, b = _fold(hashes)
-                    pick = chosen(a)
-                    wide.append((at, pick, a[pick].astype(np.int64), b[pick].astype(np.int64)))
-            n_wide = [len(w[1]) for w in wide]
-            index = np.concatenate([np.array([x[0] for x in out], np.int64), np.repeat([w[0] for w in wide], n_wide).astype(np.int64)])
-            if not len(index):
+            ids, row = batch.column(0), batch.column(1)
+            lines = Lines(batch.column(2).to_pylist())
+            if len(lines.sizes):
+                keys = lines.bands(bands, rows)
+                lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1)))
+                at, place = pa.array(lines.owner), (lines.starts - lines.firsts[lines.owner]).astype(np.int32)
+                columns = [pa.array(place), pa.array(lines.sizes.astype(np.int32)), *map(pa.array, lines.identity()), lists]
+                yield pa.RecordBatch.from_arrays([ids.take(at), row.take(at), *columns], names)
+            if len(lines.hashes) < LEAST:
                 continue
-            join = lambda k, j, kind: pa.array(np.concatenate([np.array([x[k] for x in out], kind), *[w[j] for w in wide]]).astype(kind))
-            sizes = np.concatenate([np.array([x[2] for x in out], np.int32), np.full(sum(n_wide), LEAST, np.int32)])
-            keys = pa.array([x[5] for x in out] + [None] * sum(n_wide), pa.list_(pa.int64()))
-            where = pa.array(index)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where), join(1, 1, np.int32), pa.array(sizes), join(3, 2, np.int64), join(4, 3, np.int64), keys],
-                names,
-            )
+            a, b = _fold(lines.hashes)
+            picks, owner = [], []
+            for i, (low, high) in enumerate(zip(lines.firsts.tolist(), lines.stops.tolist(), strict=True)):
+                if high - low >= LEAST:
+                    picks.append(chosen(a[low : high - LEAST + 1]) + low)
+                    owner.append(np.full(len(picks[-1]), i))
+            if not picks:
+                continue
+            pick, owner = np.concatenate(picks), np.concatenate(owner)
+            at, none = pa.array(owner), pa.nulls(len(pick), pa.list_(pa.int64()))
+            columns = [pa.array((pick - lines.firsts[owner]).astype(np.int32)), pa.array(np.full(len(pick), LEAST, np.int32))]
+            columns += [pa.array(a[pick].astype(np.int64)), pa.array(b[pick].astype(np.int64)), none]
+            yield pa.RecordBatch.from_arrays([ids.take(at), row.take(at), *columns], names)
 
     return map_arrow(docs.select("doc_id", "row", "text"), run, PARTS)
 
@@ -123,15 +154,17 @@ def _line_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                for line in lines_of(text):
-                    if len(line) >= LEAST:
-                        hashes = word_hashes(line)
-                        rows.append((*_line_hash(hashes), np.unique(ngram_hashes(hashes, WORDS)).astype(np.int64)))
-            if rows:
-                a, b, sets = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h1", "h2", "tokens"])
+            lines = Lines(batch.column(0).to_pylist())
+            if not len(lines.sizes):
+                continue
+            grams, counts = lines.grams()
+            owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((grams, owner))
+            grams, owner = grams[order], owner[order]
+            new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])
+            stops = np.cumsum(np.bincount(owner[new], minlength=len(counts)))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], stops]).astype(np.int32), pa.array(grams[new].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, lines.identity()), lists], ["h1", "h2", "tokens"])
 
     return map_arrow(docs.select("text"), run, SETS)
 
@@ -159,10 +192,11 @@ def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, doc
     met = heads.join(keys.select("node").distinct(), "node", "left_semi").select("doc_id", "h1", "h2", "node")
     met = materialize(met, "met-lines")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(met.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = _line_sets(texts).join(met.drop("doc_id"), ["h1", "h2"]).dropDuplicates(["node"])
+    ids = links.broadcast_small(materialize(met.select(F.col("doc_id").alias("_id")).distinct(), "met-documents"))
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = _line_sets(texts).join(links.broadcast_small(met).drop("doc_id"), ["h1", "h2"]).dropDuplicates(["node"])
     sets = materialize(sets.select("node", "tokens", F.size("tokens").alias("n")), "line-sets")
-    buckets = keys.join(sets.select("node", "n"), "node").withColumn("few", F.lit(0))
+    buckets = materialize(keys.join(sets.select("node", "n"), "node").withColumn("few", F.lit(0)), "bucket-rows")
     _, joined = links.link(buckets, sets.select("node", "tokens"), percent)
     near = heads.join(joined, "node").select("h1", "h2", "component")
     near = lines.join(near, ["h1", "h2"], "left").select(
