@@ -145,8 +145,9 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     """
     every = classes(docs, n, percent, doc_id, text)
     single = every.where((F.col("row") == F.col("node")) & (F.col("n") > 0))
-    # Below 100 / (100 - percent) elements only equal sets reach the threshold, and those are one class.
-    least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
+    # The closest partner of a set of n elements has one more: n / (n + 1) reaches the threshold from percent / (100 - percent) on.
+    # Below only equal sets do, and those are one class.
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     heads = single.where(F.col("n") >= least).select("node", "doc_id", "h1", "h2", "n", "prefix")
     prefixes, at = _prefixes(docs, heads, n, percent, doc_id, text)
     keys = _keys(prefixes, at, percent)

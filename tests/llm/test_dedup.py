@@ -93,6 +93,20 @@ def test_set_join_matches_brute_force(spark, monkeypatch, percent, spare):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(data, percent=percent)
 
 
+@pytest.mark.parametrize("at", [0, 10**9], ids=["lists", "subsets"])
+@pytest.mark.parametrize(("percent", "size"), [(90, 9), (80, 4)])
+def test_set_join_links_a_set_with_one_element_more(spark, monkeypatch, percent, size, at):
+    """Sizes n and n + 1 at exactly the threshold, and one size less, which does not reach it."""
+    monkeypatch.setattr(set_join, "boundary", lambda costs, percent: at)
+    data = []
+    for k in range(size - 1, size + 1):
+        text = " ".join(f"w{k}x{i}" for i in range(k + 2))
+        data += [(10 * k, text, "en", "s"), (10 * k + 1, f"{text} more", "en", "s"), (10 * k + 2, f"more {text}", "en", "s")]
+    got = {r.doc_id: r.component_id for r in set_join.join(documents(spark, data), percent=percent).collect()}
+    assert got == {i: 10 * size if i >= 10 * size else i for i, *_ in data}
+    assert sorted((str(i), str(c)) for i, c in got.items()) == [(i, c) for i, _, c in brute_components(data, percent=percent)]
+
+
 @pytest.mark.parametrize("at", [0, 10**9], ids=["lists", "subsets"])
 def test_set_join_boundary_changes_nothing(spark, monkeypatch, at):
     monkeypatch.setattr(set_join, "boundary", lambda costs, percent: at)
