@@ -6,11 +6,16 @@ bucket with one pivot only and leaves buckets alone whose members are already co
 of near copies is connected by about one comparison per member. What the rounds leave open is compared in full:
 pairs of one bucket in different components, so no link between components is lost.
 
+How many similar partners a node has is counted afterwards (``degrees``). All of them lie in its component, so the
+members of a component are compared all with all, in chunks; only counts per node and chunk leave a task.
+
 Tables between rounds are written to the shared folder. Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,10 @@ from barwise.session import materialize
 
 #: Rounds against one pivot before the open pairs are compared in full.
 ROUNDS = 4
+#: Nodes and elements of a chunk of a component, on average; two chunks are compared in one task.
+CHUNK_NODES, CHUNK_TOKENS = 256, 1_000_000
+#: Elements that a comparison of chunks holds as columns of a matrix at a time.
+CHUNK_COLUMNS = 4096
 #: Rows of a few numbers each that may be sent to every task: 40 bytes a row, so 20 MB.
 BROADCAST_ROWS = 500_000
 
@@ -106,3 +115,61 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS
             return edges, parts
         tried = tried.unionByName(pairs)
         turn = turn + 1 if some else rounds
+
+
+def _shared(rows: np.ndarray, tokens: np.ndarray, size: int) -> np.ndarray:
+    """Shared elements of all pairs of ``size`` sets, given as (set, element) without repeats: a product of 0/1 matrices.
+
+    Counts stay below 2**24, so they are exact in 32 bits. An element of one set only is in no pair.
+    """
+    both = np.zeros((size, size), dtype=np.float32)
+    order = np.argsort(tokens, kind="stable")
+    rows, tokens = rows[order], tokens[order]
+    column = np.cumsum(np.concatenate([[True], tokens[1:] != tokens[:-1]])) - 1
+    many = np.bincount(column)[column] > 1
+    rows, column = rows[many], column[many]
+    column = np.unique(column, return_inverse=True)[1].reshape(-1)
+    edges = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1 + CHUNK_COLUMNS, CHUNK_COLUMNS))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        if low < high:
+            part = np.zeros((size, CHUNK_COLUMNS), dtype=np.float32)
+            part[rows[low:high], column[low:high] - column[low]] = 1
+            both += part @ part.T
+    return both
+
+
+def degrees(edges: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, n_links``: with how many nodes every node of ``parts`` is similar. ``edges`` and ``parts`` as from ``link``, ``sets``: node, n, tokens.
+
+    A component whose edges are all its pairs is counted from these. Members of the others are dealt into chunks by hash, and
+    every two chunks of a component meet in one task. The comparisons grow with the square of a component, the rows
+    with that square divided by the chunk.
+    """
+    edges = materialize(edges, "links")
+    held = edges.join(parts.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+    # A set may stand in the table twice, for rows that repeat an id and a text.
+    sizes = sets.select("node", "n").distinct().join(parts, "node").groupBy("component")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).join(held, "component")
+    sizes = materialize(sizes.withColumn("open", 2 * F.col("held") < F.col("k") * (F.col("k") - 1)), "component-sizes")
+    closed = parts.join(sizes.where("not open"), "component").select("node", (F.col("k") - 1).alias("n_links"))
+    chunks = F.ceil(F.greatest(F.col("k") / CHUNK_NODES, F.col("all") / CHUNK_TOKENS)).cast("int")
+    wanted = parts.join(sizes.where("open").select("component", chunks.alias("chunks")), "component")
+    dealt = sets.select("node", "tokens").join(wanted, "node").dropDuplicates(["node"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "tokens")
+
+    def count(table: pa.Table) -> pa.Table:
+        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        lists = table.column("tokens").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        both = _shared(np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(), len(n)).astype(np.int64)
+        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(linked, False)
+        # Two chunks meet for the pairs across them; pairs inside a chunk are counted where it meets itself.
+        if table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            linked &= own[:, None] != own[None, :]
+        return pa.table({"node": pa.array(node, pa.int64()), "n_links": pa.array(linked.sum(axis=1), pa.int64())})
+
+    met = dealt.groupBy("component", "low", "high").applyInArrow(count, "node long, n_links long")
+    return closed.unionByName(met.groupBy("node").agg(F.sum("n_links").alias("n_links")))

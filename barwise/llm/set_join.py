@@ -9,7 +9,7 @@
 3. Small sets are joined on all subsets of two prefix elements, which hardly ever meet by chance; large sets, whose subsets
    would be many, on the inverted lists of single prefix elements. The boundary is the size with the least cost, rows written
    plus candidates met. Sets up to the boundary divided by the threshold are on the small side as well, so pairs across are met.
-4. Candidates are verified on the whole sets, and links become components (see ``links``).
+4. Candidates are verified on the whole sets, links become components, and the links within each are counted (see ``links``).
 """
 
 from __future__ import annotations
@@ -135,11 +135,12 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str
     return materialize(prints.join(same, ["h1", "h2", "n"]), "set-classes")
 
 
-def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, class_id, n_links``.
 
     Texts are lower-cased (A-Z only) and cut at white space. ``component_id`` is the smallest id reachable by links,
-    itself included; ``class_id`` the smallest id with an equal set; ``n_links`` counts the links found for the class.
+    itself included; ``class_id`` the smallest id with an equal set; ``n_links`` the number of other classes that its class links with
+    (no such column without ``count_links``, which spares the comparisons inside components).
     A null or empty text has the empty set, which links with nothing, not even with its like. A null id is never a smallest
     id; a group of such rows has a null component. Repeated rows link like other copies.
     """
@@ -156,18 +157,19 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     wanted = heads.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = _whole(docs, wanted, n, percent, doc_id, text)
     edges, parts = links.link(buckets, sets.select("node", "tokens"), percent)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     ids = every.groupBy("node").agg(F.min("doc_id").alias("class_id"))
     named = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(lowest, "component").join(degree, "node", "left").select("node", "class_id", "component_id", "n_links")
+    named = named.join(lowest, "component").select("node", "class_id", "component_id")
+    if count_links:
+        named = named.join(links.degrees(edges, parts, sets, percent), "node", "left")
     alone = F.col("n") == 0
     return every.join(named, "node").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
     )
 
 
@@ -259,7 +261,7 @@ def dedup(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     Rows that share an id share their fate: they stay if one of them represents its component. Rows without an id
     stay where no linked row has one. Empty texts link with nothing and stay.
     """
-    found = join(docs, n, percent, doc_id, text)
+    found = join(docs, n, percent, doc_id, text, count_links=False)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(kept).alias("_kept")).where("not _kept")
     gone = materialize(gone, "linked-rows")

@@ -107,6 +107,27 @@ def test_set_join_links_a_set_with_one_element_more(spark, monkeypatch, percent,
     assert sorted((str(i), str(c)) for i, c in got.items()) == [(i, c) for i, _, c in brute_components(data, percent=percent)]
 
 
+def brute_links(data, n=3, percent=90):
+    """Per row the number of other distinct sets that link with its own."""
+    sets = []
+    for _, t, *_ in data:
+        w = words(t)
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    kinds = set(sets)
+    return sorted((str(doc), sum(bool(s) and s != x and 100 * len(s & x) >= percent * len(s | x) for x in kinds)) for (doc, *_), s in zip(data, sets, strict=True))
+
+
+@pytest.mark.parametrize(("nodes", "tokens", "columns"), [(256, 10**6, 4096), (7, 10**6, 50), (256, 900, 4096)])
+def test_set_join_counts_all_links(spark, monkeypatch, nodes, tokens, columns):
+    monkeypatch.setattr(links, "CHUNK_NODES", nodes)
+    monkeypatch.setattr(links, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(links, "CHUNK_COLUMNS", columns)
+    data = rows() + crowded(6)
+    got = set_join.join(documents(spark, data)).collect()
+    want = brute_links(data)
+    assert max(k for _, k in want) > 5 and sorted((str(r.doc_id), r.n_links) for r in got) == want
+
+
 @pytest.mark.parametrize("at", [0, 10**9], ids=["lists", "subsets"])
 def test_set_join_boundary_changes_nothing(spark, monkeypatch, at):
     monkeypatch.setattr(set_join, "boundary", lambda costs, percent: at)
