@@ -370,6 +370,21 @@ def test_pipeline_against_brute_force(spark):
     assert len(out[5]) == len(out[4]) and all(r.lossless for r in out[5])
 
 
+def test_pipeline_drops_near_copies_of_five_words_at_080(spark):
+    """Two changed words of a hundred: 86 of 106 runs of five are shared, 92 of 104 of three; at three changed, 81 of 111 of five."""
+    rng = random.Random(8)
+    data = []
+    for k in range(6):
+        base = [f"{w}x{k}x{i}" for i, w in enumerate(sentence(rng, 100).split())]
+        data.append((10 * k, " ".join(base), "en", "s"))
+        for c, places in enumerate([(30, 60), (20, 50, 80)]):
+            data.append((10 * k + 1 + c, " ".join("changed" + str(c) if i in places else w for i, w in enumerate(base)), "en", "s"))
+    docs = documents(spark, data)
+    wanted = {i for i, _, c in brute_components(data, n=5, percent=80) if i == c}
+    assert wanted == {str(10 * k + j) for k in range(6) for j in (0, 2)}
+    assert {str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()} == wanted
+
+
 def test_pipeline_runs_on_the_tables(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.count() > 0 and got.where("not lossless").count() == 0
