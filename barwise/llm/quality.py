@@ -109,10 +109,11 @@ def measure(text: str | None) -> tuple:
         counts = np.diff(np.append(first, len(starts)))
         best = int(counts.max())
         if best >= 3:
-            # The occurrences of one kind may overlap, so its words are marked rather than multiplied.
-            for at in np.flatnonzero(counts == best)[:1]:
-                inside = _ranges(starts[first[at] : first[at] + best], length, n)
-                top = max(top, float(chars[inside].sum()) / whole / most)
+            # The occurrences of one kind may overlap, so each counts up to the next one. Of tied kinds the widest counts.
+            follow = np.append(np.where(kinds[1:] == kinds[:-1], starts[1:], n), n)
+            upto = np.concatenate([[0], np.cumsum(chars)])
+            inside = np.add.reduceat(upto[np.minimum(starts + length, follow)] - upto[starts], first)
+            top = max(top, float(inside[counts == best].max()) / whole / most)
     lines = [x for x in text.split("\n") if x.encode("utf-8", "surrogatepass").split()]
     seen: set[str] = set()
     dup_lines = dup_line_chars = 0

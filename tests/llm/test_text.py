@@ -138,6 +138,34 @@ def test_quality_figures(spark):
     assert quality.score(docs.limit(0)).count() == 0
 
 
+def brute_top(text):
+    """The most frequent n-gram of each length, of tied ones the one that covers most."""
+    w, top = text.split(), 0.0
+    for n, most in quality.TOP.items():
+        at = defaultdict(list)
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].append(i)
+        best = max(map(len, at.values()), default=0)
+        for starts in at.values():
+            if len(starts) == best >= 3:
+                top = max(top, sum(len(w[j]) for j in {j for i in starts for j in range(i, i + n)}) / sum(map(len, w)) / most)
+    return top
+
+
+def test_of_tied_ngrams_the_widest_counts():
+    rng = random.Random(3)
+    for k in range(20):
+        short, long_ = f"a{k} b c", f"considerable{k} circumstances notwithstanding"
+        parts = [short, long_] * 3 + [f"filler{k}x{i}" for i in range(12)]
+        rng.shuffle(parts)
+        text = " ".join(parts)
+        top = quality.measure(text)[6]
+        assert math.isclose(top, brute_top(text)) and top > 1 and not quality.measure(text)[-1]
+    for k in range(200):
+        text = " ".join(rng.choice(["a", "bb", "cccc"]) for _ in range(rng.randrange(1, 60)))
+        assert math.isclose(quality.measure(text)[6], brute_top(text))
+
+
 def test_hash_collisions_do_not_count(monkeypatch):
     monkeypatch.setattr(quality, "rolling", lambda ids, n: np.zeros(len(ids) - n + 1, dtype=np.uint64))
     text = sentence(random.Random(1), 80) + " one two three four five six seven eight nine" * 2
