@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import exact_dedup, language_id, line_dedup, mixing, paragraph_dedup, piece_sampling, pitman_yor, quality, set_join, token_files
+from barwise.llm import (
+    exact_dedup, hard_negatives, language_id, lexical_search, line_dedup, mixing, paragraph_dedup, piece_sampling, pitman_yor, quality, set_join, token_files,
+    warc,
+)
 from barwise.llm.common import documents, tokenizer_path, word_count
 from barwise.session import materialize, new_path
 
@@ -90,3 +93,28 @@ def op9_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
 def op10_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of documents that repeat in other documents, and which of them go."""
     return paragraph_dedup.repeats(documents(spark, folder))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hardest rows of other labels for every anchor and positive."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label=moved, scale=256.0)
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return lexical_search.search(documents(spark, folder), items)
+
+
+@query
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Type and reference of every page's record, read back from the archives."""
+    target = new_path(spark, "archives")
+    files = warc.write(spark.read.parquet(f"{folder}/pages.parquet"), target)
+    records = materialize(warc.read(files, target), "archive-records")
+    return warc.resolved(records).drop("url")
