@@ -131,8 +131,8 @@ def decided(rows: DataFrame, least_bytes: int) -> DataFrame:
     if twins.isEmpty():
         rows = rows.withColumn("copies", F.lit(1).cast("long"))
     else:
-        twins = broadcast_small(twins).select(*same, F.col("page_id").alias("keep_page_id"), F.col("url").alias("keep_url"), "copies")
-        out = rows.join(twins, [*(rows[x] == twins[x] for x in same), _same("page_id", "url")], "left").select(*rows.columns, "copies")
+        theirs = [F.col(x).alias(f"keep_{x}") for x in (*same, "page_id", "url")]
+        out = rows.join(broadcast_small(twins).select(*theirs, "copies"), _same(*same, "page_id", "url"), "left").select(*rows.columns, "copies")
         once = out.where("copies > 1").dropDuplicates([*same, "page_id", "url"])
         rows = out.where("copies is null").withColumn("copies", F.lit(1).cast("long")).unionByName(once)
     return rows.join(kept, same, "left")
