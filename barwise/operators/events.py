@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from barwise.operators.series import block, number, running
 
-DAY = 86_400
 ORDER = ("timestamp", "version", "id")
 
 
-def check_versions(stored: DataFrame, incoming: DataFrame, seconds: int = DAY) -> DataFrame:
+def check_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming events with ``conflict``: a version above 1 that is not above the highest one known.
 
     Known are the stored events and the earlier ones of the batch. A rejected event never exceeds
@@ -19,7 +18,7 @@ def check_versions(stored: DataFrame, incoming: DataFrame, seconds: int = DAY) -
     """
     batch = incoming.withColumn("version", F.coalesce("version", F.lit(1)))
     highest = stored.groupBy("aggregate_id").agg(F.max("version").alias("_stored"))
-    rows = block(number(batch, ["aggregate_id"], ["timestamp", "id"], seconds)).drop("own")
+    rows = block(number(batch, ["aggregate_id"], ["timestamp", "id"])).drop("own")
     rows = running(rows, ["aggregate_id"], "max", "version", "_earlier", prior=True)
     known = F.greatest(F.col("_stored"), F.col("_earlier"))
     return (

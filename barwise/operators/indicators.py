@@ -30,7 +30,6 @@ from barwise.operators.scan import (
 from barwise.operators.series import BLOCK, block, in_block, number, own_rows
 from barwise.session import materialize
 
-HOURS_30D = 30 * 86_400
 
 # Periods, KAMA smoothing constants, limits of the adaptive period.
 ADX_N = RSI_N = 14
@@ -305,12 +304,12 @@ def with_indicators(
     return done.drop("block", *[c for c in INPUTS if c != "close"])
 
 
-def indicators(bars: DataFrame, seconds: int = HOURS_30D) -> DataFrame:
+def indicators(bars: DataFrame) -> DataFrame:
     """Number the bars of each symbol by time and add all indicators.
 
     The numbered bars are written once to the shared folder, as three passes read them.
     """
-    return with_indicators(materialize(number(bars, ["symbol"], ["time"], seconds), "numbered-bars"))
+    return with_indicators(materialize(number(bars, ["symbol"], ["time"]), "numbered-bars"))
 
 
 def strategy_indicators(with_all: DataFrame) -> DataFrame:

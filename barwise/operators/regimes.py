@@ -18,7 +18,6 @@ BASIC_FEATURES = [
     "regime_confidence",
 ]
 TECHNICAL_FEATURES = ["adx", "atr", "rsi", "kama", "stoch_k", "stoch_d"]
-DAYS_30 = 30 * 86_400
 
 
 def basic_features(bars: DataFrame) -> DataFrame:
@@ -162,9 +161,9 @@ def lookup_regimes(requested: DataFrame, current: DataFrame) -> DataFrame:
     return requested.join(current, "symbol", "left")
 
 
-def neighbours(events: DataFrame, back: int = 0, ahead: int = 0, seconds: int = DAYS_30) -> DataFrame:
+def neighbours(events: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
     """Events in blocks that also hold the neighbouring rows, for exact LAG and LEAD."""
-    return block(number(events, ["symbol"], ["timestamp"], seconds), back=back, ahead=ahead)
+    return block(number(events, ["symbol"], ["timestamp"]), back=back, ahead=ahead)
 
 
 def regime_transitions(events: DataFrame) -> DataFrame:

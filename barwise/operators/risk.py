@@ -82,8 +82,8 @@ def approve_trades(requests: DataFrame, capital: float, cumulative: bool = True)
 # --- trade state -----------------------------------------------------------------------------
 
 
-def numbered_trades(trades: DataFrame, keys: Sequence[str] = ("account",), seconds: int = DAY) -> DataFrame:
-    return number(trades, keys, ["ts", "id"], seconds)
+def numbered_trades(trades: DataFrame, keys: Sequence[str] = ("account",), most: int | None = None) -> DataFrame:
+    return number(trades, keys, ["ts", "id"], most=most)
 
 
 def _together(first: Scan, second: Scan) -> Scan:
@@ -104,7 +104,7 @@ def _together(first: Scan, second: Scan) -> Scan:
     )
 
 
-def trade_state(trades: DataFrame, capital: float, seconds: int = DAY, size: int = BLOCK) -> DataFrame:
+def trade_state(trades: DataFrame, capital: float, size: int = BLOCK) -> DataFrame:
     """Drawdown after each trade of an account, and its pnl of the day so far.
 
     A loss adds its share of the capital, a gain takes a tenth of its share off, within [0, 1].
@@ -113,7 +113,7 @@ def trade_state(trades: DataFrame, capital: float, seconds: int = DAY, size: int
     w = in_block(["account"])
     share = F.abs(F.col("pnl")) / capital
     day = F.to_date("ts")
-    rows = block(numbered_trades(trades, seconds=seconds), back=1, size=size)
+    rows = block(numbered_trades(trades), back=1, size=size)
     rows = rows.withColumns(
         {
             "_shift": F.when(F.col("pnl") < 0, share).otherwise(-share * RECOVERY),
@@ -177,7 +177,7 @@ def _position_scan() -> Scan:
     return Scan(ddl, unit, total, merge, run, "is_open boolean, position_pnl double, _opened bigint")
 
 
-def position_book(trades: DataFrame, seconds: int = DAY, size: int = BLOCK) -> DataFrame:
+def position_book(trades: DataFrame, size: int = BLOCK) -> DataFrame:
     """Per trade the state of its symbol's position: open or not, pnl since it opened, opening time.
 
     Any trade opens a closed position, a zero closes an open one, others add to it. Rows with a true
@@ -186,7 +186,7 @@ def position_book(trades: DataFrame, seconds: int = DAY, size: int = BLOCK) -> D
     keys = ["account", "symbol"]
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in trades.columns else F.lit(False)
     held = trades.where(F.col("symbol").isNotNull())
-    rows = block(numbered_trades(held, keys, seconds), size=size)
+    rows = block(numbered_trades(held, keys), size=size)
     rows = rows.withColumns({"_at": F.unix_micros("ts"), "_reset": reset})
     return (
         prefix_scan(rows.drop("own"), keys, _position_scan(), longest(held, keys) <= size)
@@ -203,10 +203,10 @@ def open_positions(book: DataFrame) -> DataFrame:
     return last.select("account", "symbol", "_s.*").where("is_open").drop("is_open")
 
 
-def rolling_var(trades: DataFrame, capital: float, confidence: float = 0.95, seconds: int = DAY) -> DataFrame:
+def rolling_var(trades: DataFrame, capital: float, confidence: float = 0.95) -> DataFrame:
     """Value at risk at each trade over the account's last 100; 0 below 30 trades."""
     w = in_block(["account"]).rowsBetween(1 - VAR_TRADES, 0)
-    rows = block(numbered_trades(trades, seconds=seconds), back=VAR_TRADES - 1)
+    rows = block(numbered_trades(trades), back=VAR_TRADES - 1)
     rows = rows.withColumn("_last", F.collect_list(F.col("pnl") / capital).over(w))
     quantile = interpolated_quantile(F.col("_last"), 1 - confidence)
     return own_rows(
@@ -282,11 +282,11 @@ def performance_metrics(trades: DataFrame, capital: float) -> DataFrame:
 # --- correlation -----------------------------------------------------------------------------
 
 
-def close_returns(bars: DataFrame, seconds: int = 30 * DAY) -> DataFrame:
+def close_returns(bars: DataFrame) -> DataFrame:
     """Return of each bar on the bar before; null for the first bar and after a zero close."""
     w = in_block(["symbol"])
     before = F.lag("close").over(w)
-    rows = block(number(bars.select("symbol", "time", "close"), ["symbol"], ["time"], seconds), back=1)
+    rows = block(number(bars.select("symbol", "time", "close"), ["symbol"], ["time"]), back=1)
     return (
         own_rows(rows.withColumn("ret", F.when(before != 0, F.col("close") / before - 1)))
         .where(F.col("ret").isNotNull())

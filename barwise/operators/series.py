@@ -3,8 +3,8 @@
 A market has few symbols, so ``Window.partitionBy("symbol")`` would put a large part of all rows
 into one task. Every order-dependent operator here works on blocks of a bounded number of rows:
 
-1. :func:`number` gives each row its position in its series. It counts rows per time bucket,
-   runs the prefix sum over those counts, and numbers rows inside a bucket only.
+1. :func:`number` gives each row its position in its series. Long series are cut into parts of about equal
+   numbers of rows; a prefix sum over the counts of parts and the order inside a part give the position.
 2. :func:`block` cuts a series into blocks of ``size`` rows. Rows that the next (previous) block
    needs for its frames travel there too, so any frame up to that length is exact.
 3. :mod:`barwise.operators.scan` folds a recurrence over the blocks of a series.
@@ -14,56 +14,114 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barwise.functions.scalars import time_bucket
+from barwise.session import materialize
 
 BLOCK = 65_536
+#: Rows of one key that are ordered in one task.
+PART_ROWS = 65_536
+#: Cut points of one key at most, at one level.
+MOST_CUTS = 4095
 
 
 def number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int, pos: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str = "pos", rows: int = PART_ROWS, most: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row in its series.
+    """Add the 0-based position of each row in its series, by the columns ``order``; nulls come first.
 
-    ``order[0]`` is the time column; ``seconds`` is the width of a time bucket and should hold
-    some 10 000 to 100 000 rows of the busiest key (see :func:`bucket_seconds`).
+    Series of up to ``rows`` rows are numbered as they are. Longer ones are cut into parts (:func:`parts`), whose counts give the position of a
+    part; then ``df`` is written to the shared folder once. ``most`` is the length of the longest series, if known.
     """
-    tagged = df.withColumn("_bucket", time_bucket(order[0], seconds))
-    by_bucket = [*keys, "_bucket"]
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = (
-        tagged.groupBy(*by_bucket)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*by_bucket, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy(*by_bucket).orderBy(*order)
-    return (
-        tagged.withColumn("_row", F.row_number().over(inside))
-        .join(starts, by_bucket)
-        .withColumn(pos, F.col("_start") + F.col("_row") - 1)
-        .drop("_bucket", "_row", "_start")
+    if (longest(df, keys) if most is None else most) <= rows:
+        return df.withColumn(pos, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    cut, levels = parts(materialize(df, "long-series"), keys, order, rows)
+    cut = materialize(cut, "series-parts")
+    by = [*keys, *levels]
+    earlier = Window.partitionBy(*keys).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
     )
+    numbered = cut.withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return numbered.join(starts, same).withColumn(pos, F.col("_start") + F.col("_row") - 1).select(*df.columns, pos)
 
 
-def bucket_seconds(df: DataFrame, keys: Sequence[str], time: str, rows: int = 50_000) -> int:
-    """Width of a bucket that holds about ``rows`` rows of the busiest key.
+def parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = PART_ROWS) -> tuple[DataFrame, list[str]]:
+    """Series cut into parts of about ``rows`` rows: ``df`` with columns that number the parts in order, and their names.
 
-    One aggregation over the key and time columns; only one number reaches the driver.
+    Cut points are quantiles of the first column of ``order`` per long key, from a sketch. A value that fills several parts (a burst at one
+    time) is cut by the next column in the same way, and rows equal in all columns by their place in the table. Give ``df`` as a written
+    table. Each level multiplies the number of parts by up to ``MOST_CUTS``.
     """
-    rate = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))).alias("span"),
-        )
-        .agg(F.max((F.col("n") - 1) * 1e6 / F.greatest(F.col("span"), F.lit(1_000_000))))
-        .first()[0]
-    )
-    return max(1, int(rows / rate)) if rate else 86_400
+    levels: list[str] = []
+    within = list(keys)
+    out = df.withColumn("_whole", F.lit(True))
+    for i in range(len(order) + 1):
+        source = out.where("_whole")
+        most = longest(source, within)
+        if most <= rows:
+            break
+        kind = df.schema[order[i]].dataType if i < len(order) else None
+        value = _as_number(F.col(order[i]), kind) if kind else F.monotonically_increasing_id()
+        n = min(MOST_CUTS, -(-2 * most // rows))
+        level, at = f"_part{i}", f"_value{i}"
+        out = materialize(out.withColumn(at, value), "series-values")
+        points = [j / (n + 1) for j in range(1, n + 1)]
+        sketch = F.percentile_approx(at, points, 4 * (n + 1))
+        cuts = out.where("_whole").groupBy(*within).agg(F.count(F.lit(1)).alias("_n"), sketch.alias("_points")).where(F.col("_n") > rows)
+        cuts = materialize(cuts.drop("_n"), "cut-points")
+        out = _with_table(out, cuts, within, ["_points"])
+        out = out.withColumn("_cuts", F.array_distinct("_points"))
+        out = _searched(out, "_cuts", at, level, n)
+        # A value at two cut points or more fills a part by itself; it goes on to the next column.
+        again = F.array_contains(F.slice("_points", F.array_position("_points", F.col(at)).cast("int") + 1, F.lit(n)), F.col(at))
+        whole = F.col("_whole") & F.coalesce((F.array_position("_points", F.col(at)) > 0) & again, F.lit(False))
+        out = out.withColumn("_next", whole)
+        # Inside a part the rows of such a value come first, so they get a place of their own.
+        tail = f"_tail{i}"
+        out = out.withColumn(tail, F.when(F.col("_next"), 0).otherwise(1)).drop("_points", "_cuts", "_whole").withColumnRenamed("_next", "_whole")
+        out = materialize(out, "series-parts")
+        levels += [level, tail]
+        within.append(at)
+        if isinstance(kind, T.StringType):  # its number does not tell all texts apart
+            break
+    return out, levels
+
+
+def _as_number(value: Column, kind: T.DataType) -> Column:
+    """A number that never falls as the value rises, null lowest; of texts the first seven bytes."""
+    if isinstance(kind, T.TimestampType):
+        return F.coalesce(F.unix_micros(value), F.lit(-(1 << 62)))
+    if isinstance(kind, T.DateType):
+        return F.coalesce(F.unix_date(value).cast("long"), F.lit(-(1 << 62)))
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0")
+        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(value.cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(value if isinstance(kind, T.DecimalType) else value.cast("double"), F.lit(float("-inf")))
+
+
+def _with_table(df: DataFrame, table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Left join that matches null keys."""
+    named = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(named, same, "left").select(*df.columns, *columns)
+
+
+def _searched(df: DataFrame, cuts: str, value: str, out: str, most: int) -> DataFrame:
+    """How many of the sorted ``cuts`` are at most ``value``: a binary search in steps; 0 without cuts or value."""
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(0, most.bit_length() - 1)
+    while step:
+        there = F.get(cuts, F.col(out) + (step - 1)) <= F.col(value)
+        df = df.withColumn(out, F.col(out) + F.when(there, step).otherwise(0))
+        step //= 2
+    return df
 
 
 def longest(df: DataFrame, keys: Sequence[str]) -> int:

@@ -112,7 +112,7 @@ def stored_events(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("{}").alias("metadata"),
         F.col("ts").alias("timestamp"),
     )
-    return number(events, ["aggregate_id"], ["timestamp", "id"], 86_400).withColumn(
+    return number(events, ["aggregate_id"], ["timestamp", "id"]).withColumn(
         "version", (F.col("pos") + 1).cast("int")
     ).drop("pos")
 

@@ -334,19 +334,19 @@ def macd(spark, folder):
 
 @rounded(4)
 def indicators_weekly(spark, folder):
-    table = indicators.indicators(d.bars_weekly(spark, folder), seconds=364 * 86_400)
+    table = indicators.indicators(d.bars_weekly(spark, folder))
     return table.select("symbol", "time", "atr14", "rsi", "adx", "kama", "macd_signal")
 
 
 @rounded(4)
 def stochastic(spark, folder):
-    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"], indicators.HOURS_30D)
+    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"])
     return own_rows(indicators.frames(numbered, ["symbol"])).select("symbol", "time", "stoch_k", "stoch_d")
 
 
 @rounded(4)
 def weighted_average(spark, folder):
-    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"], indicators.HOURS_30D)
+    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"])
     w = in_block(["symbol"])
     rows = block(numbered, back=9).withColumn("wma", indicators.wma(F.col("close"), 10, w, BLOCK))
     return own_rows(rows).select("symbol", "time", "wma")
@@ -354,7 +354,7 @@ def weighted_average(spark, folder):
 
 @rounded(4)
 def hull_average(spark, folder):
-    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"], indicators.HOURS_30D)
+    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"])
     return indicators.hull(numbered, ["symbol"], 20).select("symbol", "time", "hma")
 
 
@@ -457,13 +457,13 @@ def order_levels(spark, folder):
 
 @rounded(4)
 def walk_forward(spark, folder):
-    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"], indicators.HOURS_30D)
+    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"])
     return signals.walk_forward(numbered, 252, 63)
 
 
 @rounded(4)
 def walk_forward_summary(spark, folder):
-    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"], indicators.HOURS_30D)
+    numbered = number(d.bars_hourly(spark, folder), ["symbol"], ["time"])
     return signals.walk_forward_summary(signals.walk_forward(numbered, 126, 90))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barwise.operators.indicators import FIRST_SCAN, INPUTS, SECOND_SCAN, frames
 from barwise.operators.scan import block_totals, carries, finish
-from barwise.operators.series import BLOCK, bucket_seconds, number
+from barwise.operators.series import BLOCK, number
 from barwise.session import materialize
 from barwise.sources.sinks import read_or_none
 
@@ -76,7 +76,7 @@ def replayed_indicators(store: str, n: int, new: DataFrame, size: int = BLOCK) -
     else:
         todo = todo.withColumn("next", F.lit(0))
     todo = materialize(todo.select(*BAR_COLUMNS, "next"), "bars-to-scan")
-    rows = number(todo, KEYS, ["time"], bucket_seconds(todo, KEYS, "time")).withColumn("pos", F.col("pos") + F.col("next")).drop("next")
+    rows = number(todo, KEYS, ["time"]).withColumn("pos", F.col("pos") + F.col("next")).drop("next")
     rows = rows.withColumn("_seen", F.lit(False))
     if batches:
         tail = _kept(spark, store, "tail", chosen, batches)

@@ -104,7 +104,7 @@ def rolling_risk(folder: str, capital: float, size: int = BLOCK):
         was_open = F.coalesce(F.lag("is_open").over(in_block(["account", "symbol"])), F.lit(False))
         moves = own_rows(moves.withColumn("_move", F.col("is_open").cast("int") - was_open.cast("int"))).select(*key, "ts", "_move")
         idle = rows.where(F.col("symbol").isNull()).select(*key, "ts", F.lit(0).alias("_move"))
-        moves = block(number(moves.unionByName(idle), ["account"], ["ts", "id"], 86_400), size=size).drop("own")
+        moves = block(number(moves.unionByName(idle), ["account"], ["ts", "id"]), size=size).drop("own")
         active = running(moves, ["account"], "sum", "_move", "active_positions")
         out = (
             state.select(*key, "ts", "drawdown")

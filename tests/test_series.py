@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barwise.operators import indicators, risk, scan
 from barwise.operators.asof import asof_join
-from barwise.operators.series import block, bucket_seconds, in_block, number, own_rows, running
+from barwise.operators.series import block, in_block, number, own_rows, parts, running
 
 START = dt.datetime(2024, 1, 1)
 
@@ -40,19 +40,48 @@ def bars(spark):
 
 
 def test_number_is_dense_per_series(bars):
-    rows = number(bars, ["symbol"], ["time"], 20 * 3600).orderBy("symbol", "time").collect()
+    rows = number(bars, ["symbol"], ["time"], rows=20).orderBy("symbol", "time").collect()
     for symbol in ("HOT", "COLD", "NEW"):
         mine = [r.pos for r in rows if r.symbol == symbol]
         assert mine == list(range(len(mine)))
 
 
-def test_bucket_seconds_holds_about_the_asked_rows(bars):
-    assert 90 * 3600 <= bucket_seconds(bars, ["symbol"], "time", 100) <= 110 * 3600
+@pytest.fixture(scope="module")
+def bursts(spark):
+    """Two thousand rows at one time, half of them with one id, and null times and ids."""
+    rnd = random.Random(4)
+    rows = [("HOT", hours(rnd.randrange(500)), rnd.randrange(10**6), "x") for _ in range(2000)]
+    rows += [("HOT", hours(250), rnd.randrange(10**6) if i % 2 else 77, "y") for i in range(2000)]
+    rows += [("HOT", None, i if i % 3 else None, "z") for i in range(300)] + [(None, hours(i), i, "n") for i in range(400)]
+    rows += [("FEW", hours(i % 5), i, "f") for i in range(20)]
+    return spark.createDataFrame(rows, "symbol string, time timestamp, id long, kind string").repartition(5)
+
+
+@pytest.mark.parametrize("order", [["time", "id"], ["time"], ["kind", "time", "id"], ["id"]])
+def test_positions_follow_the_order_within_bursts(bursts, order):
+    rows = number(bursts, ["symbol"], order, rows=100).collect()
+    assert len(rows) == 4720
+    low = lambda x: (x is not None, x if x is not None else 0)
+    for symbol in ("HOT", "FEW", None):
+        mine = sorted((r for r in rows if r.symbol == symbol), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(len(mine)))
+        values = [tuple((r[c] is not None, r[c]) if r[c] is None else low(r[c]) for c in order) for r in mine]
+        assert all(a[0][0] <= b[0][0] for a, b in zip(values, values[1:]))
+        known = [v for v in values if all(x[0] for x in v)]
+        assert known == sorted(known)
+
+
+def test_bursts_are_cut_into_parts(bursts, spark):
+    from barwise.session import materialize
+
+    cut, levels = parts(materialize(bursts, "bursts"), ["symbol"], ["time", "id"], 100)
+    most = cut.groupBy("symbol", *levels).count().agg(F.max("count")).first()[0]
+    assert most <= 200
 
 
 def test_lag_and_lead_cross_blocks(bars):
     w = in_block(["symbol"])
-    rows = block(number(bars, ["symbol"], ["time"], 90_000), back=2, ahead=1, size=10)
+    rows = block(number(bars, ["symbol"], ["time"], rows=25), back=2, ahead=1, size=10)
     rows = own_rows(rows.withColumns({"b": F.lag("close", 2).over(w), "a": F.lead("close").over(w)}))
     got = rows.orderBy("symbol", "pos").collect()
     assert len(got) == 497
@@ -69,7 +98,7 @@ def test_frame_longer_than_a_block_is_refused(bars):
 
 
 def test_running_sum_and_prior_max(bars):
-    rows = block(number(bars, ["symbol"], ["time"], 90_000), size=16).drop("own")
+    rows = block(number(bars, ["symbol"], ["time"], rows=25), size=16).drop("own")
     rows = running(rows, ["symbol"], "sum", "close", "total")
     rows = running(rows, ["symbol"], "max", "close", "highest", prior=True).orderBy("pos").collect()
     for symbol in ("HOT", "COLD"):
@@ -147,7 +176,7 @@ def same(a, b):
 
 @pytest.mark.parametrize("size", [48, 65_536])
 def test_indicators_equal_plain_loops(bars, size):
-    numbered = number(bars, ["symbol"], ["time"], 100 * 3600)
+    numbered = number(bars, ["symbol"], ["time"], rows=100)
     got = indicators.with_indicators(numbered, size=size).orderBy("symbol", "pos").collect()
     for symbol in ("HOT", "COLD", "NEW"):
         mine = [r.asDict() for r in got if r.symbol == symbol]
@@ -178,7 +207,7 @@ def test_hull_weights_equal_the_definition():
 
 
 def test_hull_of_plain_windows_equals_weights(bars):
-    numbered = number(bars.where("symbol = 'HOT'"), ["symbol"], ["time"], 100 * 3600)
+    numbered = number(bars.where("symbol = 'HOT'"), ["symbol"], ["time"], rows=100)
     rows = indicators.hull(numbered, ["symbol"], 20).orderBy("pos").collect()
     want = np.convolve([r.close for r in rows], indicators.hull_weights(20), mode="valid")
     assert [r.hma for r in rows[:22]] == [None] * 22
