@@ -1,26 +1,23 @@
-"""Gaussian mixtures per symbol, fitted for all symbols at once as Spark jobs.
-
-Each step of the fit is one pass: features join the parameters of their symbol (one row per symbol,
-read from a small table of known size), responsibilities are column arithmetic, and the sufficient
-statistics are sums that combine before the shuffle. A symbol with a third of all rows costs no more
-than one row per task. Parameters go through a table in the shared folder after every step, which
-cuts the lineage.
-"""
+"""Gaussian mixtures with full covariances per symbol, fitted for all symbols at once (see :mod:`barwise.operators.em`)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import log, pi
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwise.catalog import STATES
+from barwise.functions.scalars import argmax
+from barwise.operators import em
+from barwise.operators.em import Model
 from barwise.operators.regimes import cluster_label
-from barwise.session import materialize
 
 # Stop criterion, variance floor, smallest history.
 TOLERANCE, MAX_STEPS, FLOOR, MIN_ROWS = 1e-3, 100, 1e-6, 50
+LEAST_WEIGHT = 1e-10
 FEATURES = ["volatility", "trend_strength", "volume_profile"]
 
 
@@ -33,148 +30,145 @@ def feature_matrix(features: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     return rows.join(long_enough.select("symbol"), "symbol")
 
 
-# The fit repeats one plan many times, so its formulas are built as SQL text: one call per column
-# instead of one per operator. ``x`` below are column names, matrices are lists of SQL terms.
-
+def _parted(theta: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and covariances from flat parameters."""
+    return theta[:k], theta[k : k + k * d].reshape(k, d), theta[k + k * d :].reshape(k, d, d)
 
-def _minor(m: list[list[str]], i: int, j: int) -> list[list[str]]:
-    return [[x for c, x in enumerate(row) if c != j] for r, row in enumerate(m) if r != i]
 
+def log_densities(x: np.ndarray, theta: np.ndarray, k: int) -> np.ndarray:
+    """Log of weight times density, per row and component."""
+    d = x.shape[1]
+    weights, means, spreads = _parted(theta, k, d)
+    # The floor on the diagonal keeps determinants positive up to rounding.
+    det = np.maximum(np.linalg.det(spreads), FLOOR**d)
+    adjugate = np.linalg.inv(spreads) * (np.linalg.det(spreads) / det)[:, None, None]
+    away = x[:, None, :] - means
+    distance = np.einsum("nki,kij,nkj->nk", away, adjugate, away)
+    return np.log(weights) - (np.log(det) + distance + d * np.log(2 * np.pi)) / 2
 
-def _det(m: list[list[str]]) -> str:
-    if not m:
-        return "1"
-    signs = ("+", "-")
-    return "(" + " ".join(f"{signs[j % 2]} {m[0][j]} * {_det(_minor(m, 0, j))}" for j in range(len(m))) + ")"
 
+def posteriors(x: np.ndarray, theta: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of every component and log density, per row."""
+    logs = log_densities(x, theta, k)
+    top = logs.max(axis=1)
+    total = top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
+    return np.exp(logs - total[:, None]), total
 
-def _inverse(m: list[list[str]], det: str) -> list[list[str]]:
-    n = len(m)
-    return [[f"{'-' if (i + j) % 2 else ''}{_det(_minor(m, j, i))} / {det}" for j in range(n)] for i in range(n)]
 
+def _moments(x: np.ndarray, shares: np.ndarray, likelihood: float) -> np.ndarray:
+    """The log likelihood, then per component the weight, weighted values and weighted products."""
+    products = np.einsum("nk,ni,nj->kij", shares, x, x)
+    return np.concatenate([[likelihood], shares.sum(axis=0), (shares.T @ x).ravel(), products.ravel()])
 
-def _cells(d: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(d) for j in range(i, d)]
 
+def mixture(columns: Sequence[str], k: int) -> Model:
+    d = len(columns)
 
-def _sums(weights: list[str], x: Sequence[str]) -> list[Column]:
-    """Weight, weighted values and weighted products of each component."""
-    out = {}
-    for k, w in enumerate(weights):
-        out[f"n{k}"] = w
-        out.update({f"s{k}_{i}": f"{w} * {v}" for i, v in enumerate(x)})
-        out.update({f"q{k}_{i}{j}": f"{w} * {x[i]} * {x[j]}" for i, j in _cells(len(x))})
-    return [F.expr(f"sum({e}) AS {n}") for n, e in out.items()]
+    def expect(batch: pa.RecordBatch, thetas: np.ndarray) -> np.ndarray:
+        out = []
+        for x, theta in zip(em.matrices(batch, columns), thetas, strict=True):
+            shares, logs = posteriors(x, theta, k)
+            out.append(_moments(x, shares, logs.sum()))
+        return np.array(out)
+
+    def update(sums: np.ndarray) -> np.ndarray:
+        held = sums[1 : 1 + k]
+        weight = np.maximum(held, LEAST_WEIGHT)
+        means = sums[1 + k : 1 + k + k * d].reshape(k, d) / weight[:, None]
+        spreads = sums[1 + k + k * d :].reshape(k, d, d) / weight[:, None, None] - means[:, :, None] * means[:, None, :]
+        own = np.arange(d)
+        spreads[:, own, own] = np.maximum(spreads[:, own, own], 0) + FLOOR
+        return np.concatenate([weight / held.sum(), means.ravel(), spreads.ravel()])
+
+    def free(theta: np.ndarray) -> np.ndarray:
+        weights, means, spreads = _parted(theta, k, d)
+        roots = np.linalg.cholesky(spreads)
+        own = np.arange(d)
+        roots[:, own, own] = np.log(roots[:, own, own])
+        return np.concatenate([np.log(weights), means.ravel(), roots.ravel()])
+
+    def bound(values: np.ndarray) -> np.ndarray:
+        weights, means, roots = _parted(values, k, d)
+        roots = np.tril(roots)
+        own = np.arange(d)
+        roots[:, own, own] = np.exp(roots[:, own, own])
+        shares = np.exp(weights - weights.max())
+        return np.concatenate([shares / shares.sum(), means.ravel(), (roots @ roots.transpose(0, 2, 1)).ravel()])
+
+    return Model(expect, update, free, bound, per_row=True)
+
+
+def quantile_sums(packed: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """Sums for first parameters: the rows in ``k`` groups of equal size by their place. Blocks must be packed in the order of the groups."""
+    d = len(columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, first, n in zip(em.matrices(batch, columns), batch.column("first").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                group = (first + np.arange(len(x))) * k // n
+                out.append(_moments(x, (group[:, None] == np.arange(k)).astype(float), 0.0).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("symbol"), pa.array(out, pa.list_(pa.float64()))], ["symbol", "sums"])
 
-def _with(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return rows.selectExpr("*", *[f"{e} AS {n}" for n, e in columns.items()])
+    sums = packed.mapInArrow(run, "symbol string, sums array<double>")
+    return sums.groupBy("symbol").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(1 + k + k * d + k * d * d)]).alias("sums"))
 
 
-def _parameters(stats: DataFrame, k: int, d: int) -> DataFrame:
-    """Weights, means and inverse covariances from the sums, one row per symbol."""
-    total = " + ".join(f"n{c}" for c in range(k))
-    rows = _with(stats, {f"_n{c}": f"greatest(n{c}, 1e-10D)" for c in range(k)})
-    rows = _with(
-        rows,
-        {f"w{c}": f"_n{c} / ({total})" for c in range(k)}
-        | {f"m{c}_{i}": f"s{c}_{i} / _n{c}" for c in range(k) for i in range(d)},
-    )
-    covariances = {}
-    for c in range(k):
-        for i, j in _cells(d):
-            spread = f"q{c}_{i}{j} / _n{c} - m{c}_{i} * m{c}_{j}"
-            covariances[f"c{c}_{i}{j}"] = f"greatest({spread}, 0D) + {FLOOR}D" if i == j else spread
-    rows = _with(rows, covariances)
-
-    def matrix(c: int) -> list[list[str]]:
-        return [[f"c{c}_{min(i, j)}{max(i, j)}" for j in range(d)] for i in range(d)]
-
-    # The floor keeps the determinant positive up to rounding.
-    rows = _with(rows, {f"d{c}": f"greatest({_det(matrix(c))}, {FLOOR**d}D)" for c in range(k)})
-    inverse = {}
-    for c in range(k):
-        inv = _inverse(matrix(c), f"d{c}")
-        inverse.update({f"p{c}_{i}{j}": inv[i][j] for i, j in _cells(d)})
-    names = [f"w{c}" for c in range(k)] + [f"d{c}" for c in range(k)]
-    names += [f"m{c}_{i}" for c in range(k) for i in range(d)]
-    return rows.selectExpr("symbol", "likelihood", "gain", *names, *[f"{e} AS {n}" for n, e in inverse.items()])
-
-
-def _scored(rows: DataFrame, parameters: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """Rows with their log density ``_log`` and the responsibility of each component, ``r0`` .."""
-    d = len(columns)
-    old = parameters.drop("gain").withColumnRenamed("likelihood", "_old")
-    logs = {}
-    for c in range(k):
-        diff = [f"({x} - m{c}_{i})" for i, x in enumerate(columns)]
-        distance = " + ".join(f"{1 if i == j else 2} * {diff[i]} * {diff[j]} * p{c}_{i}{j}" for i, j in _cells(d))
-        logs[f"l{c}"] = f"ln(w{c}) - (ln(d{c}) + {distance} + {d * log(2 * pi)}D) / 2"
-    terms = [f"l{c}" for c in range(k)]
-    joined = _with(rows.join(old, "symbol"), logs)
-    joined = _with(joined, {"_top": f"greatest({', '.join(terms)})"})
-    joined = _with(joined, {"_log": "_top + ln(" + " + ".join(f"exp({t} - _top)" for t in terms) + ")"})
-    return joined.selectExpr(*rows.columns, "_log", "_old", *[f"exp(l{c} - _log) AS r{c}" for c in range(k)])
-
-
-def group_sums(rows: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """Sums for first parameters: rows cut into ``k`` groups at the quantiles of the first feature."""
-    cuts = rows.groupBy("symbol").agg(
-        F.percentile_approx(columns[0], [i / k for i in range(1, k)], 10_000).alias("_cuts")
-    )
-    group = F.aggregate(
-        "_cuts", F.lit(0), lambda n, cut: n + F.when(F.col(columns[0]) > cut, 1).otherwise(0)
-    )
-    placed = rows.join(cuts, "symbol").withColumn("_g", group)
-    weights = [f"double(_g = {c})" for c in range(k)]
-    start = [F.lit(float("-inf")).alias("likelihood"), F.lit(float("inf")).alias("gain")]
-    return placed.groupBy("symbol").agg(*start, *_sums(weights, columns))
+def pack(rows: DataFrame, columns: Sequence[str], size: int = em.PACKED_ROWS) -> DataFrame:
+    """Blocks in the order of the first feature, so that groups at its quantiles are exact (equal values: by time)."""
+    return em.pack(rows, columns, [columns[0], "time"], size)
 
 
 def fit(
-    rows: DataFrame, columns: Sequence[str], k: int, tolerance: float = TOLERANCE, steps: int = MAX_STEPS
+    packed: DataFrame, columns: Sequence[str], k: int, tolerance: float = TOLERANCE, steps: int = MAX_STEPS, accelerate: bool = True
 ) -> DataFrame:
-    """Parameters per symbol of a mixture of ``k`` Gaussians with full covariances.
+    """Parameters per symbol of a mixture of ``k`` Gaussians, components by rising mean of the first feature.
 
-    Stops when the mean log likelihood of no symbol grows by more than ``tolerance``.
+    Starts at the quantile groups of the first feature; a symbol stops when a step adds less than ``tolerance`` to its mean log likelihood.
     """
-    parameters = materialize(_parameters(group_sums(rows, columns, k), k, len(columns)), "mixture")
-    weights = [f"r{c}" for c in range(k)]
-    likelihood = F.avg("_log")
-    for _ in range(steps):
-        stats = _scored(rows, parameters, columns, k).groupBy("symbol").agg(
-            likelihood.alias("likelihood"),
-            (likelihood - F.max("_old")).alias("gain"),
-            *_sums(weights, columns),
-        )
-        parameters = materialize(_parameters(stats, k, len(columns)), "mixture")
-        gain = parameters.agg(F.max("gain")).first()[0]
-        if gain is None or gain < tolerance:
-            break
-    return parameters
-
-
-def classify(rows: DataFrame, parameters: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """Rows with their component, numbered by rising mean of the first feature, and its posterior."""
-    means = F.sort_array(F.array(*[F.struct(F.col(f"m{c}_0").alias("m"), F.lit(c).alias("c")) for c in range(k)]))
-    rank = parameters.select("symbol", F.transform(means, lambda m: m["c"]).alias("_order"))
-    posterior = F.array(*[F.col(f"r{c}") for c in range(k)])
-    return (
-        _scored(rows, parameters, columns, k)
-        .join(rank, "symbol")
-        .withColumn("confidence", F.array_max(posterior))
-        .withColumn("_c", (F.array_position(posterior, F.col("confidence")) - 1).cast("int"))
-        .withColumn("component", (F.array_position("_order", F.col("_c")) - 1).cast("int"))
-        .select(*rows.columns, "component", "confidence")
-    )
-
-
-def volatility_clusters(features: DataFrame, k: int = 3, tolerance: float = TOLERANCE) -> DataFrame:
+    model = mixture(columns, k)
+    start = em.initial(quantile_sums(packed, columns, k), model)
+    return em.fit(packed, start, model, tolerance, steps, accelerate)
+
+
+def _ordered(theta: np.ndarray, k: int, d: int) -> np.ndarray:
+    weights, means, spreads = _parted(theta, k, d)
+    order = np.argsort(means[:, 0], kind="stable")
+    return np.concatenate([weights[order], means[order].ravel(), spreads[order].ravel()])
+
+
+def classify(packed: DataFrame, parameters: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """Rows with the posterior of every component (numbered by rising mean of the first feature), the likeliest one and its posterior."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("time").value_lengths()
+            shares = [posteriors(x, _ordered(t, k, len(columns)), k)[0] for x, t in zip(em.matrices(batch, columns), em.thetas(batch), strict=True)]
+            if not shares:
+                continue
+            table = np.concatenate(shares)
+            stops = pa.array(np.arange(len(table) + 1) * k, pa.int32())
+            symbols = batch.column("symbol").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes.to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays(
+                [symbols, batch.column("time").flatten(), *[batch.column(c).flatten() for c in columns], pa.ListArray.from_arrays(stops, pa.array(table.ravel()))],
+                ["symbol", "time", *columns, "posterior"],
+            )
+
+    joined = packed.join(parameters.select("symbol", "theta"), "symbol")
+    schema = f"symbol string, time timestamp, {', '.join(f'{c} double' for c in columns)}, posterior array<double>"
+    rows = joined.mapInArrow(run, schema)
+    return rows.withColumns({"component": argmax(F.col("posterior")), "confidence": F.array_max("posterior")})
+
+
+def volatility_clusters(
+    features: DataFrame, k: int = 3, tolerance: float = TOLERANCE, steps: int = MAX_STEPS, accelerate: bool = True, size: int = em.PACKED_ROWS
+) -> DataFrame:
     """Clusters of (volatility, volume profile) per symbol: means, count, label, and whether the
     newest row is in the cluster, with that row's confidence."""
     columns = ["volatility", "volume_profile"]
-    rows = materialize(feature_matrix(features).select("symbol", "time", *columns), "features")
-    scored = classify(rows, fit(rows, columns, k, tolerance), columns, k)
+    packed = pack(feature_matrix(features), columns, size)
+    fitted = fit(packed, columns, k, tolerance, steps, accelerate)
+    scored = classify(packed, fitted, columns, k)
     stats = scored.groupBy("symbol", "component").agg(
         F.avg("volatility").alias("mean_volatility"),
         F.avg("volume_profile").alias("mean_volume"),
@@ -186,7 +180,7 @@ def volatility_clusters(features: DataFrame, k: int = 3, tolerance: float = TOLE
         .select("symbol", F.col("_now.component").alias("_current"), F.col("_now.confidence").alias("confidence"))
     )
     label = cluster_label(F.col("mean_volatility"), F.col("mean_volume"))
-    return stats.join(current, "symbol").select(
+    return stats.join(current, "symbol").join(fitted.select("symbol", "converged"), "symbol").select(
         "symbol",
         F.col("component").alias("cluster"),
         "mean_volatility",
@@ -195,23 +189,25 @@ def volatility_clusters(features: DataFrame, k: int = 3, tolerance: float = TOLE
         label.alias("regime_label"),
         (F.col("component") == F.col("_current")).alias("is_current"),
         F.when(F.col("component") == F.col("_current"), F.col("confidence")).alias("confidence"),
+        "converged",
     )
 
 
-def mixture_regimes(features: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """The newest row of each symbol under a mixture of five states: name and confidence."""
+def mixture_regimes(
+    features: DataFrame, tolerance: float = TOLERANCE, steps: int = MAX_STEPS, accelerate: bool = True, size: int = em.PACKED_ROWS
+) -> DataFrame:
+    """The newest row of each symbol under a mixture of five states: name, confidence and posterior of every state."""
     names = STATES["gmm"]
-    rows = materialize(feature_matrix(features), "features")
-    scored = classify(rows, fit(rows, FEATURES, len(names), tolerance), FEATURES, len(names))
-    return _named(scored, names, "gmm")
-
-
-def _named(scored: DataFrame, names: list[str], model: str) -> DataFrame:
-    newest = scored.groupBy("symbol").agg(F.max_by(F.struct("component", "confidence"), "time").alias("_now"))
+    packed = pack(feature_matrix(features), FEATURES, size)
+    fitted = fit(packed, FEATURES, len(names), tolerance, steps, accelerate)
+    scored = classify(packed, fitted, FEATURES, len(names))
+    newest = scored.groupBy("symbol").agg(F.max_by(F.struct("component", "confidence", "posterior"), "time").alias("_now"))
     labels = F.array(*[F.lit(n) for n in names])
-    return newest.select(
+    return newest.join(fitted.select("symbol", "converged"), "symbol").select(
         "symbol",
         F.get(labels, F.col("_now.component")).alias("regime"),
         F.col("_now.confidence").alias("confidence"),
-        F.lit(model).alias("model"),
+        F.col("_now.posterior").alias("probabilities"),
+        F.lit("gmm").alias("model"),
+        "converged",
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from barwise import catalog
-from barwise.plans.queries import AS_OF, CAPITAL
+from barwise.plans import model_sql
+from barwise.plans.queries import AS_OF, CAPITAL, CLUSTER_STEPS, MIXTURE_STEPS, STAY
 
 
 def values(rows) -> str:
@@ -367,6 +368,10 @@ def _derived_fold(tag: str) -> dict[str, str]:
 
 for _tag in ("w", "v", "f"):
     CTES.update(_derived_fold(_tag))
+_FEATURES = ["volatility", "trend_strength", "volume_profile"]
+CTES.update(model_sql.mixture("vc", ["volatility", "volume_profile"], 3, CLUSTER_STEPS))
+CTES.update(model_sql.mixture("gm", _FEATURES, 5, MIXTURE_STEPS))
+CTES.update(model_sql.markov("hm", _FEATURES, 5, STAY))
 
 
 def _needs(text: str) -> list[str]:
@@ -779,6 +784,10 @@ _BODIES: dict[str, str] = {
         (sum(is_open::INT - was_open::INT) OVER (ORDER BY daily.n))::BIGINT AS active_positions FROM daily JOIN dd USING (n)
         JOIN (SELECT id, is_open, was_open FROM pe) p ON p.id = daily.id""",
     "stream_indicators": f"SELECT symbol, time, {rnd(4, 'rsi', 'adx', 'kama', 'macd_signal', 'stoch_d')}, period, {rnd(4, 'hma')} FROM ind_h",
+    "volatility_clusters_steps": model_sql.clusters("vc", CLUSTER_STEPS),
+    "mixture_steps": model_sql.newest("gm", MIXTURE_STEPS, catalog.STATES["gmm"]),
+    "markov_forward": model_sql.markov_newest("hm", 0, 5),
+    "markov_step": model_sql.markov_newest("hm", 1, 5),
     "bar_maps": """SELECT symbol, time, round(close, 6) AS ohlcv_close, volume::DOUBLE AS ohlcv_volume, 5 AS n FROM bars_u""",
 }
 

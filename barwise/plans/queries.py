@@ -857,12 +857,53 @@ def volatility_clusters(spark, folder):
 
 @rounded(4)
 def mixture_regimes(spark, folder):
-    return mixture.mixture_regimes(regimes.basic_features(d.bars_hourly(spark, folder)))
+    return _posteriors(mixture.mixture_regimes(regimes.basic_features(d.bars_hourly(spark, folder))))
 
 
 @rounded(4)
 def hidden_markov_regimes(spark, folder):
-    return hidden_markov.hidden_markov_regimes(regimes.basic_features(d.bars_hourly(spark, folder)))
+    return _posteriors(hidden_markov.hidden_markov_regimes(regimes.basic_features(d.bars_hourly(spark, folder))))
+
+
+def _posteriors(df, n: int = 5):
+    return df.select(*[c for c in df.columns if c != "probabilities"], *[F.col("probabilities")[i].alias(f"p{i}") for i in range(n)])
+
+
+# Stated numbers of plain steps, and blocks far shorter than a series, so that sums and products of blocks are combined.
+CLUSTER_STEPS, MIXTURE_STEPS, STAY, SHORT_BLOCK = 4, 2, 0.9, 100
+PLAIN = {"tolerance": float("-inf"), "accelerate": False}
+
+
+@rounded(4)
+def volatility_clusters_steps(spark, folder):
+    rows = regimes.basic_features(d.bars_hourly(spark, folder))
+    return mixture.volatility_clusters(rows, steps=CLUSTER_STEPS, size=SHORT_BLOCK, **PLAIN).drop("converged")
+
+
+@rounded(4)
+def mixture_steps(spark, folder):
+    rows = regimes.basic_features(d.bars_hourly(spark, folder))
+    found = mixture.mixture_regimes(rows, steps=MIXTURE_STEPS, size=SHORT_BLOCK, **PLAIN)
+    return _posteriors(found.drop("converged", "model"))
+
+
+def _markov_states(spark, folder, steps: int):
+    rows = regimes.basic_features(d.bars_hourly(spark, folder))
+    k = hidden_markov.STATE_COUNT
+    packed, parameters = hidden_markov.pack(rows, SHORT_BLOCK), hidden_markov.start(rows, k, STAY)
+    if steps:
+        parameters = hidden_markov.fit(packed, parameters, k, steps=steps, **PLAIN)
+    return _posteriors(hidden_markov.newest_states(packed, parameters, k).withColumnRenamed("posterior", "probabilities"))
+
+
+@rounded(4)
+def markov_forward(spark, folder):
+    return _markov_states(spark, folder, 0)
+
+
+@rounded(4)
+def markov_step(spark, folder):
+    return _markov_states(spark, folder, 1)
 
 
 @query

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwise.catalog import STATES
-from barwise.operators import hidden_markov, mixture
+from barwise.operators import em, hidden_markov, mixture
 
 SCHEMA = "symbol string, i bigint, volatility double, trend_strength double, volume_profile double"
 
@@ -40,16 +40,59 @@ def test_planted_clusters_are_found(planted):
     assert [r["count"] for r in rows if r.symbol == "SMALL"] == [30, 30, 30]
 
 
+COLUMNS = ["volatility", "volume_profile"]
+PLAIN = {"tolerance": float("-inf"), "accelerate": False}
+
+
 def test_likelihood_grows_and_posteriors_sum_to_one(planted):
-    columns = ["volatility", "volume_profile"]
-    rows = mixture.feature_matrix(planted).select("symbol", "time", *columns)
-    short = mixture.fit(rows, columns, 3, tolerance=0.0, steps=2)
-    long = mixture.fit(rows, columns, 3, tolerance=0.0, steps=4)
+    packed = mixture.pack(mixture.feature_matrix(planted), COLUMNS)
+    short = mixture.fit(packed, COLUMNS, 3, steps=2, **PLAIN)
+    long = mixture.fit(packed, COLUMNS, 3, steps=4, **PLAIN)
     a, b = ({r.symbol: r.likelihood for r in p.collect()} for p in (short, long))
     assert all(b[s] >= a[s] - 1e-9 for s in a)
-    total = mixture._scored(rows, long, columns, 3).select((F.col("r0") + F.col("r1") + F.col("r2")).alias("p"))
-    low, high = total.agg(F.min("p"), F.max("p")).first()
-    assert low == pytest.approx(1.0) and high == pytest.approx(1.0)
+    assert {(r.step, r.converged) for r in long.collect()} == {(4, False)}
+    rows = mixture.classify(packed, long, COLUMNS, 3)
+    low, high, n = rows.select(F.aggregate("posterior", F.lit(0.0), lambda x, y: x + y).alias("p")).agg(F.min("p"), F.max("p"), F.count("p")).first()
+    assert low == pytest.approx(1.0) and high == pytest.approx(1.0) and n == 990
+
+
+def test_start_groups_are_exact_quantiles(spark):
+    df = table(spark, [("S", i, float((i * 37) % 100), 0.0, float(i % 7)) for i in range(100)] + [("T", i, 1.0, 0.0, float(i)) for i in range(60)])
+    packed = mixture.pack(mixture.feature_matrix(df), COLUMNS, size=13)
+    sums = {r.symbol: r.sums for r in mixture.quantile_sums(packed, COLUMNS, 3).collect()}
+    assert sums["S"][1:4] == [34, 33, 33] and sums["S"][4] == sum(range(34))
+    assert sums["T"][1:4] == [20, 20, 20] and sums["T"][5] == sum(range(20))  # ties go by time
+
+
+@pytest.mark.parametrize("size", [8192, 64])
+def test_extrapolation_needs_fewer_passes_for_the_same_fit(planted, size):
+    packed = mixture.pack(mixture.feature_matrix(planted), COLUMNS, size)
+    plain = {r.symbol: r for r in mixture.fit(packed, COLUMNS, 3, 1e-7, 400, accelerate=False).collect()}
+    fast = {r.symbol: r for r in mixture.fit(packed, COLUMNS, 3, 1e-7, 400).collect()}
+    assert set(plain) == set(fast) == {"BIG", "SMALL"}
+    for symbol in plain:
+        assert plain[symbol].converged and fast[symbol].converged
+        assert fast[symbol].likelihood >= plain[symbol].likelihood - 1e-5
+        assert fast[symbol].step <= plain[symbol].step + 2
+
+
+def test_blocks_do_not_change_the_mixture(planted):
+    whole = mixture.pack(mixture.feature_matrix(planted), COLUMNS)
+    cut = mixture.pack(mixture.feature_matrix(planted), COLUMNS, size=40)
+    a, b = ({r.symbol: r for r in mixture.fit(p, COLUMNS, 3, steps=4, **PLAIN).collect()} for p in (whole, cut))
+    for symbol in a:
+        assert np.allclose(a[symbol].theta, b[symbol].theta, rtol=1e-6, atol=1e-9)
+        assert a[symbol].step == b[symbol].step == 4
+
+
+def test_extrapolation_that_fails_is_taken_back():
+    model = mixture.mixture(COLUMNS, 2)
+    theta = np.concatenate([[0.5, 0.5], [0, 0, 1, 1], np.eye(2).ravel(), np.eye(2).ravel()])
+    row = {"symbol": "S", "n": 10, "theta": (theta * 3).tolist(), "likelihood": -5.0, "step": 4, "phase": 2, "memory": [*theta, -4.0]}
+    sums = np.concatenate([[-1000.0], [5, 5], [0, 0, 5, 5], 5 * np.eye(2).ravel(), 10 * np.eye(2).ravel()])
+    out = em._advanced(model, {**row, "sums": sums}, 1e-3, True)
+    assert out["theta"] == theta.tolist() and out["likelihood"] == -4.0 and out["phase"] == 0 and not out["converged"]
+    assert em._advanced(model, {**row, "sums": sums * 0.01}, 1e-3, True)["theta"] != theta.tolist()
 
 
 def switching(spark):
@@ -68,29 +111,62 @@ def test_blocks_do_not_change_the_hidden_markov_fit(spark):
     assert cut.log_likelihood == pytest.approx(whole.log_likelihood, rel=1e-9)
     assert cut.regime == whole.regime and cut.regime in STATES["hmm"]
     assert cut.confidence == pytest.approx(whole.confidence, abs=1e-9)
+    assert sum(cut.probabilities) == pytest.approx(1.0) and max(cut.probabilities) == cut.confidence
+    assert whole.converged is False
 
 
-def test_hidden_markov_pass_equals_plain_forward_backward(spark):
+def test_hidden_markov_fit_converges(spark):
     df, _ = switching(spark)
-    packed = hidden_markov.pack(df, 50)
-    parameters = hidden_markov._start(df, 5)
-    counts = hidden_markov._expected(packed, parameters, 5, packed.agg(F.max("block")).first()[0]).collect()
-    row = parameters.first().asDict()
-    start, moves, means, spreads = hidden_markov._model(row)
-    x = np.array([[r.volatility, r.trend_strength, r.volume_profile] for r in df.orderBy("i").collect()])
+    row, early = hidden_markov.hidden_markov_regimes(df).first(), hidden_markov.hidden_markov_regimes(df, steps=3).first()
+    assert row.converged and row.regime in STATES["hmm"]
+    assert row.log_likelihood > early.log_likelihood
+
+
+def plain_pass(x, theta, k=5):
+    """Forward-backward in log space, row by row."""
+    start, moves, means, spreads = hidden_markov.parted(np.array(theta), k)
+    with np.errstate(divide="ignore"):
+        moves, start = np.log(moves), np.log(start)
     logs = -0.5 * (np.log(2 * np.pi * spreads).sum(1) + ((x[:, None] - means) ** 2 / spreads).sum(2))
-    alpha, beta = np.full((len(x), 5), -np.inf), np.zeros((len(x), 5))
-    alpha[0] = np.log(start) + logs[0]
+    alpha, beta = np.full((len(x), k), -np.inf), np.zeros((len(x), k))
+    alpha[0] = start + logs[0]
     for t in range(1, len(x)):
-        alpha[t] = np.logaddexp.reduce(alpha[t - 1][:, None] + np.log(moves), axis=0) + logs[t]
+        alpha[t] = np.logaddexp.reduce(alpha[t - 1][:, None] + moves, axis=0) + logs[t]
     for t in range(len(x) - 2, -1, -1):
-        beta[t] = np.logaddexp.reduce(np.log(moves) + logs[t + 1] + beta[t + 1], axis=1)
+        beta[t] = np.logaddexp.reduce(moves + logs[t + 1] + beta[t + 1], axis=1)
     total = np.logaddexp.reduce(alpha[-1])
     gamma = np.exp(alpha + beta - total)
-    pairs = np.zeros((5, 5))
+    pairs = np.zeros((k, k))
     for t in range(1, len(x)):
-        pairs += np.exp(alpha[t - 1][:, None] + np.log(moves) + logs[t] + beta[t] - total)
-    assert sum(c.likelihood for c in counts) == pytest.approx(total)
-    assert np.allclose(sum(np.array(c.weight) for c in counts), gamma.sum(0))
-    assert np.allclose(sum(np.array(c.pairs) for c in counts).reshape(5, 5), pairs)
-    assert np.allclose(sum(np.array(c["first"]) for c in counts), gamma[0])
+        pairs += np.exp(alpha[t - 1][:, None] + moves + logs[t] + beta[t] - total)
+    return total, gamma, pairs
+
+
+def wild(spark):
+    """Values so far from every state that most densities are below the smallest double."""
+    rng = np.random.default_rng(6)
+    return table(spark, [("W", i, float(rng.normal() * 0.01 + (1000 if i % 50 == 9 else i % 3)), 0.0, float(i % 2)) for i in range(180)])
+
+
+@pytest.mark.parametrize("size", [8192, 50, 7, 1])
+@pytest.mark.parametrize("data", ["switching", "wild"])
+def test_hidden_markov_pass_equals_plain_forward_backward(spark, size, data):
+    df = switching(spark)[0] if data == "switching" else wild(spark)
+    k = 5
+    packed = hidden_markov.pack(df, size)
+    state = hidden_markov.start(df, k, stay=0.9)
+    theta = state.first().theta
+    if data == "wild":  # one state cannot be left
+        theta = np.array(theta)
+        theta[k : 2 * k] = [1, 0, 0, 0, 0]
+        state = state.withColumn("theta", F.array(*[F.lit(float(v)) for v in theta]))
+    last = packed.agg(F.max("block")).first()[0]
+    summed = em._sums(hidden_markov.with_ends(packed, state.drop("gain", "converged"), k, last), hidden_markov.markov(k))
+    sums = np.sum([r.sums for r in summed.collect()], axis=0)
+    x = np.array([[r.volatility, r.trend_strength, r.volume_profile] for r in df.orderBy("i").collect()])
+    total, gamma, pairs = plain_pass(x, theta)
+    likelihood, first, moves, weight, values, squares = np.split(sums, np.cumsum([1, k, k * k, k, 3 * k]))
+    assert likelihood[0] == pytest.approx(total, rel=1e-9)
+    assert np.allclose(weight, gamma.sum(0)) and np.allclose(first, gamma[0])
+    assert np.allclose(moves.reshape(k, k), pairs)
+    assert np.allclose(values.reshape(k, 3), gamma.T @ x) and np.allclose(squares.reshape(k, 3), gamma.T @ x**2)
