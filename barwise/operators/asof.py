@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwise.functions.scalars import time_bucket
+from barwise.operators.series import PART_ROWS, longest, parts
+from barwise.session import materialize
 
 
 def asof_join(
@@ -18,44 +19,31 @@ def asof_join(
     right_time: str,
     tolerance: int,
     columns: Sequence[str],
-    width: int | None = None,
+    rows: int = PART_ROWS,
 ) -> DataFrame:
     """Left rows with ``columns`` and the time of the newest right row of the same keys that is at
     most ``tolerance`` seconds old; null when there is none. Right times are unique per key.
 
-    Both sides are cut into time buckets at least as wide as the tolerance. A right row that stays
-    valid beyond its bucket is also sent to the next one, so each (keys, bucket) is complete on its
-    own: one shuffle, no task per key, at most two copies of the right side.
+    Both sides form one series per key. A series of up to ``rows`` rows is one window; a longer one is cut into parts of about as many rows by
+    its own distribution, whatever the tolerance, and a part that does not begin with a right row takes the last one of the parts before it. Of
+    those only one row per part is read.
     """
-    width = max(width or tolerance, tolerance)
-    until = F.col(right_time) + F.make_dt_interval(secs=F.lit(tolerance))
-    home, last = time_bucket(right_time, width), time_bucket(until, width)
-    payload = F.struct(F.col(right_time).alias("_rt"), *[F.col(c) for c in columns])
     features = right.select(
         *keys,
-        F.explode(F.array_distinct(F.array(home, last))).alias("_bucket"),
         F.col(right_time).alias("_at"),
         F.lit(0).alias("_side"),
-        payload.alias("_right"),
+        F.struct(F.col(right_time).alias("_rt"), *[F.col(c) for c in columns]).alias("_right"),
     )
     rest = [c for c in left.columns if c not in keys]
-    requests = left.select(
-        *keys,
-        time_bucket(left_time, width).alias("_bucket"),
-        F.col(left_time).alias("_at"),
-        F.lit(1).alias("_side"),
-        F.struct(*rest).alias("_left"),
-    )
-    w = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy("_at", "_side")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    requests = left.select(*keys, F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*rest).alias("_left"))
+    both = features.unionByName(requests, allowMissingColumns=True)
+    if longest(both, keys) <= rows:
+        found = both.withColumn("_found", _last(keys))
+    else:
+        found = _over_parts(both, keys, rows)
     fresh = F.unix_micros("_at") - F.unix_micros(F.col("_found._rt")) <= tolerance * 1_000_000
     return (
-        features.unionByName(requests, allowMissingColumns=True)
-        .withColumn("_found", F.last("_right", ignorenulls=True).over(w))
-        .where("_side = 1")
+        found.where("_side = 1")
         .withColumn("_found", F.when(fresh, F.col("_found")))
         .select(
             *keys,
@@ -64,3 +52,21 @@ def asof_join(
             *[F.col(f"_found.{c}").alias(c) for c in columns],
         )
     )
+
+
+def _last(by: Sequence[str]):
+    w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return F.last("_right", ignorenulls=True).over(w)
+
+
+def _over_parts(both: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``_found`` for series that are cut into parts."""
+    cut, levels = parts(materialize(both, "both-sides"), keys, ["_at", "_side"], rows)
+    cut = materialize(cut.select(*both.columns, *levels), "asof-parts")
+    by = [*keys, *levels]
+    ends = cut.groupBy(*by).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_at"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    inside = cut.withColumn("_inside", _last(by)).where("_side = 1")
+    return inside.join(carried, same, "left").withColumn("_found", F.coalesce("_inside", "_carried"))

@@ -14,10 +14,11 @@ from barwise.operators import scan as scans
 from barwise.operators.bars import newest_per_symbol
 from barwise.operators.scan import Scan, prefix_scan
 from barwise.operators.series import BLOCK, block, in_block, longest, number, own_rows, running
+from barwise.session import materialize
 
 # Limits of the risk rules.
 RISK_SHARE, STOP_ATR, MAX_POSITION, MIN_LOT = 0.02, 1.5, 0.1, 0.01
-MAX_DAILY_LOSS, RECOVERY, CORRELATED = 0.05, 0.1, 0.7
+MAX_DAILY_LOSS, RECOVERY, CORRELATED, HARD_LIMIT = 0.05, 0.1, 0.7, 0.145
 VAR_TRADES, VAR_MIN, RETAINED = 100, 30, 1000
 DAY = 86_400
 
@@ -58,7 +59,7 @@ def circuit_breakers(size: Column, capital: float, cumulative: bool = True) -> C
     second = 0.75 * 0.5 if cumulative else 0.5
     return first_match(
         [
-            ((drawdown > 0.145) | (daily < -capital * MAX_DAILY_LOSS), 0.0),
+            ((drawdown > HARD_LIMIT) | (daily < -capital * MAX_DAILY_LOSS), 0.0),
             (drawdown > 0.10, second),
             (drawdown > 0.05, 0.75),
         ],
@@ -130,25 +131,27 @@ def _position_scan() -> Scan:
     """Open/closed book of one symbol. A block is summed up for both cases of the state before it:
     ``c_*`` when closed, ``o_*`` when open; a null ``o_at`` means the old position is still open."""
 
-    def play(rows: pa.Table, opened: bool, pnl: float, at: int | None):
-        states = []
-        for p, t, reset in zip(rows["pnl"].to_pylist(), rows["_at"].to_pylist(), rows["_reset"].to_pylist()):
-            if reset:
-                opened, pnl, at = False, 0.0, None
-            elif not opened:
-                opened, pnl, at = True, p, t
-            elif p == 0:
-                opened, pnl, at = False, 0.0, None
-            else:
-                pnl += p
-            states.append((opened, pnl, at))
-        return states
+    def play(rows: pa.Table, opened: bool, pnl: float, at: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per trade: open or not, pnl since it opened, opening time, and whether that is in these rows."""
+        won, reset = scans.values(rows, "pnl"), rows["_reset"].to_numpy()
+        n, place = len(won), np.arange(len(won))
+        # A reset closes; a trade that is not zero leaves the position open; zeros after one of these turn it each time.
+        sure = reset | (won != 0)
+        last = np.maximum.accumulate(np.where(sure, place, -1))
+        turns = place - last
+        is_open = np.where(last >= 0, ~reset[last], opened) ^ (turns % 2 == 1)
+        begins = is_open & ~np.concatenate([[opened], is_open[:-1]])
+        begun = np.maximum.accumulate(np.where(begins, place, -1))
+        total = np.cumsum(won)
+        since = np.where(begun >= 0, total - (total - won)[begun], total + pnl)
+        return is_open, since, np.where(begun >= 0, rows["_at"].to_numpy()[begun], at or 0), (begun >= 0) | (at is not None)
 
     def total(rows: pa.Table, _: dict) -> dict:
-        c, o = play(rows, False, 0.0, None)[-1], play(rows, True, 0.0, None)[-1]
-        return {
-            "c_open": c[0], "c_pnl": c[1], "c_at": c[2], "o_open": o[0], "o_pnl": o[1], "o_at": o[2],
-        }
+        out = {}
+        for side, opened in (("c", False), ("o", True)):
+            is_open, pnl, at, known = (x[-1] for x in play(rows, opened, 0.0, None))
+            out |= {f"{side}_open": bool(is_open), f"{side}_pnl": float(pnl) if is_open else 0.0, f"{side}_at": int(at) if is_open and known else None}
+        return out
 
     def merge(left: dict, right: dict) -> dict:
         out = {}
@@ -164,12 +167,11 @@ def _position_scan() -> Scan:
         return out
 
     def run(rows: pa.Table, before: dict) -> dict:
-        states = play(rows, before["c_open"], before["c_pnl"], before["c_at"])
-        opened, pnl, at = zip(*states)
+        is_open, pnl, at, known = play(rows, before["c_open"], before["c_pnl"], before["c_at"])
         return {
-            "is_open": np.array(opened),
-            "position_pnl": pa.array([p if o else None for o, p, _ in states], type=pa.float64()),
-            "_opened": pa.array(at, type=pa.int64()),
+            "is_open": is_open,
+            "position_pnl": pa.array(pnl, mask=~is_open),
+            "_opened": pa.array(at.astype(np.int64), mask=~(is_open & known)),
         }
 
     unit = {"c_open": False, "c_pnl": 0.0, "c_at": None, "o_open": True, "o_pnl": 0.0, "o_at": None}
@@ -177,30 +179,50 @@ def _position_scan() -> Scan:
     return Scan(ddl, unit, total, merge, run, "is_open boolean, position_pnl double, _opened bigint")
 
 
-def position_book(trades: DataFrame, size: int = BLOCK) -> DataFrame:
+def position_book(trades: DataFrame, size: int = BLOCK, keys: Sequence[str] = ("account", "symbol")) -> DataFrame:
     """Per trade the state of its symbol's position: open or not, pnl since it opened, opening time.
 
     Any trade opens a closed position, a zero closes an open one, others add to it. Rows with a true
     ``reset`` (an emergency close) clear it. Trades without a symbol have no position.
     """
-    keys = ["account", "symbol"]
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in trades.columns else F.lit(False)
     held = trades.where(F.col("symbol").isNotNull())
-    rows = block(numbered_trades(held, keys), size=size)
+    most = longest(held, keys)
+    rows = block(numbered_trades(held, keys, most), size=size)
     rows = rows.withColumns({"_at": F.unix_micros("ts"), "_reset": reset})
     return (
-        prefix_scan(rows.drop("own"), keys, _position_scan(), longest(held, keys) <= size)
+        prefix_scan(rows.drop("own"), keys, _position_scan(), most <= size)
         .withColumn("opened", F.timestamp_micros("_opened"))
         .drop("_at", "_reset", "_opened", "block")
     )
 
 
+def emergency_book(trades: DataFrame, capital: float, size: int = BLOCK) -> DataFrame:
+    """The position book where a drawdown above the hard limit closes all positions of the account.
+
+    The drawdown follows from the pnl alone, so it is scanned first. ``emergencies`` counts the closes of the account before the trade: trades
+    of a symbol that differ in it are parted by a close, so each such stretch has a book of its own. A trade with ``reset`` is itself
+    followed by a close. Columns of the trades, ``pos`` (place in the account), ``drawdown``, ``daily_pnl``, ``emergencies``,
+    ``reset``, and those of the book.
+    """
+    state = trade_state(trades, capital, size).withColumn("reset", F.col("drawdown") > HARD_LIMIT)
+    state = block(materialize(state, "trade-states"), size=size).drop("own").withColumn("_hit", F.col("reset").cast("long"))
+    state = running(state, ["account"], "sum", "_hit", "emergencies", prior=True).drop("_hit", "block")
+    state = state.withColumnRenamed("pos", "_place")
+    book = position_book(state, size, ("account", "symbol", "emergencies"))
+    return book.drop("pos").withColumnRenamed("_place", "pos")
+
+
 def open_positions(book: DataFrame) -> DataFrame:
-    """The positions open after the last trade of each symbol."""
-    last = book.groupBy("account", "symbol").agg(
-        F.max_by(F.struct("is_open", "position_pnl", "opened"), "pos").alias("_s")
-    )
-    return last.select("account", "symbol", "_s.*").where("is_open").drop("is_open")
+    """The positions open after the last trade of each symbol; of an emergency book those that no later close has met."""
+    names = ["is_open", "position_pnl", "opened"]
+    if "emergencies" not in book.columns:
+        last = book.groupBy("account", "symbol").agg(F.max_by(F.struct(*names), "pos").alias("_s"))
+        return last.select("account", "symbol", "_s.*").where("is_open").drop("is_open")
+    closes = book.groupBy("account").agg(F.max(F.col("emergencies") + F.col("reset").cast("long")).alias("_all"))
+    last = book.groupBy("account", "symbol").agg(F.max_by(F.struct(*names, "emergencies"), "pos").alias("_s"))
+    held = last.select("account", "symbol", "_s.*").where("is_open").join(closes, "account").where(F.col("emergencies") == F.col("_all"))
+    return held.select("account", "symbol", "position_pnl", "opened")
 
 
 def rolling_var(trades: DataFrame, capital: float, confidence: float = 0.95) -> DataFrame:
@@ -223,59 +245,112 @@ def value_at_risk(trades: DataFrame, capital: float, confidence: float = 0.95) -
     recent = last_trades(trades, VAR_TRADES).groupBy("account").agg(
         F.collect_list(F.col("pnl") / capital).alias("_r")
     )
+    return _tail_risk(recent, confidence).drop("_r")
+
+
+def _tail_risk(recent: DataFrame, confidence: float) -> DataFrame:
+    """``var_95`` and ``expected_shortfall`` of the returns in ``_r``."""
     enough = F.size("_r") >= VAR_MIN
     quantile = interpolated_quantile(F.col("_r"), 1 - confidence)
     tail = F.filter("_r", lambda x: x <= F.col("var_95"))
     mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
-    return (
-        recent.withColumn("var_95", F.when(enough, quantile).otherwise(0.0))
-        .withColumn("expected_shortfall", F.when(enough, mean).otherwise(0.0))
-        .drop("_r")
+    return recent.withColumn("var_95", F.when(enough, quantile).otherwise(0.0)).withColumn(
+        "expected_shortfall", F.when(enough, mean).otherwise(0.0)
     )
 
 
-def risk_report(trades: DataFrame, capital: float, retained: int | None = None) -> DataFrame:
+def risk_report(trades: DataFrame, capital: float, retained: int | None = None, emergencies: bool = False) -> DataFrame:
     """One row per account: drawdown, pnl of the last day, open positions, VaR and trade counts, of all
-    trades or of the newest ``retained`` ones."""
-    state = trade_state(trades, capital).groupBy("account").agg(
-        F.max_by(F.struct("drawdown", "daily_pnl"), "pos").alias("_s")
-    )
-    counted = trades if retained is None else last_trades(trades, retained)
-    counts = counted.groupBy("account").agg(
-        F.count(F.lit(1)).alias("total_trades"),
-        F.count_if(F.col("pnl") > 0).alias("winning_trades"),
-        F.count_if(F.col("pnl") < 0).alias("losing_trades"),
-    )
-    positions = (
-        open_positions(position_book(trades)).groupBy("account").agg(F.count(F.lit(1)).alias("active_positions"))
+    trades or of the newest ``retained`` ones. With ``emergencies`` positions close at the hard limit.
+
+    The trades are numbered once; counts and value at risk are taken from the written states by their places. Positions of trades
+    without a symbol do not exist, but such trades count.
+    """
+    state = materialize(trade_state(trades, capital).select("account", "symbol", "ts", "id", "pnl", "pos", "drawdown", "daily_pnl"), "trade-states")
+    ends = state.groupBy("account").agg(F.max_by(F.struct("drawdown", "daily_pnl"), "pos").alias("_s"), (F.max("pos") + 1).alias("_n"))
+    back = F.col("_n") - F.col("pos")
+    counted = F.lit(True) if retained is None else back <= retained
+    recent = F.when(back <= VAR_TRADES, F.col("pnl") / capital)
+    sums = state.join(ends, "account").groupBy("account").agg(
+        F.first("_s").alias("_s"),
+        F.count_if(counted).alias("total_trades"),
+        F.count_if(counted & (F.col("pnl") > 0)).alias("winning_trades"),
+        F.count_if(counted & (F.col("pnl") < 0)).alias("losing_trades"),
+        F.collect_list(recent).alias("_r"),  # nulls are left out: at most the last trades
     )
+    book = emergency_book(trades, capital) if emergencies else position_book(state.select("account", "symbol", "ts", "id", "pnl"))
+    positions = open_positions(book).groupBy("account").agg(F.count(F.lit(1)).alias("active_positions"))
     return (
-        state.select("account", F.col("_s.drawdown").alias("current_drawdown"), "_s.daily_pnl")
-        .join(counts, "account")
-        .join(value_at_risk(trades, capital), "account")
+        _tail_risk(sums, 0.95)
+        .select(
+            "account", F.col("_s.drawdown").alias("current_drawdown"), "_s.daily_pnl", "total_trades", "winning_trades", "losing_trades",
+            "var_95", "expected_shortfall",
+        )
         .join(positions, "account", "left")
         .withColumn("active_positions", F.coalesce("active_positions", F.lit(0)))
     )
 
 
-def performance_metrics(trades: DataFrame, capital: float) -> DataFrame:
+def _fold(states: Column, merge) -> Column:
+    """Merge of an array of structs, first to last."""
+    return F.aggregate(F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(0))), F.element_at(states, 1), merge)
+
+
+def _fall(start: Column, values: Column) -> Column:
+    """``sum``, ``high`` and ``low`` (of the running sum, 0 included) and ``fall`` (the largest, from any earlier high) of a list."""
+
+    def step(s: Column, x: Column) -> Column:
+        total = s["sum"] + x
+        high = F.greatest(s["high"], total)
+        return F.struct(
+            total.alias("sum"), high.alias("high"), F.least(s["low"], total).alias("low"), F.greatest(s["fall"], high - total).alias("fall")
+        )
+
+    return F.aggregate(values, start, step)
+
+
+def _falls_merged(a: Column, b: Column) -> Column:
+    """The same of two lists in a row. Highs, lows and falls of the second are taken from the sum of the first on."""
+    return F.struct(
+        b["block"].alias("block"),
+        (a["n"] + b["n"]).alias("n"),
+        ((a["n"] * a["mean"] + b["n"] * b["mean"]) / (a["n"] + b["n"])).alias("mean"),
+        (a["m2"] + b["m2"] + (b["mean"] - a["mean"]) ** 2 * a["n"] * b["n"] / (a["n"] + b["n"])).alias("m2"),
+        (a["sum"] + b["sum"]).alias("sum"),
+        F.greatest(a["high"], a["sum"] + b["high"]).alias("high"),
+        F.least(a["low"], a["sum"] + b["low"]).alias("low"),
+        F.greatest(a["fall"], b["fall"], a["high"] - a["sum"] - b["low"]).alias("fall"),
+    )
+
+
+def performance_metrics(trades: DataFrame, capital: float, size: int = BLOCK) -> DataFrame:
     """Per account, symbol and day: return, volatility, Sharpe ratio, largest drawdown of the
-    cumulative pnl."""
+    cumulative pnl.
+
+    One pass: a block of up to ``size`` trades is one state (count, mean and squares, sum, highest and lowest running sum, largest fall);
+    the states of the blocks of a group are merged in order.
+    """
     keys = ["account", "symbol", "day"]
-    rows = block(numbered_trades(trades.withColumn("day", F.to_date("ts")), keys)).drop("own")
-    rows = running(rows, keys, "sum", "pnl", "_cum")
-    rows = running(rows, keys, "max", "_cum", "_peak")
+    rows = trades.select("account", "symbol", F.to_date("ts").alias("day"), "ts", "id", "pnl")
+    most = longest(rows, keys)
+    rows = number(rows, keys, ["ts", "id"], rows=size).withColumn("block", F.expr(f"pos div {size}")) if most > size else rows.withColumn("block", F.lit(0).cast("long"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "pnl"))), lambda t: t["pnl"])
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("sum"), zero.alias("high"), zero.alias("low"), zero.alias("fall"))
     share = F.col("pnl") / capital
-    return (
-        rows.groupBy(*keys)
-        .agg(
-            (F.sum("pnl") / capital).alias("returns"),
-            F.stddev_samp(share).alias("volatility"),
-            F.avg(share).alias("_mean"),
-            (F.max(F.greatest(F.col("_peak"), F.lit(0.0)) - F.col("_cum")) / capital).alias("max_drawdown"),
-        )
-        .withColumn("sharpe_ratio", F.when(F.col("volatility") > 0, F.col("_mean") / F.col("volatility")))
-        .drop("_mean")
+    blocks = rows.groupBy(*keys, "block").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(share).alias("mean"), (F.var_pop(share) * F.count(F.lit(1))).alias("m2"),
+        _fall(start, listed).alias("_f"),
+    )
+    state = F.struct("block", "n", "mean", "m2", "_f.sum", "_f.high", "_f.low", "_f.fall")
+    whole = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(state)).alias("_s")).withColumn("_t", _fold(F.col("_s"), _falls_merged))
+    volatility = F.when(F.col("_t.n") > 1, F.sqrt(F.col("_t.m2") / (F.col("_t.n") - 1)))
+    return whole.select(
+        *keys,
+        (F.col("_t.sum") / capital).alias("returns"),
+        volatility.alias("volatility"),
+        (F.col("_t.fall") / capital).alias("max_drawdown"),
+        F.when(volatility > 0, F.col("_t.mean") / volatility).alias("sharpe_ratio"),
     )
 
 

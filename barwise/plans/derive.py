@@ -93,6 +93,16 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def account_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """Trades of several accounts, one with a third of them; one in eleven loses."""
+    kind = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), F.col("event_id") % 8))
+    size = F.abs(F.col("value") - 50)
+    pnl = F.when(F.col("event_id") % 17 == 0, 0.0).when(F.col("event_id") % 11 == 0, -size).otherwise(size)
+    return table(spark, folder, "events").select(
+        kind.alias("account"), F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("id"), pnl.alias("pnl")
+    )
+
+
 # How the test events stand for the event types of the store.
 EVENT_TYPES = {"click": "signal_generated", "purchase": "order_placed", "view": "data_ingested_with_regime"}
 

@@ -6,7 +6,7 @@ import re
 
 from barwise import catalog
 from barwise.plans import model_sql
-from barwise.plans.queries import AS_OF, CAPITAL, CLUSTER_STEPS, MIXTURE_STEPS, STAY
+from barwise.plans.queries import ACCOUNT_CAPITAL, AS_OF, CAPITAL, CLUSTER_STEPS, MIXTURE_STEPS, STAY
 
 
 def values(rows) -> str:
@@ -291,6 +291,32 @@ CTES: dict[str, str] = {
         CASE WHEN is_open THEN min(ts) OVER (PARTITION BY symbol, epoch ORDER BY n) END AS opened FROM pe""",
     "open_u": """SELECT account, symbol, position_pnl, opened FROM book
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC) = 1 AND is_open""",
+    # Several accounts, with emergency closes.
+    "at_n": """SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts, id) AS n FROM (SELECT
+        CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'a' || (event_id % 8) END AS account, event_type AS symbol, ts, event_id AS id,
+        CASE WHEN event_id % 17 = 0 THEN 0.0 WHEN event_id % 11 = 0 THEN -abs(value - 50) ELSE abs(value - 50) END AS pnl FROM events)""",
+    "adr": f"""SELECT account, n, least(1.0, CASE WHEN pnl < 0 THEN -pnl / {ACCOUNT_CAPITAL} ELSE 0 END)::DOUBLE AS dd FROM at_n WHERE n = 1
+      UNION ALL SELECT t.account, t.n, CASE WHEN t.pnl < 0 THEN least(1.0, r.dd - t.pnl / {ACCOUNT_CAPITAL})
+        ELSE greatest(0.0, r.dd - t.pnl / {ACCOUNT_CAPITAL} * 0.1) END FROM adr r JOIN at_n t ON t.account = r.account AND t.n = r.n + 1""",
+    "ahit": """SELECT t.*, dd, dd > 0.145 AS hit, coalesce(sum((dd > 0.145)::INT) OVER (PARTITION BY t.account ORDER BY t.n
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS emergencies,
+        sum(pnl) OVER (PARTITION BY t.account, ts::DATE ORDER BY t.n) AS day_pnl FROM at_n t JOIN adr USING (account, n)""",
+    "aseg": """SELECT *, count(*) FILTER (pnl = 0) OVER w AS zeros, max(CASE WHEN pnl <> 0 THEN n END) OVER w AS last_n FROM ahit
+        WINDOW w AS (PARTITION BY account, symbol, emergencies ORDER BY n)""",
+    "aturn": """SELECT *, zeros - coalesce(max(CASE WHEN pnl <> 0 THEN zeros END) OVER (PARTITION BY account, symbol, emergencies ORDER BY n), 0) AS k
+        FROM aseg""",
+    "aopen": """SELECT *, NOT hit AND CASE WHEN pnl <> 0 THEN TRUE WHEN last_n IS NULL THEN k % 2 = 1 ELSE k % 2 = 0 END AS is_open FROM aturn""",
+    "astart": """SELECT *, sum((is_open AND NOT was_open)::INT) OVER (PARTITION BY account, symbol, emergencies ORDER BY n) AS epoch FROM
+        (SELECT *, coalesce(lag(is_open) OVER (PARTITION BY account, symbol, emergencies ORDER BY n), FALSE) AS was_open FROM aopen)""",
+    "abook": """SELECT *, CASE WHEN is_open THEN sum(CASE WHEN is_open THEN pnl ELSE 0 END) OVER v END AS position_pnl,
+        CASE WHEN is_open THEN min(ts) OVER v END AS opened FROM astart WINDOW v AS (PARTITION BY account, symbol, emergencies, epoch ORDER BY n)""",
+    "ahold": """SELECT account, count(*) AS active FROM (SELECT b.*, max(emergencies + hit::INT) OVER (PARTITION BY account) AS closes FROM abook b
+        QUALIFY row_number() OVER (PARTITION BY account, symbol ORDER BY n DESC) = 1) WHERE is_open AND closes = emergencies GROUP BY 1""",
+    "arow": "SELECT *, count(*) OVER (PARTITION BY account) - n AS back FROM ahit",
+    "avar": f"""SELECT account, CASE WHEN count(*) >= 30 THEN quantile_cont(pnl / {ACCOUNT_CAPITAL}, 0.05) ELSE 0 END AS var_95 FROM arow
+        WHERE back < 100 GROUP BY 1""",
+    "ashort": f"""SELECT account, avg(pnl / {ACCOUNT_CAPITAL}) AS expected_shortfall FROM arow JOIN avar USING (account)
+        WHERE back < 100 AND pnl / {ACCOUNT_CAPITAL} <= var_95 GROUP BY 1""",
     "last100": "SELECT * FROM t_n ORDER BY n DESC LIMIT 100",
     "var_a": f"""SELECT CASE WHEN count(*) >= 30 THEN quantile_cont(pnl / {CAPITAL}, 0.05) ELSE 0 END AS var_95 FROM last100""",
     "es_a": f"""SELECT avg(pnl / {CAPITAL}) AS expected_shortfall FROM last100, var_a WHERE pnl / {CAPITAL} <= var_95""",
@@ -662,6 +688,13 @@ _BODIES: dict[str, str] = {
         (SELECT candidate AS symbol, CASE WHEN max(correlation) > 0.7 THEN 0.5 ELSE 1.0 END AS f FROM pairs_u GROUP BY 1) USING (symbol)""",
     "trade_state": """SELECT account, id, round(dd, 8) AS drawdown, round(daily_pnl, 8) AS daily_pnl FROM daily JOIN dd USING (n)""",
     "position_book": "SELECT account, symbol, id, is_open, round(position_pnl, 6) AS position_pnl, opened FROM book",
+    "emergency_book": """SELECT account, symbol, id, round(dd, 9) AS drawdown, round(day_pnl, 9) AS daily_pnl, emergencies, hit AS reset, is_open,
+        round(position_pnl, 9) AS position_pnl, opened FROM abook""",
+    "account_reports": """SELECT account, round(arg_max(dd, n), 9) AS current_drawdown, round(arg_max(day_pnl, n), 9) AS daily_pnl,
+        count(*) FILTER (back < 1000) AS total_trades, count(*) FILTER (back < 1000 AND pnl > 0) AS winning_trades,
+        count(*) FILTER (back < 1000 AND pnl < 0) AS losing_trades, round(any_value(var_95), 9) AS var_95,
+        round(any_value(expected_shortfall), 9) AS expected_shortfall, coalesce(any_value(active), 0) AS active_positions
+        FROM arow JOIN avar USING (account) JOIN ashort USING (account) LEFT JOIN ahold USING (account) GROUP BY account""",
     "open_positions": "SELECT account, symbol, round(position_pnl, 8) AS position_pnl, opened FROM open_u",
     "rolling_var": f"""SELECT account, id, round(CASE WHEN n >= 30 THEN quantile_cont(pnl / {CAPITAL}, 0.05) OVER
         (ORDER BY n ROWS 99 PRECEDING) ELSE 0 END, 9) AS var FROM t_n""",
@@ -780,7 +813,8 @@ _BODIES: dict[str, str] = {
         time AS timestamp, nnfx_signal, round(CASE WHEN enhanced > 0 THEN enhanced END, 4) AS confidence_enhanced,
         round(CASE WHEN enhanced > 0 THEN adx END, 4) AS adx FROM nnfx_f
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1""",
-    "stream_risk_state": """SELECT account, daily.id, round(dd, 8) AS drawdown, round(daily_pnl, 8) AS daily_pnl,
+    "stream_risk_state": f"""SELECT account, daily.id, round(CASE WHEN daily.n >= 30 THEN quantile_cont(pnl / {CAPITAL}, 0.05) OVER
+        (ORDER BY daily.n ROWS 99 PRECEDING) ELSE 0 END, 8) AS var, round(dd, 8) AS drawdown, round(daily_pnl, 8) AS daily_pnl,
         (sum(is_open::INT - was_open::INT) OVER (ORDER BY daily.n))::BIGINT AS active_positions FROM daily JOIN dd USING (n)
         JOIN (SELECT id, is_open, was_open FROM pe) p ON p.id = daily.id""",
     "stream_indicators": f"SELECT symbol, time, {rnd(4, 'rsi', 'adx', 'kama', 'macd_signal', 'stoch_d')}, period, {rnd(4, 'hma')} FROM ind_h",

@@ -22,7 +22,7 @@ from barwise.operators import (
     signals,
 )
 from barwise.operators.asof import asof_join
-from barwise.operators.series import BLOCK, block, in_block, number, own_rows
+from barwise.operators.series import BLOCK, PART_ROWS, block, in_block, number, own_rows
 from barwise.functions import sql as sql_functions
 from barwise.plans import derive as d
 from barwise.session import materialize, new_path
@@ -470,12 +470,12 @@ def walk_forward_summary(spark, folder):
 # --- joins -----------------------------------------------------------------------------------
 
 
-def _asof_features(spark, folder, tolerance):
+def _asof_features(spark, folder, tolerance, rows=PART_ROWS):
     """Each tick with the newest hourly features; features count from the end of their hour, when they are known."""
     table = regimes.basic_features(d.bars_hourly(spark, folder)).withColumn("regime", regimes.basic_regime())
     known = table.select("symbol", (F.col("time") + F.expr("interval 1 hour")).alias("time"), "regime", "volatility")
     ticks = d.ticks(spark, folder).select("symbol", "time", "bid", "ask")
-    return asof_join(ticks, known, ["symbol"], "time", "time", tolerance, ["regime", "volatility"], width=3600)
+    return asof_join(ticks, known, ["symbol"], "time", "time", tolerance, ["regime", "volatility"], rows)
 
 
 @query
@@ -493,7 +493,7 @@ def asof_features_day(spark, folder):
 @query
 def asof_features_week(spark, folder):
     """Not older than a week."""
-    return _asof_features(spark, folder, 604_800)
+    return _asof_features(spark, folder, 604_800, SHORT_SCAN)
 
 
 @query
@@ -671,6 +671,24 @@ def open_positions(spark, folder):
     return risk.open_positions(risk.position_book(d.trades(spark, folder)))
 
 
+# Capital of the accounts and rows of a block: the drawdown passes the hard limit now and then, and series go over several blocks.
+ACCOUNT_CAPITAL, SHORT_SCAN = 2000.0, 500
+
+
+@rounded(9)
+def emergency_book(spark, folder):
+    """Positions of several accounts, closed whenever the drawdown passes the hard limit."""
+    return risk.emergency_book(d.account_trades(spark, folder), ACCOUNT_CAPITAL, SHORT_SCAN).select(
+        "account", "symbol", "id", "drawdown", "daily_pnl", "emergencies", "reset", "is_open", "position_pnl", "opened"
+    )
+
+
+@rounded(9)
+def account_reports(spark, folder):
+    """Risk reports of several accounts, with the positions that emergencies have left."""
+    return risk.risk_report(d.account_trades(spark, folder), ACCOUNT_CAPITAL, retained=risk.RETAINED, emergencies=True)
+
+
 @rounded(9)
 def rolling_var(spark, folder):
     return risk.rolling_var(d.trades(spark, folder), CAPITAL).select("account", "id", "var")
@@ -1146,7 +1164,7 @@ def stream_risk_state(spark, folder):
         trades.where(part == n).write.mode("append").parquet(path)
         stream = tables.tick_stream(spark, path, trades.schema)
         bar_streams.start(stream, f"{out}/checkpoint", state_streams.rolling_risk(f"{out}/out", CAPITAL)).awaitTermination()
-    return spark.read.parquet(f"{out}/out/risk").select("account", "id", "drawdown", "daily_pnl", "active_positions")
+    return spark.read.parquet(f"{out}/out/risk").select("account", "id", "drawdown", "daily_pnl", "active_positions", "var")
 
 
 @rounded(4)

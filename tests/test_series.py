@@ -250,6 +250,53 @@ def test_trade_state_equals_the_rule(spark, size):
         assert abs(got[i].drawdown - dd) < 1e-12 and abs(got[i].daily_pnl - daily) < 1e-8
 
 
+@pytest.mark.parametrize("size", [6, 65_536])
+def test_emergencies_close_all_positions(spark, size):
+    rows = [(a, s, t, i, p * 0.1 if p < 0 else p) for a, s, t, i, p in random_trades(500, 23)]
+    capital, limit = 900.0, 0.145
+    got = {r.id: r for r in risk.emergency_book(trade_frame(spark, rows), capital, size).collect()}
+    books, falls, closes = {}, {}, {}
+    for account, symbol, ts, i, pnl in rows:
+        dd = falls.get(account, 0.0)
+        dd = falls[account] = min(1.0, dd - pnl / capital) if pnl < 0 else max(0.0, dd - pnl / capital * 0.1)
+        book = books.setdefault(account, {})
+        if pnl == 0 and symbol in book:
+            del book[symbol]
+        elif symbol in book:
+            book[symbol][0] += pnl
+        else:
+            book[symbol] = [pnl, ts]
+        assert got[i].emergencies == closes.get(account, 0)
+        if dd > limit:
+            book.clear()
+            closes[account] = closes.get(account, 0) + 1
+        assert got[i].is_open == (symbol in book) and got[i].reset == (dd > limit)
+        if symbol in book:
+            assert abs(got[i].position_pnl - book[symbol][0]) < 1e-9 and got[i].opened == book[symbol][1]
+    assert len(closes) > 1 and 0 < sum(closes.values()) < len(rows)
+    held = {(r.account, r.symbol) for r in risk.open_positions(risk.emergency_book(trade_frame(spark, rows), capital, size)).collect()}
+    assert held == {(a, s) for a, b in books.items() for s in b}
+
+
+@pytest.mark.parametrize("size", [4, 65_536])
+def test_metrics_merge_over_blocks(spark, size):
+    rows = random_trades(300, 31)
+    got = {(r.account, r.symbol, r.day): r for r in risk.performance_metrics(trade_frame(spark, rows), 1000.0, size).collect()}
+    groups = {}
+    for account, symbol, ts, _, pnl in rows:
+        groups.setdefault((account, symbol, ts.date()), []).append(pnl / 1000)
+    assert set(got) == set(groups)
+    for key, x in groups.items():
+        cum = np.cumsum(x)
+        assert got[key].returns == pytest.approx(cum[-1])
+        assert got[key].max_drawdown == pytest.approx(max(np.maximum.accumulate(np.maximum(cum, 0)) - cum))
+        if len(x) > 1:
+            assert got[key].volatility == pytest.approx(np.std(x, ddof=1))
+            assert got[key].sharpe_ratio == pytest.approx(np.mean(x) / np.std(x, ddof=1)) if np.std(x) else got[key].sharpe_ratio is None
+        else:
+            assert got[key].volatility is None
+
+
 @pytest.mark.parametrize("size", [5, 65_536])
 def test_position_book_equals_the_rule(spark, size):
     rows = random_trades(400, 11)
@@ -304,16 +351,17 @@ def test_affine_run_with_resets_and_long_decay():
 # --- as-of -------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("width", [60, 600])
-def test_asof_equals_brute_force(spark, width):
+@pytest.mark.parametrize("rows", [20, 65_536])
+@pytest.mark.parametrize("tolerance", [60, 4000])
+def test_asof_equals_brute_force(spark, rows, tolerance):
     rnd = random.Random(9)
     right = sorted({(rnd.choice("AB"), rnd.randint(0, 5000)) for _ in range(120)})
     left = [(rnd.choice("ABC"), rnd.randint(0, 5200), i) for i in range(300)]
     at = lambda s: START + dt.timedelta(seconds=s)
     r = spark.createDataFrame([(k, at(s), s) for k, s in right], "key string, rt timestamp, v int")
     ls = spark.createDataFrame([(k, at(s), i) for k, s, i in left], "key string, lt timestamp, i int")
-    got = {x.i: x.v for x in asof_join(ls, r, ["key"], "lt", "rt", 60, ["v"], width=width).collect()}
+    got = {x.i: x.v for x in asof_join(ls, r, ["key"], "lt", "rt", tolerance, ["v"], rows=rows).collect()}
     assert len(got) == len(left)
     for k, s, i in left:
-        fits = [v for kk, v in right if kk == k and s - 60 <= v <= s]
+        fits = [v for kk, v in right if kk == k and s - tolerance <= v <= s]
         assert got[i] == (max(fits) if fits else None)
