@@ -37,10 +37,11 @@ def asof_join(
     rest = [c for c in left.columns if c not in keys]
     requests = left.select(*keys, F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*rest).alias("_left"))
     both = features.unionByName(requests, allowMissingColumns=True)
-    if longest(both, keys) <= rows:
+    most = longest(both, keys)
+    if most <= rows:
         found = both.withColumn("_found", _last(keys))
     else:
-        found = _over_parts(both, keys, rows)
+        found = _over_parts(both, keys, rows, most)
     fresh = F.unix_micros("_at") - F.unix_micros(F.col("_found._rt")) <= tolerance * 1_000_000
     return (
         found.where("_side = 1")
@@ -59,9 +60,9 @@ def _last(by: Sequence[str]):
     return F.last("_right", ignorenulls=True).over(w)
 
 
-def _over_parts(both: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+def _over_parts(both: DataFrame, keys: Sequence[str], rows: int, most: int) -> DataFrame:
     """``_found`` for series that are cut into parts."""
-    cut, levels = parts(materialize(both, "both-sides"), keys, ["_at", "_side"], rows)
+    cut, levels = parts(both, keys, ["_at", "_side"], rows, most)
     cut = materialize(cut.select(*both.columns, *levels), "asof-parts")
     by = [*keys, *levels]
     ends = cut.groupBy(*by).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_at"))).alias("_end"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.scalars import first_match, interpolated_quantile, time_bucket
+from barwise.functions.scalars import first_match, interpolated_quantile
 from barwise.operators import scan as scans
 from barwise.operators.bars import newest_per_symbol
 from barwise.operators.scan import Scan, prefix_scan
@@ -20,7 +20,6 @@ from barwise.session import materialize
 RISK_SHARE, STOP_ATR, MAX_POSITION, MIN_LOT = 0.02, 1.5, 0.1, 0.01
 MAX_DAILY_LOSS, RECOVERY, CORRELATED, HARD_LIMIT = 0.05, 0.1, 0.7, 0.145
 VAR_TRADES, VAR_MIN, RETAINED = 100, 30, 1000
-DAY = 86_400
 
 
 def drawdown_factor(drawdown: Column) -> Column:
@@ -105,26 +104,53 @@ def _together(first: Scan, second: Scan) -> Scan:
     )
 
 
+def _daily_scan() -> Scan:
+    """Running sum of ``pnl`` within runs of equal ``_day``. A block is its first and last day, the sum of its last day, and whether that is
+    its only one."""
+
+    def sums(day: np.ndarray, pnl: np.ndarray, last: int | None, tail: float) -> np.ndarray:
+        place = np.arange(len(day))
+        begins = np.concatenate([[last is None or day[0] != last], day[1:] != day[:-1]])
+        begun = np.maximum.accumulate(np.where(begins, place, -1))
+        total = np.cumsum(pnl)
+        return np.where(begun >= 0, total - (total - pnl)[begun], total + tail)
+
+    def total(rows: pa.Table, _: dict) -> dict:
+        day, pnl = rows["_day"].to_numpy(), scans.values(rows, "pnl")
+        return {"day_first": int(day[0]), "day_last": int(day[-1]), "day_sum": float(sums(day, pnl, None, 0.0)[-1]), "day_only": bool(day[0] == day[-1])}
+
+    def merge(left: dict, right: dict) -> dict:
+        if left["day_last"] is None or right["day_last"] is None:
+            return {n: (right if left["day_last"] is None else left)[n] for n in left}
+        joins = right["day_only"] and right["day_first"] == left["day_last"]
+        return {
+            "day_first": left["day_first"], "day_last": right["day_last"],
+            "day_sum": right["day_sum"] + (left["day_sum"] if joins else 0.0), "day_only": joins and left["day_only"],
+        }
+
+    def run(rows: pa.Table, before: dict) -> dict[str, np.ndarray]:
+        return {"daily_pnl": sums(rows["_day"].to_numpy(), scans.values(rows, "pnl"), before["day_last"], before["day_sum"])}
+
+    unit = {"day_first": None, "day_last": None, "day_sum": 0.0, "day_only": True}
+    return Scan("day_first bigint, day_last bigint, day_sum double, day_only boolean", unit, total, merge, run, "daily_pnl double")
+
+
 def trade_state(trades: DataFrame, capital: float, size: int = BLOCK) -> DataFrame:
     """Drawdown after each trade of an account, and its pnl of the day so far.
 
     A loss adds its share of the capital, a gain takes a tenth of its share off, within [0, 1].
     The daily sum restarts at the first trade of a day.
     """
-    w = in_block(["account"])
     share = F.abs(F.col("pnl")) / capital
-    day = F.to_date("ts")
-    rows = block(numbered_trades(trades), back=1, size=size)
+    most = longest(trades, ["account"])
+    rows = block(numbered_trades(trades, most=most), size=size).drop("own")
     rows = rows.withColumns(
-        {
-            "_shift": F.when(F.col("pnl") < 0, share).otherwise(-share * RECOVERY),
-            "a_daily_pnl": (day == F.lag(day).over(w)).cast("double"),
-            "b_daily_pnl": F.col("pnl"),
-        }
-    ).withColumn("a_daily_pnl", F.coalesce("a_daily_pnl", F.lit(0.0)))
-    both = _together(scans.clamp("_shift", "drawdown"), scans.affine(["daily_pnl"]))
-    short = longest(trades, ["account"]) <= size
-    return prefix_scan(own_rows(rows), ["account"], both, short).drop("_shift", "a_daily_pnl", "b_daily_pnl", "block")
+        {"_shift": F.when(F.col("pnl") < 0, share).otherwise(-share * RECOVERY), "_day": F.unix_date(F.to_date("ts")).cast("long")}
+    )
+    if most > size:  # totals and rows are read apart
+        rows = materialize(rows, "numbered-trades")
+    both = _together(scans.clamp("_shift", "drawdown"), _daily_scan())
+    return prefix_scan(rows, ["account"], both, most <= size).drop("_shift", "_day", "block")
 
 
 def _position_scan() -> Scan:
@@ -369,72 +395,118 @@ def close_returns(bars: DataFrame) -> DataFrame:
     )
 
 
-PAIR_SUMS = "candidate string, open_symbol string, n double, x double, y double, xx double, yy double, xy double"
+#: Symbols of a tile and times of a stretch; a task holds two tiles over one stretch, or a few sums of two tiles.
+TILE, STRETCH, MERGED = 256, 4096, 16
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+TILE_SUMS = "left int, right int, stretch bigint, candidates array<string>, opened array<string>, sums binary"
+PAIRS = "candidate string, open_symbol string, common_bars bigint, correlation double"
+HIGHEST = "candidate string, max_correlation double"
 
 
-def _pair_sums(rows: pa.Table) -> pa.Table:
-    """Sums for each (candidate, open symbol) over one stretch of time, as matrix products."""
+def _matrix(rows: pa.Table, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, and returns and presence as matrices (times, symbols)."""
     symbols, column = np.unique(rows["symbol"].to_numpy(), return_inverse=True)
-    times, line = np.unique(rows["_t"].to_numpy(), return_inverse=True)
+    line = np.searchsorted(times, rows["_t"].to_numpy())
     value, there = np.zeros((len(times), len(symbols))), np.zeros((len(times), len(symbols)))
     value[line, column], there[line, column] = rows["ret"].to_numpy(), 1.0
-    roles = {}
-    for role in ("is_candidate", "is_open"):
-        flag = np.zeros(len(symbols), dtype=bool)
-        flag[column] = rows[role].to_numpy()
-        roles[role] = np.flatnonzero(flag)
-    left, right = roles["is_candidate"], roles["is_open"]
-    v, t, x_v, x_t = value[:, right], there[:, right], value[:, left], there[:, left]
-    n, x, y = x_t.T @ t, x_v.T @ t, x_t.T @ v
-    xx, yy, xy = (x_v**2).T @ t, x_t.T @ (v**2), x_v.T @ v
-    pick = np.nonzero((n > 0) & (left[:, None] != right[None, :]))
-    named = pa.array(symbols.tolist(), type=pa.string())
-    pairs = [named.take(pa.array(left[pick[0]])), named.take(pa.array(right[pick[1]]))]
-    names = ["candidate", "open_symbol", "n", "x", "y", "xx", "yy", "xy"]
-    return pa.table(dict(zip(names, [*pairs, *(pa.array(m[pick]) for m in (n, x, y, xx, yy, xy))])))
-
-
-def correlations(returns: DataFrame, opened: DataFrame, seconds: int = 30 * DAY, tiles: int = 16) -> DataFrame:
-    """Correlation of every symbol with every open one over their common times.
-
-    A task takes one stretch of time and one tile of the candidates with all open symbols, and gives
-    one row of sums per pair, however many times there are; no pair is formed per time.
-    """
-    tile = F.pmod(F.hash("symbol"), F.lit(tiles))
-    everywhere = F.sequence(F.lit(0), F.lit(tiles - 1))
-    flagged = (
-        returns.join(opened.select("symbol").distinct().withColumn("_open", F.lit(True)), "symbol", "left")
-        .withColumn("is_open", F.coalesce("_open", F.lit(False)))
-        .withColumn("_tile", F.explode(F.when(F.col("is_open"), everywhere).otherwise(F.array(tile))))
-        .select(
-            "symbol",
-            "ret",
-            "is_open",
-            "_tile",
-            (F.col("_tile") == tile).alias("is_candidate"),
-            F.unix_micros("time").alias("_t"),
-            time_bucket("time", seconds).alias("_bucket"),
-        )
-    )
-    sums = (
-        flagged.groupBy("_bucket", "_tile")
-        .applyInArrow(_pair_sums, PAIR_SUMS)
-        .groupBy("candidate", "open_symbol")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    )
-    spread = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)
-    return sums.select(
-        "candidate",
-        "open_symbol",
-        F.col("n").cast("bigint").alias("common_bars"),
-        F.when(spread > 0, (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread)).alias("correlation"),
-    )
+    return symbols, value, there
 
 
-def correlation_factor(pairs: DataFrame, limit: float = CORRELATED) -> DataFrame:
-    """.5 for candidates with a correlation above the limit, else 1."""
-    highest = F.max("correlation")
-    return pairs.groupBy("candidate").agg(
-        highest.alias("max_correlation"),
-        F.when(highest > limit, 0.5).otherwise(1.0).alias("correlation_factor"),
-    )
+def _tile_sums(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates, open symbols, and the sums over their common times (one matrix for each of ``SUMS``)."""
+    times = np.unique(rows["_t"].to_numpy())
+    side = rows["_open"].to_numpy()
+    left, x, x_there = _matrix(rows.filter(pa.array(~side)), times)
+    right, y, y_there = _matrix(rows.filter(pa.array(side)), times)
+    sums = [x_there.T @ y_there, x.T @ y_there, x_there.T @ y, (x**2).T @ y_there, x_there.T @ (y**2), x.T @ y]
+    return left, right, np.stack(sums)
+
+
+def _merged_sums(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of a tile pair over several stretches; a symbol may be missing in some."""
+    sides = [[np.array(x) for x in rows[c].to_pylist()] for c in ("candidates", "opened")]
+    names = [np.unique(np.concatenate(side)) for side in sides]
+    out = np.zeros((len(SUMS), len(names[0]), len(names[1])))
+    for left, right, data in zip(*sides, rows["sums"].to_pylist(), strict=True):
+        part = np.frombuffer(data).reshape(len(SUMS), len(left), len(right))
+        out[:, np.searchsorted(names[0], left)[:, None], np.searchsorted(names[1], right)[None, :]] += part
+    return names[0], names[1], out
+
+
+def _packed_sums(key: tuple, left: np.ndarray, right: np.ndarray, sums: np.ndarray) -> pa.Table:
+    names = pa.list_(pa.string())
+    kinds = [pa.int32(), pa.int32(), pa.int64(), names, names, pa.binary()]
+    row = [*(k.as_py() for k in key), left.tolist(), right.tolist(), sums.tobytes()]
+    return pa.table({c.split()[0]: pa.array([x], k) for c, x, k in zip(TILE_SUMS.split(", "), row, kinds, strict=True)})
+
+
+def _correlated(left: np.ndarray, right: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs have common times, and the correlation and whether it exists, per pair."""
+    n, x, y, xx, yy, xy = sums
+    spread = (n * xx - x**2) * (n * yy - y**2)
+    known = spread > 0
+    return (n > 0) & (left[:, None] != right[None, :]), np.where(known, (n * xy - x * y) / np.sqrt(np.where(known, spread, 1.0)), -np.inf), known
+
+
+def _pair_rows(left: np.ndarray, right: np.ndarray, sums: np.ndarray) -> pa.Table:
+    met, value, known = _correlated(left, right, sums)
+    a, b = np.nonzero(met)
+    names = [pa.array(x.tolist(), type=pa.string()).take(pa.array(i)) for x, i in ((left, a), (right, b))]
+    columns = [*names, pa.array(sums[0][a, b].astype(np.int64)), pa.array(value[a, b], mask=~known[a, b])]
+    return pa.table(dict(zip(["candidate", "open_symbol", "common_bars", "correlation"], columns, strict=True)))
+
+
+def _highest_rows(left: np.ndarray, right: np.ndarray, sums: np.ndarray) -> pa.Table:
+    met, value, known = _correlated(left, right, sums)
+    some = met.any(axis=1)
+    value = np.where(met & known, value, -np.inf).max(axis=1, initial=-np.inf)[some]
+    return pa.table({"candidate": pa.array(left[some].tolist(), type=pa.string()), "max_correlation": pa.array(value, mask=np.isinf(value))})
+
+
+def _over_tiles(returns: DataFrame, opened: DataFrame, finish, schema: str, tile: int, stretch: int) -> DataFrame:
+    """Rows that ``finish`` makes of the sums of every pair of tiles.
+
+    Candidates and open symbols are cut into tiles by hash, times into stretches; a task takes two tiles over one stretch as matrices. With
+    several stretches the sums of a tile pair are added, ``MERGED`` at a time; no row per pair is made before ``finish``.
+    """
+    flags = opened.select("symbol").distinct().withColumn("_open", F.lit(True))
+    rows = returns.join(flags, "symbol", "left").select("symbol", "ret", F.unix_micros("time").alias("_t"), F.coalesce("_open", F.lit(False)).alias("_held"))
+    rows = materialize(rows, "returns")
+    n_symbols, n_open, n_times = rows.agg(
+        F.count_distinct("symbol"), F.count_distinct(F.when(F.col("_held"), F.col("symbol"))), F.count_distinct("_t")
+    ).first()
+    left, right = max(1, -(-n_symbols // tile)), max(1, -(-n_open // tile))
+    rows = rows.withColumn("stretch", F.lit(0).cast("long"))
+    if n_times > stretch:
+        times = number(rows.select("_t").distinct().withColumn("_all", F.lit(0)), ["_all"], ["_t"])
+        rows = rows.drop("stretch").join(times.select("_t", F.expr(f"pos div {stretch}").alias("stretch")), "_t")
+    home, home_open = F.pmod(F.xxhash64("symbol"), F.lit(left)).cast("int"), F.pmod(F.xxhash64("symbol"), F.lit(right)).cast("int")
+    columns = ["symbol", "ret", "_t", "stretch"]
+    each = rows.select(*columns, home.alias("left"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("right"), F.lit(False).alias("_open"))
+    held = rows.where("_held").select(*columns, F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("left"), home_open.alias("right"), F.lit(True).alias("_open"))
+    both = each.unionByName(held)
+    if n_times <= stretch:
+        return both.groupBy("left", "right").applyInArrow(lambda _, t: finish(*_tile_sums(t)), schema)
+    sums = both.groupBy("left", "right", "stretch").applyInArrow(lambda key, t: _packed_sums(key, *_tile_sums(t)), TILE_SUMS)
+    parts = -(-n_times // stretch)
+    while parts > MERGED:
+        parts = -(-parts // MERGED)
+        grouped = sums.withColumn("stretch", F.expr(f"stretch div {MERGED}")).groupBy("left", "right", "stretch")
+        sums = grouped.applyInArrow(lambda key, t: _packed_sums(key, *_merged_sums(t)), TILE_SUMS)
+    return sums.groupBy("left", "right").applyInArrow(lambda _, t: finish(*_merged_sums(t)), schema)
+
+
+def correlations(returns: DataFrame, opened: DataFrame, tile: int = TILE, stretch: int = STRETCH) -> DataFrame:
+    """Correlation of every symbol with every open one over their common times; null where one does not vary."""
+    return _over_tiles(returns, opened, _pair_rows, PAIRS, tile, stretch)
+
+
+def highest_correlations(returns: DataFrame, opened: DataFrame, tile: int = TILE, stretch: int = STRETCH) -> DataFrame:
+    """``candidate, max_correlation``: the highest correlation with an open symbol. A tile pair gives one row per candidate, no row per pair."""
+    found = _over_tiles(returns, opened, _highest_rows, HIGHEST, tile, stretch)
+    return found.groupBy("candidate").agg(F.max("max_correlation").alias("max_correlation"))
+
+
+def correlation_factor(highest: DataFrame, limit: float = CORRELATED) -> DataFrame:
+    """.5 for candidates with a correlation above the limit, else 1; from ``highest_correlations``."""
+    return highest.withColumn("correlation_factor", F.when(F.col("max_correlation") > limit, 0.5).otherwise(1.0))

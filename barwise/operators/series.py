@@ -22,7 +22,7 @@ from barwise.session import materialize
 
 BLOCK = 65_536
 #: Rows of one key that are ordered in one task.
-PART_ROWS = 65_536
+PART_ROWS = 100_000
 #: Cut points of one key at most, at one level.
 MOST_CUTS = 4095
 
@@ -33,12 +33,12 @@ def number(
     """Add the 0-based position of each row in its series, by the columns ``order``; nulls come first.
 
     Series of up to ``rows`` rows are numbered as they are. Longer ones are cut into parts (:func:`parts`), whose counts give the position of a
-    part; then ``df`` is written to the shared folder once. ``most`` is the length of the longest series, if known.
+    part. ``most`` is the length of the longest series, if known.
     """
-    if (longest(df, keys) if most is None else most) <= rows:
+    most = longest(df, keys) if most is None else most
+    if most <= rows:
         return df.withColumn(pos, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    cut, levels = parts(materialize(df, "long-series"), keys, order, rows)
-    cut = materialize(cut, "series-parts")
+    cut, levels = parts(df, keys, order, rows, most)
     by = [*keys, *levels]
     earlier = Window.partitionBy(*keys).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
@@ -50,45 +50,41 @@ def number(
     return numbered.join(starts, same).withColumn(pos, F.col("_start") + F.col("_row") - 1).select(*df.columns, pos)
 
 
-def parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = PART_ROWS) -> tuple[DataFrame, list[str]]:
+def parts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = PART_ROWS, most: int | None = None
+) -> tuple[DataFrame, list[str]]:
     """Series cut into parts of about ``rows`` rows: ``df`` with columns that number the parts in order, and their names.
 
     Cut points are quantiles of the first column of ``order`` per long key, from a sketch. A value that fills several parts (a burst at one
-    time) is cut by the next column in the same way, and rows equal in all columns by their place in the table. Give ``df`` as a written
-    table. Each level multiplies the number of parts by up to ``MOST_CUTS``.
+    time) is cut by the next column in the same way, and rows equal in all columns by their place in the table, which is written for that.
+    Each level multiplies the number of parts by up to ``MOST_CUTS``. ``most`` is the length of the longest series, if known.
     """
     levels: list[str] = []
     within = list(keys)
     out = df.withColumn("_whole", F.lit(True))
     for i in range(len(order) + 1):
-        source = out.where("_whole")
-        most = longest(source, within)
+        most = longest(out.where("_whole"), within) if most is None or i else most
         if most <= rows:
             break
         kind = df.schema[order[i]].dataType if i < len(order) else None
-        value = _as_number(F.col(order[i]), kind) if kind else F.monotonically_increasing_id()
+        level, tail, at = f"_part{i}", f"_tail{i}", f"_value{i}"
+        out = out.withColumn(at, _as_number(F.col(order[i]), kind) if kind else F.monotonically_increasing_id())
+        if not kind:
+            out = materialize(out, "series-places")
         n = min(MOST_CUTS, -(-2 * most // rows))
-        level, at = f"_part{i}", f"_value{i}"
-        out = materialize(out.withColumn(at, value), "series-values")
-        points = [j / (n + 1) for j in range(1, n + 1)]
-        sketch = F.percentile_approx(at, points, 4 * (n + 1))
+        sketch = F.percentile_approx(at, [j / (n + 1) for j in range(1, n + 1)], 4 * (n + 1))
         cuts = out.where("_whole").groupBy(*within).agg(F.count(F.lit(1)).alias("_n"), sketch.alias("_points")).where(F.col("_n") > rows)
-        cuts = materialize(cuts.drop("_n"), "cut-points")
-        out = _with_table(out, cuts, within, ["_points"])
-        out = out.withColumn("_cuts", F.array_distinct("_points"))
-        out = _searched(out, "_cuts", at, level, n)
-        # A value at two cut points or more fills a part by itself; it goes on to the next column.
-        again = F.array_contains(F.slice("_points", F.array_position("_points", F.col(at)).cast("int") + 1, F.lit(n)), F.col(at))
-        whole = F.col("_whole") & F.coalesce((F.array_position("_points", F.col(at)) > 0) & again, F.lit(False))
-        out = out.withColumn("_next", whole)
-        # Inside a part the rows of such a value come first, so they get a place of their own.
-        tail = f"_tail{i}"
-        out = out.withColumn(tail, F.when(F.col("_next"), 0).otherwise(1)).drop("_points", "_cuts", "_whole").withColumnRenamed("_next", "_whole")
-        out = materialize(out, "series-parts")
+        filled = F.filter("_points", lambda x, j: x == F.get("_points", j + 1))
+        cuts = materialize(cuts.select(*within, F.array_distinct("_points").alias("_cuts"), F.array_distinct(filled).alias("_filled")), "cut-points")
+        out = _searched(_with_table(out, cuts, within, ["_cuts", "_filled"]), "_cuts", at, level, n)
+        # A value at two cut points or more fills a part by itself. Inside the part its rows come first, and go on to the next column.
+        whole = F.col("_whole") & F.coalesce(F.array_contains("_filled", F.col(at)), F.lit(False))
+        out = out.withColumn("_whole", whole).withColumn(tail, F.when(F.col("_whole"), 0).otherwise(1)).drop("_cuts", "_filled")
         levels += [level, tail]
         within.append(at)
-        if isinstance(kind, T.StringType):  # its number does not tell all texts apart
+        if isinstance(kind, T.StringType) or cuts.where(F.size("_filled") > 0).isEmpty():  # a text's number does not tell all texts apart
             break
+        out = materialize(out, "series-parts")
     return out, levels
 
 

@@ -516,7 +516,7 @@ def correlation(spark, folder):
 @rounded(4)
 def correlation_factor(spark, folder):
     returns = risk.close_returns(d.bars_hourly(spark, folder))
-    return risk.correlation_factor(risk.correlations(returns, returns.select("symbol").distinct()), 0.0)
+    return risk.correlation_factor(risk.highest_correlations(returns, returns.select("symbol").distinct(), tile=2, stretch=100), 0.0)
 
 
 @rounded(4)
@@ -647,7 +647,7 @@ def circuit_breakers(spark, folder):
 def approve_trades(spark, folder):
     returns = risk.close_returns(d.bars_by_user(spark, folder))
     opened = risk.open_positions(risk.position_book(d.trades(spark, folder)))
-    factor = risk.correlation_factor(risk.correlations(returns, opened)).withColumnRenamed("candidate", "symbol")
+    factor = risk.correlation_factor(risk.highest_correlations(returns, opened)).withColumnRenamed("candidate", "symbol")
     requests = _requests(spark, folder).join(factor.select("symbol", "correlation_factor"), "symbol", "left")
     return risk.approve_trades(requests, CAPITAL).select(
         "symbol", "time", "final_size", "correlation_factor", "approved_size", "circuit_breaker_applied"

@@ -150,7 +150,8 @@ def test_value_at_risk(spark):
     assert (report.total_trades, report.winning_trades, report.losing_trades, report.active_positions) == (50, 25, 25, 50)
 
 
-def test_correlation_against_pandas(spark):
+@pytest.mark.parametrize("sizes", [{}, {"tile": 1}, {"tile": 2, "stretch": 20}, {"tile": 1, "stretch": 7}])
+def test_correlation_against_pandas(spark, sizes):
     import numpy as np
 
     rng = np.random.default_rng(4)
@@ -159,11 +160,11 @@ def test_correlation_against_pandas(spark):
     rows = [(s, i, float(v)) for s, x in data.items() for i, v in enumerate(x) if not (s == "B" and i % 3 == 0)]
     df = spark.createDataFrame(rows, "symbol string, i bigint, ret double").withColumn("time", F.timestamp_seconds(F.col("i") * 86_400))
     opened = spark.createDataFrame([("A",)], "symbol string")
-    got = {r.candidate: r for r in risk.correlations(df, opened).collect()}
+    got = {r.candidate: r for r in risk.correlations(df, opened, **sizes).collect()}
     keep = np.arange(300) % 3 != 0
     assert set(got) == {"B", "C"} and got["B"].common_bars == keep.sum()
     assert got["B"].correlation == pytest.approx(np.corrcoef(data["A"][keep], data["B"][keep])[0, 1])
-    factor = {r.candidate: r.correlation_factor for r in risk.correlation_factor(risk.correlations(df, opened)).collect()}
+    factor = {r.candidate: r.correlation_factor for r in risk.correlation_factor(risk.highest_correlations(df, opened, **sizes)).collect()}
     assert factor == {"B": 0.5, "C": 1.0}
 
 

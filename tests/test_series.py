@@ -72,9 +72,7 @@ def test_positions_follow_the_order_within_bursts(bursts, order):
 
 
 def test_bursts_are_cut_into_parts(bursts, spark):
-    from barwise.session import materialize
-
-    cut, levels = parts(materialize(bursts, "bursts"), ["symbol"], ["time", "id"], 100)
+    cut, levels = parts(bursts, ["symbol"], ["time", "id"], 100)
     most = cut.groupBy("symbol", *levels).count().agg(F.max("count")).first()[0]
     assert most <= 200
 
