@@ -36,6 +36,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """The names, each lengthened until ``df`` has no such column (case does not tell names apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out if len(out) > 1 else out[0]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null stays null. ASCII texts take the faster built-in."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.common import lower_ascii
+from barwise.llm.common import lower_ascii, unused
 from barwise.session import materialize
 
 
@@ -82,11 +82,12 @@ def dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id", text:
     further columns differ.
     """
     decided = groups(docs, keep, doc_id, text)
-    by_row = decided.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    by_row = by_row.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("not _kept or _n > 1")
+    own, sha, stays, n, row = unused(docs, "own_id", "own_sha", "stays", "copies", "whole_row")
+    by_row = decided.groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha))
+    by_row = by_row.agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias(n)).where(~F.col(stays) | (F.col(n) > 1))
     by_row = materialize(by_row, "dropped-rows")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.encode(normalised(text), "UTF-8"), 256) == F.col("_sha"))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(own)) & (F.sha2(F.encode(normalised(text), "UTF-8"), 256) == F.col(sha))
     single = docs.join(by_row, same, "left_anti")
-    several = docs.join(by_row.where("_kept"), same)
-    one = several.groupBy("_id", "_sha").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return single.unionByName(one.select("_row.*"))
+    several = docs.join(by_row.where(F.col(stays)), same)
+    one = several.groupBy(own, sha).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    return single.unionByName(one.select(f"{row}.*"))

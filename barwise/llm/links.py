@@ -4,7 +4,8 @@ Nodes are distinct sets (copies are merged before), a bucket holds the nodes tha
 pair shares some bucket. What matters is which nodes end up connected. So each round compares the members of a
 bucket with one pivot only and leaves buckets alone whose members are already connected; a group of thousands
 of near copies is connected by about one comparison per member. What the rounds leave open is compared in full:
-pairs of one bucket in different components, so no link between components is lost.
+pairs of one bucket in different components, so no link between components is lost. Every row of a bucket carries the size and a
+parity map of its set, which reject nearly all pairs that are no link exactly, before a pair is made or a set is moved.
 
 How many similar partners a node has is counted afterwards (``degrees``). All of them lie in its component, so the
 members of a component are compared all with all, in chunks; only counts per node and chunk leave a task.
@@ -16,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.session import materialize
+from barwise.session import discard, materialize
 
 #: Rounds against one pivot before the open pairs are compared in full.
 ROUNDS = 4
@@ -54,7 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
-        current = materialize(small, "star-edges")
+        old, current = current, materialize(small, "star-edges")
+        discard(old)
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -63,6 +65,30 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+#: Longs of a parity map.
+PARITY = 4
+
+
+def parities(tokens: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Parity maps of sets of hashes, given end to end with their sizes: a bit, chosen by the hash, is turned once per element.
+
+    Two maps differ in at most as many bits as the sets differ in elements, so they bound what the sets share.
+    """
+    wide = 64 * PARITY
+    place = np.repeat(np.arange(len(counts)), counts) * wide + (tokens.astype(np.uint64) >> np.uint64(8) & np.uint64(wide - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=len(counts) * wide).reshape(-1, wide) & 1
+    maps = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * PARITY, pa.array(maps.reshape(-1)))
+
+
+def may_link(percent: int) -> Column:
+    """Whether sets of sizes ``n``, ``n2`` with ``parity``, ``parity2`` can reach the threshold: they share at most half of what remains of
+    both sizes without the differing bits."""
+    bits = sum(F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity2", F.lit(i)))) for i in range(PARITY))
+    total = F.col("n") + F.col("n2")
+    return (100 + percent) * (total - bits) >= 2 * percent * total
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= percent * union. ``sets``: node, tokens."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -74,13 +100,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``buckets`` (key, node, n: size of the set, few: smaller is a better pivot) to (edges, components).
+    """``buckets`` (key, node, n: size of the set, few: smaller is a better pivot) to (edges, components). ``sets``: node, tokens, parity.
 
     Give the buckets as a written table without those of one node; every round reads it.
 
     The edges connect exactly what all similar pairs of the buckets connect; they are not all such pairs.
     """
-    keys = buckets
+    maps = sets.select("node", "parity").dropDuplicates(["node"])
+    keys = materialize(buckets.join(maps, "node"), "bucket-maps")
     spark = buckets.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")
@@ -92,26 +119,30 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS
         open_ = now.groupBy("key").agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.min_by(F.struct("node", "n", "component"), order).alias("p"),
+            F.min_by(F.struct("node", "n", "component", "parity"), order).alias("p"),
         ).where(F.col("low") < F.col("high"))
         if turn < rounds:
             met = now.join(open_.select("key", "p"), "key").select(
-                "node", "n", "component", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2")
+                "node", "n", "component", "parity", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2"),
+                F.col("p.parity").alias("parity2"),
             )
         else:
             rest = now.join(open_.select("key"), "key", "left_semi")
-            other = rest.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+            other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "parity")])
             met = rest.join(other, "key").where(F.col("node") < F.col("node2"))
+        # What cannot be a link by size or parity map is no pair at all, so few pairs are made however many meet.
         met = met.where(F.col("component") != F.col("component2"))
-        met = met.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        met = met.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).where(may_link(percent))
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
         found = materialize(verified(pairs, sets, percent), "linked-pairs")
         some = not found.isEmpty()
         if some:
             edges = edges.unionByName(found)
-            parts = materialize(components(edges), "components")
+            before, parts = parts, materialize(components(edges), "components")
+            discard(before)
         if turn == rounds:
+            discard(keys)
             return edges, parts
         tried = tried.unionByName(pairs)
         turn = turn + 1 if some else rounds

@@ -64,8 +64,8 @@ def _dealt(docs: DataFrame, size: Column, doc_id: str, source: str, seed: int, p
     """Rows with ``__mix_source, __mix_size, __mix_block, __mix_order``; blocks need the number of rows of the source."""
     out = docs.withColumns({"__mix_source": F.col(source).cast("string"), "__mix_size": size})
     joined = out.join(
-        per_source.select(F.col("source").alias("_s"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("__mix_blocks")),
-        F.col("__mix_source").eqNullSafe(F.col("_s")),
+        per_source.select(F.col("source").alias("__mix_name"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("__mix_blocks")),
+        F.col("__mix_source").eqNullSafe(F.col("__mix_name")),
     )
     unit = F.xxhash64(F.lit(seed), F.col(doc_id).cast("long"), F.col("__mix_size"))
     return joined.withColumns(
@@ -96,7 +96,7 @@ def _quotas(rows: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
         "__mix_source", "__mix_block", F.col("whole").alias("copy"), F.lit(None).cast("long").alias("upto")
     )
     crossed = joined.where("need > 0 and need < words").select("__mix_source", "__mix_block", "whole", "need")
-    inside = rows.join(crossed.withColumnsRenamed({"__mix_source": "_s", "__mix_block": "_b"}), F.col("__mix_source").eqNullSafe(F.col("_s")) & (F.col("__mix_block") == F.col("_b")))
+    inside = rows.join(crossed.withColumnsRenamed({"__mix_source": "_s", "__mix_block": "_b"}), F.col("__mix_source").eqNullSafe(F.col("__mix_of")) & (F.col("__mix_block") == F.col("__mix_at")))
     run = Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_order").rangeBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("run", F.sum("__mix_size").over(run)).withColumn("tied", F.sum("__mix_size").over(Window.partitionBy("__mix_source", "__mix_block", "__mix_order")))
     part = inside.where(F.col("run") - F.col("tied") / 2 <= F.col("need")).groupBy("__mix_source", "__mix_block").agg(
@@ -217,7 +217,7 @@ def mix(
         "shard",
         F.filter("cuts", lambda c: (c["first"] <= F.col("unit")) & (F.col("unit") < c["first"] + c["units"]))[0]["shard"],
     )
-    per_block = placed.groupBy(F.col("__mix_source").alias("_s"), F.col("__mix_block").alias("_b")).agg(
+    per_block = placed.groupBy(F.col("__mix_source").alias("__mix_of"), F.col("__mix_block").alias("__mix_at")).agg(
         F.collect_list(F.struct("copy", "upto", "shard")).alias("__mix_draws")  # at most one per copy
     )
     per_block = materialize(per_block, "mix-draws")

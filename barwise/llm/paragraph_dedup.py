@@ -19,17 +19,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.llm import links
-from barwise.llm.common import lower_words_of, map_arrow
+from barwise.llm.common import lower_words_of, map_arrow, unused
 from barwise.llm.set_join import _mixed, ngram_hashes, word_hashes
 from barwise.session import materialize
 
 LEAST, WORDS, PERCENT, RECALL = 26, 5, 80, 0.995
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 PARTS = "doc_id long, row long, start int, n int, h1 long, h2 long, bands array<long>"
-SETS = "h1 long, h2 long, tokens array<long>"
+SETS = "h1 long, h2 long, tokens array<long>, parity array<long>"
 
 
-def tune(percent: int = PERCENT, recall: float = RECALL, most: int = 32) -> tuple[int, int]:
+def tune(percent: int = PERCENT, recall: float = RECALL, most: int = 72) -> tuple[int, int]:
     """Bands and rows per band: the most selective ones (most rows) that find the wanted part of pairs at the threshold
     with at most ``most`` hash functions."""
     t = percent / 100
@@ -164,7 +164,8 @@ def _line_sets(docs: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])
             stops = np.cumsum(np.bincount(owner[new], minlength=len(counts)))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], stops]).astype(np.int32), pa.array(grams[new].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, lines.identity()), lists], ["h1", "h2", "tokens"])
+            parity = links.parities(grams[new], np.bincount(owner[new], minlength=len(counts)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, lines.identity()), lists, parity], ["h1", "h2", "tokens", "parity"])
 
     return map_arrow(docs.select("text"), run, SETS)
 
@@ -195,9 +196,9 @@ def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, doc
     ids = links.broadcast_small(materialize(met.select(F.col("doc_id").alias("_id")).distinct(), "met-documents"))
     texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = _line_sets(texts).join(links.broadcast_small(met).drop("doc_id"), ["h1", "h2"]).dropDuplicates(["node"])
-    sets = materialize(sets.select("node", "tokens", F.size("tokens").alias("n")), "line-sets")
+    sets = materialize(sets.select("node", "tokens", "parity", F.size("tokens").alias("n")), "line-sets")
     buckets = materialize(keys.join(sets.select("node", "n"), "node").withColumn("few", F.lit(0)), "bucket-rows")
-    _, joined = links.link(buckets, sets.select("node", "tokens"), percent)
+    _, joined = links.link(buckets, sets.select("node", "tokens", "parity"), percent)
     near = heads.join(joined, "node").select("h1", "h2", "component")
     near = lines.join(near, ["h1", "h2"], "left").select(
         "doc_id", "row", "start", "n", F.when(F.col("component").isNull(), F.struct("h1", "h2")).otherwise(F.struct(F.col("component").alias("h1"), F.lit(0).cast("long").alias("h2"))).alias("cluster"),
@@ -224,9 +225,14 @@ def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, doc
 
 
 def cut(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the removed stretches of ``found``; the white space before a removed word goes with it."""
-    gone = found.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_gone"))
-    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left")
+    """``docs`` without the removed stretches of ``found``; the white space before a removed word goes with it.
+
+    Null texts stay null; documents without removals, and all where ``found`` is empty, stay as they are. Stretches of a null id are cut from
+    every row without an id. Rows that repeat an id are cut alike, so give texts that repeat an id one by one.
+    """
+    own, spans = unused(docs, "cut_id", "cut_spans")
+    gone = found.where("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
+    joined = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(own)), "left")
 
     def without(texts, gone):
         import re
@@ -250,4 +256,4 @@ def cut(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "
 
         return pd.Series([one(t, s) for t, s in zip(texts, gone, strict=True)], dtype=object)
 
-    return joined.withColumn(text, F.pandas_udf(without, "string")(F.col(text), F.col("_gone"))).drop("_id", "_gone")
+    return joined.withColumn(text, F.pandas_udf(without, "string")(F.col(f"`{text}`"), F.col(spans))).drop(own, spans)

@@ -61,7 +61,7 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_set_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under Jaccard links of its word triples."""
-    return set_join.join(documents(spark, folder))
+    return set_join.join(documents(spark, folder), count_links=False)
 
 
 @query

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwise.llm import links
-from barwise.llm.common import lower_words_of, map_arrow
-from barwise.session import materialize
+from barwise.llm.common import lower_words_of, map_arrow, unused
+from barwise.session import discard, materialize
 
 WORDS, PERCENT = 3, 90
 #: From so many sets on an element is frequent and moves to the end of the order.
@@ -35,7 +35,7 @@ SPARE = 64
 PER_CANDIDATE = 2.0
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 PRINTS = "doc_id long, row long, n int, h1 long, h2 long, few int, prefix array<long>"
-SETS = "doc_id long, row long, n int, h1 long, h2 long, few int, tokens array<long>"
+SETS = "doc_id long, row long, n int, h1 long, h2 long, few int, tokens array<long>, parity array<long>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -108,7 +108,11 @@ def _sets(docs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(kept).astype(np.int64), pa.int64()))
             sizes = [len(s) for s in sets]
             columns = [pa.array(sizes, pa.int32()), pa.array([f[0] for f in folds], pa.int64()), pa.array([f[1] for f in folds], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(sizes, pa.int32()), lists], names)
+            if whole:
+                lists = [lists, links.parities(np.concatenate(kept), np.array(sizes))]
+            else:
+                lists = [lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(sizes, pa.int32()), *lists], names)
 
     return map_arrow(docs.select("doc_id", "row", "text"), run, SETS if whole else PRINTS)
 
@@ -136,10 +140,11 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, class_id, n_links``.
+    """One row per document: ``doc_id, n_shingles, component_id, class_id, linked_with, n_links``.
 
     Texts are lower-cased (A-Z only) and cut at white space. ``component_id`` is the smallest id reachable by links,
-    itself included; ``class_id`` the smallest id with an equal set; ``n_links`` the number of other classes that its class links with
+    itself included; ``class_id`` the smallest id with an equal set; ``linked_with`` the smallest ``class_id`` among the verified links that hold its
+    component together (null without any); ``n_links`` the number of other classes that its class links with
     (no such column without ``count_links``, which spares the comparisons inside components).
     A null or empty text has the empty set, which links with nothing, not even with its like. A null id is never a smallest
     id; a group of such rows has a null component. Repeated rows link like other copies.
@@ -156,19 +161,24 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     buckets = materialize(_of_like_size(keys.join(many, "key"), percent), "bucket-rows")
     wanted = heads.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = _whole(docs, wanted, n, percent, doc_id, text)
-    edges, parts = links.link(buckets, sets.select("node", "tokens"), percent)
+    edges, parts = links.link(buckets, sets.select("node", "tokens", "parity"), percent)
+    discard(buckets)
     ids = every.groupBy("node").agg(F.min("doc_id").alias("class_id"))
     named = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = named.join(lowest, "component").select("node", "class_id", "component_id")
     if count_links:
         named = named.join(links.degrees(edges, parts, sets, percent), "node", "left")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partner = both.join(ids.select(F.col("node").alias("b"), "class_id"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class_id").alias("linked_with"))
+    named = named.join(partner, "node", "left")
     alone = F.col("n") == 0
     return every.join(named, "node").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "linked_with",
         *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
     )
 
@@ -181,7 +191,7 @@ def _whole(docs: DataFrame, wanted: DataFrame, n: int, percent: int, doc_id: str
     near = texts.join(links.broadcast_small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = _sets(near.withColumn("row", F.lit(0).cast("long")), n, percent, whole=True)
     found = sets.join(links.broadcast_small(wanted).drop("n"), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return materialize(found.select("node", "n", "tokens"), "whole-sets")
+    return materialize(found.select("node", "n", "tokens", "parity"), "whole-sets")
 
 
 def _prefixes(docs: DataFrame, heads: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
@@ -263,6 +273,7 @@ def dedup(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     """
     found = join(docs, n, percent, doc_id, text, count_links=False)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(kept).alias("_kept")).where("not _kept")
+    name = unused(docs, "linked")
+    gone = found.groupBy(F.col("doc_id").alias(name)).agg(F.max(kept).alias("kept")).where("not kept").select(name)
     gone = materialize(gone, "linked-rows")
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -62,7 +62,6 @@ class TextEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.double_space = re.compile(r"\s\s")
         # Ids of words that follow a space, and of words that begin a line.
         self.inner: dict[str, bytes] = {"": self._encode([" "])[0]}

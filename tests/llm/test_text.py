@@ -284,11 +284,10 @@ def library_ids(data):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
     return [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t, *_ in data]
 
 
-ODD = ["a\t b", " a", "a  b", "a \n b", "it's, x. 'm, 12. a1. <|endoftext|> é.  b", "x\n\ny", "a \tb", "\n a", "a\x1cb c", "a b  c", "a\n", "a b ", " "]
+ODD = ["a\t b", " a", "a  b", "a \n b", "it's, x. 'm, 12. a1. <|endoftext|> é.  b", "x\n\ny", "a \tb", "\n a", "a\x1cb c", "a b  c", "a\n", "a b ", " ", "hello <|endoftext|> world", "x<|endoftext|>y. z <|endoftext|>\n<|endoftext|>"]
 
 
 def test_token_files_round_trip(spark):
