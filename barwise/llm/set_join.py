@@ -136,7 +136,9 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
     prints = materialize(_sets(rows, n, percent, whole=False), "set-prints")
     same = prints.groupBy("h1", "h2", "n").agg(F.min("row").alias("node"))
-    return materialize(prints.join(same, ["h1", "h2", "n"]), "set-classes")
+    out = materialize(prints.join(same, ["h1", "h2", "n"]), "set-classes")
+    discard(prints)
+    return out
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
@@ -149,16 +151,20 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     A null or empty text has the empty set, which links with nothing, not even with its like. A null id is never a smallest
     id; a group of such rows has a null component. Repeated rows link like other copies.
     """
-    every = classes(docs, n, percent, doc_id, text)
-    single = every.where((F.col("row") == F.col("node")) & (F.col("n") > 0))
+    whole = classes(docs, n, percent, doc_id, text)
+    every = materialize(whole.drop("prefix"), "set-members")
+    single = whole.where((F.col("row") == F.col("node")) & (F.col("n") > 0))
     # The closest partner of a set of n elements has one more: n / (n + 1) reaches the threshold from percent / (100 - percent) on.
     # Below only equal sets do, and those are one class.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     heads = single.where(F.col("n") >= least).select("node", "doc_id", "h1", "h2", "n", "prefix")
     prefixes, at = _prefixes(docs, heads, n, percent, doc_id, text)
+    discard(whole)  # prefixes are the bulk of it
+    heads = every.where((F.col("row") == F.col("node")) & (F.col("n") >= least)).select("node", "doc_id", "h1", "h2", "n")
     keys = _keys(prefixes, at, percent)
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key")
     buckets = materialize(_of_like_size(keys.join(many, "key"), percent), "bucket-rows")
+    discard(prefixes)
     wanted = heads.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = _whole(docs, wanted, n, percent, doc_id, text)
     edges, parts = links.link(buckets, sets.select("node", "tokens", "parity"), percent)
@@ -231,6 +237,7 @@ def _prefixes(docs: DataFrame, heads: DataFrame, n: int, percent: int, doc_id: s
         whole = ordered(late(_whole(docs, lacking, n, percent, doc_id, text), "tokens"), "tokens")
         out = out.unionByName(whole.select("node", "n", F.size("first").alias("few"), "prefix"))
     out = materialize(out, "prefixes")
+    discard(placed)
     # The candidates of an inverted list, from the counts of first elements; one row per size of set. Sets that meet by chance
     # are compared in full, half of them each; lists of frequent elements are of near copies, a pivot per round connects them.
     met = out.select("node", "n", F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("token"))
