@@ -70,7 +70,7 @@ def _dealt(docs: DataFrame, size: Column, doc_id: str, source: str, seed: int, p
     unit = F.xxhash64(F.lit(seed), F.col(doc_id).cast("long"), F.col("__mix_size"))
     return joined.withColumns(
         {"__mix_block": F.pmod(unit, F.col("__mix_blocks")), "__mix_order": F.xxhash64(F.lit(seed + 1), F.col(doc_id).cast("long"), F.col("__mix_size"))}
-    ).drop("_s", "__mix_blocks")
+    ).drop("__mix_name", "__mix_blocks")
 
 
 def _quotas(rows: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
@@ -96,7 +96,7 @@ def _quotas(rows: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
         "__mix_source", "__mix_block", F.col("whole").alias("copy"), F.lit(None).cast("long").alias("upto")
     )
     crossed = joined.where("need > 0 and need < words").select("__mix_source", "__mix_block", "whole", "need")
-    inside = rows.join(crossed.withColumnsRenamed({"__mix_source": "_s", "__mix_block": "_b"}), F.col("__mix_source").eqNullSafe(F.col("__mix_of")) & (F.col("__mix_block") == F.col("__mix_at")))
+    inside = rows.join(crossed.withColumnsRenamed({"__mix_source": "_s", "__mix_block": "_b"}), F.col("__mix_source").eqNullSafe(F.col("_s")) & (F.col("__mix_block") == F.col("_b")))
     run = Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_order").rangeBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("run", F.sum("__mix_size").over(run)).withColumn("tied", F.sum("__mix_size").over(Window.partitionBy("__mix_source", "__mix_block", "__mix_order")))
     part = inside.where(F.col("run") - F.col("tied") / 2 <= F.col("need")).groupBy("__mix_source", "__mix_block").agg(
@@ -222,7 +222,7 @@ def mix(
     )
     per_block = materialize(per_block, "mix-draws")
     dealt = _dealt(docs, size, doc_id, source, seed, per_source)
-    rows = dealt.join(per_block, F.col("__mix_source").eqNullSafe(F.col("_s")) & (F.col("__mix_block") == F.col("_b")))
+    rows = dealt.join(per_block, F.col("__mix_source").eqNullSafe(F.col("__mix_of")) & (F.col("__mix_block") == F.col("__mix_at")))
     rows = rows.withColumn("__mix_draw", F.explode("__mix_draws")).where(F.col("__mix_draw.upto").isNull() | (F.col("__mix_order") <= F.col("__mix_draw.upto")))
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_copy", "mix_shard", "mix_order", "mix_size")]
     return rows.select(
