@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwise.catalog import LIFETIME
 from barwise.functions.scalars import prefixed_keys
 from barwise.operators.bars import newest_per_symbol
 from barwise.operators.regimes import BASIC_FEATURES, TECHNICAL_FEATURES, since
@@ -96,6 +97,33 @@ def bounded_history(history: DataFrame, n: int = 100) -> DataFrame:
     return newest_per_symbol(history, n, time="timestamp")
 
 
+def pushed_history(stored: DataFrame | None, new: DataFrame, n: int = 100, time: str = "timestamp") -> DataFrame:
+    """The bounded list of each symbol after a batch has been put in front of the stored one.
+
+    Both sides are cut to ``n`` rows per symbol before they meet. Of a stored and a new entry of one time the new one comes first.
+    """
+    sides = [(new, 1)] if stored is None else [(stored.drop("rank"), 0), (new, 1)]
+    cut = [newest_per_symbol(rows, n, time).withColumn("_new", F.lit(is_new)) for rows, is_new in sides]
+    both = cut[0] if stored is None else cut[0].unionByName(cut[1])
+    return newest_per_symbol(both.drop("rank"), n, time, tie=["_new"]).drop("_new")
+
+
+def bulk_history(features: DataFrame, stored: DataFrame | None = None, n: int = 100) -> DataFrame:
+    """History half of the many-symbol form: the rows of a batch as history entries in front of the stored ones."""
+    return pushed_history(stored, regime_history_rows(features), n)
+
+
+def recent_packages(package: DataFrame, stored: DataFrame | None = None, n: int = 1000, as_of: str | None = None) -> DataFrame:
+    """The newest ``n`` training packages per symbol, nested as they are. The whole list of a symbol is gone once its newest
+    package is older at ``as_of`` than the long-term lifetime."""
+    rows = pushed_history(stored, package, n)
+    if as_of is None:
+        return rows
+    newest = rows.groupBy("symbol").agg(F.max("timestamp").alias("_newest"))
+    alive = F.unix_micros("_newest") + LIFETIME["long_term"] * 1_000_000 > F.unix_micros(F.lit(as_of).cast("timestamp"))
+    return rows.join(newest.where(alive).select("symbol"), "symbol", "left_semi")
+
+
 def training_package(features: DataFrame) -> DataFrame:
     """Nested rows for model training: basic, technical, signals and the bar."""
     technical = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in TECHNICAL_FEATURES]

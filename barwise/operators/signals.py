@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.scalars import first_match, guarded
+from barwise.operators.asof import asof_join
 from barwise.operators.indicators import STRATEGY_GATE, strategy_indicators, with_indicators
 
 # Limits of the strategy.
@@ -81,6 +84,22 @@ def trade_levels() -> dict[str, Column]:
     }
 
 
+def with_inputs(
+    requests: DataFrame, features: DataFrame, history: DataFrame, columns: Sequence[str], features_age: int, history_age: int
+) -> DataFrame:
+    """Requests (symbol, time) with the newest features and the newest regime of their symbol, each by its own lifetime in seconds.
+
+    Requests without them stay, with nulls and the flags ``features_missing`` and ``history_missing`` that :func:`trade_levels`
+    reports. ``features`` holds symbol, time and ``columns``; ``history`` symbol, timestamp, regime_type.
+    """
+    found = asof_join(requests, features, ["symbol"], "time", "time", features_age, columns)
+    found = found.withColumnRenamed("asof_time", "features_time")
+    found = asof_join(found, history, ["symbol"], "time", "timestamp", history_age, ["regime_type"])
+    return found.withColumnsRenamed({"asof_time": "history_time", "regime_type": "last_regime"}).withColumns(
+        {"features_missing": F.col("features_time").isNull(), "history_missing": F.col("history_time").isNull()}
+    )
+
+
 def order_levels(point: float = 1.0) -> dict[str, Column]:
     """Entry, stop and target prices from the quote: a buy enters at the ask, a sell at the bid."""
     side, sl, tp = F.col("type"), F.col("sl") * point, F.col("tp") * point

@@ -134,6 +134,21 @@ CTES: dict[str, str] = {
         count(*) AS volume FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "feat_u": features("bars_u"),
     "feat_h": features("bars_h"),
+    "bars_m": bars("event_type", "minute"),
+    "feat_m": features("bars_m"),
+    "reg_m": regimes("feat_m"),
+    "ev_m": regime_rows("reg_m"),
+    "sent_u": """SELECT *, least(floor(date_diff('day', DATE '2024-01-01', timestamp::DATE) / 8.0)
+        + ((symbol::BIGINT + date_diff('day', DATE '2024-01-01', timestamp::DATE)) % 5 = 0)::INT, 3) AS part FROM ev_u""",
+    "seen_u": """SELECT n, symbol, max(timestamp) AS time, arg_max(regime_type, timestamp) AS regime, arg_max(confidence, timestamp) AS confidence
+        FROM sent_u JOIN (VALUES (-1), (0), (1), (2), (3)) b(n) ON part <= n GROUP BY 1, 2""",
+    "clock_u": "SELECT n, max(time) - INTERVAL 1 DAY AS clock FROM seen_u GROUP BY 1",
+    "live_h": """SELECT symbol, time + INTERVAL 1 HOUR AS at, i, regime, signal, confidence, atr, CASE WHEN ok THEN raw_size ELSE 0 END AS size
+        FROM size_h""",
+    "asked": """SELECT t.*, h.regime AS last_regime, h.at >= t.time - INTERVAL 86400 SECOND AS has_history FROM
+        (SELECT t.symbol, t.time, t.bid, f.at >= t.time - INTERVAL 300 SECOND AS has_features, f.signal, f.confidence, f.atr, f.size
+         FROM ticks t ASOF LEFT JOIN (SELECT * FROM live_h WHERE i >= 19) f ON t.symbol = f.symbol AND t.time >= f.at) t
+        ASOF LEFT JOIN (SELECT * FROM live_h WHERE i >= 24) h ON t.symbol = h.symbol AND t.time >= h.at""",
     "feat_i": features("bars_i"),
     "reg_u": regimes("feat_u"),
     "reg_h": regimes("feat_h"),
@@ -557,6 +572,17 @@ _BODIES: dict[str, str] = {
     "history_distribution": """SELECT symbol, dimension, value, count, round(count / sum(count) OVER (PARTITION BY symbol, dimension), 6) AS share
         FROM (SELECT symbol, 'regime' AS dimension, regime_type AS value, count(*) AS count FROM hist_h GROUP BY 1, 3
         UNION ALL SELECT symbol, 'model', regime_model, count(*) FROM hist_h GROUP BY symbol, regime_model)""",
+    "history_signals": """SELECT symbol, dimension, value, count, round(count / sum(count) OVER (PARTITION BY symbol, dimension), 6) AS share
+        FROM (WITH h AS (SELECT * FROM nnfx_h QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 100)
+        SELECT symbol, 'regime' AS dimension, regime_type AS value, count(*) AS count FROM h GROUP BY 1, 3
+        UNION ALL SELECT symbol, 'model', 'comprehensive', count(*) FROM h GROUP BY symbol
+        UNION ALL SELECT symbol, 'signal', nnfx_signal, count(*) FROM h WHERE nnfx_signal IS NOT NULL GROUP BY symbol, nnfx_signal)""",
+    "tick_trades": """SELECT symbol, time, round(bid, 4) AS bid, CASE WHEN has_history THEN last_regime END AS last_regime,
+        CASE WHEN NOT coalesce(has_features, FALSE) THEN 'NO_FEATURES' WHEN NOT coalesce(has_history, FALSE) THEN 'NO_REGIME_HISTORY' END AS error,
+        CASE WHEN has_features AND has_history THEN CASE WHEN signal <> 0 AND confidence >= 0.6 THEN signal ELSE 0 END END AS type,
+        CASE WHEN has_features AND has_history AND signal <> 0 AND confidence >= 0.6 THEN round(size, 4) ELSE 0 END AS volume,
+        CASE WHEN has_features AND has_history AND signal <> 0 AND confidence >= 0.6 THEN round(atr * 1.5, 4) ELSE 0 END AS sl,
+        CASE WHEN has_features AND has_history AND signal <> 0 AND confidence >= 0.6 THEN round(atr * 3.0, 4) ELSE 0 END AS tp FROM asked""",
     "top_regimes": """SELECT symbol, regime_type, round(n / sum(n) OVER (PARTITION BY symbol), 6) AS share,
         row_number() OVER (PARTITION BY symbol ORDER BY n DESC, regime_type) AS rank FROM
         (SELECT symbol, regime_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS k
@@ -761,6 +787,11 @@ _BODIES: dict[str, str] = {
         row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_u QUALIFY rank <= 100""",
     "bounded_history_1000": f"""SELECT {EVENT}, regime_model, 'HOLD' AS nnfx_signal, 0.0 AS signal_confidence,
         row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_u QUALIFY rank <= 1000""",
+    "bulk_history": f"""SELECT {EVENT}, regime_model, 'HOLD' AS nnfx_signal, 0.0 AS signal_confidence,
+        row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS rank FROM ev_m QUALIFY rank <= 100""",
+    "recent_packages": f"""SELECT symbol, time AS timestamp, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS rank,
+        regime_type AS regime, round(volatility, 6) AS volatility, round(close, 6) AS close FROM reg_m
+        WHERE symbol IN (SELECT symbol FROM reg_m GROUP BY 1 HAVING max(time) > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) QUALIFY rank <= 1000""",
     "training_export": f"""SELECT time AS timestamp, symbol, regime_type AS regime, 'comprehensive' AS regime_model, {rnd(4, *ALWAYS)},
         {', '.join(f'round(coalesce({t}, 0), 4) AS {t}' for t in TECH)}, nnfx_signal, {rnd(4, 'signal_confidence')}, baseline_signal,
         {rnd(4, 'confirmation_strength')}, time AS ohlcv_time, symbol AS ohlcv_symbol, round(open, 4) AS ohlcv_open,
@@ -793,6 +824,8 @@ _BODIES: dict[str, str] = {
         AND timestamp < TIMESTAMP '2024-01-25' GROUP BY 1, 2, 3""",
     "exported_package": """SELECT symbol, time AS timestamp, regime_type AS regime, round(volatility, 6) AS volatility,
         round(close, 6) AS ohlcv_close FROM reg_u""",
+    "tick_log_bars": """SELECT symbol, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume,
+        least(dayofmonth(time) // 11, 2) AS batch FROM flat""",
     "stream_daily_bars": """SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS time, round(arg_min(value, ts), 6) AS open,
         round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, ts), 6) AS close,
         1000 * count(*) AS volume FROM events GROUP BY 1, 2""",
@@ -803,6 +836,9 @@ _BODIES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
     "stream_expiring_regimes": """SELECT symbol, regime_type AS regime, timestamp AS time FROM flat_ev
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
+    "stream_regime_expiry": """SELECT c.n AS batch, c.symbol, c.regime, round(c.confidence, 6) AS confidence, c.time, c.time + INTERVAL 7 DAY <= k.clock AS expired
+        FROM seen_u c JOIN clock_u k USING (n) LEFT JOIN seen_u p ON p.symbol = c.symbol AND p.n = c.n - 1 LEFT JOIN clock_u b ON b.n = c.n - 1
+        WHERE coalesce(c.time + INTERVAL 7 DAY > b.clock, TRUE) AND (p.time IS NULL OR c.time > p.time OR c.time + INTERVAL 7 DAY <= k.clock)""",
     "stream_ingest": """SELECT symbol, regime_type, nnfx_signal, count(*) AS n, min(time) AS first_time, max(time) AS last_time,
         round(avg(adx), 4) AS adx, round(avg(rsi), 4) AS rsi, round(avg(kama), 4) AS kama, round(avg(stoch_d), 4) AS stoch_d,
         round(avg(enhanced), 4) AS regime_confidence_enhanced FROM nnfx_f GROUP BY 1, 2, 3""",
@@ -825,4 +861,7 @@ _BODIES: dict[str, str] = {
     "bar_maps": """SELECT symbol, time, round(close, 6) AS ohlcv_close, volume::DOUBLE AS ohlcv_volume, 5 AS n FROM bars_u""",
 }
 
+_BODIES["touched_daily_bars"] = _BODIES["refreshed_daily_bars"]
+_BODIES["touched_regime_stats"] = _BODIES["refreshed_regime_stats"]
+
 ORACLES: dict[str, str] = {name: sql(body) for name, body in _BODIES.items()}

@@ -26,7 +26,7 @@ from barwise.operators.series import BLOCK, PART_ROWS, block, in_block, number,
 from barwise.functions import sql as sql_functions
 from barwise.plans import derive as d
 from barwise.session import materialize, new_path
-from barwise.sources import sinks, tables
+from barwise.sources import rollup, sinks, tables, ticklog
 from barwise.streaming import bars as bar_streams
 from barwise.streaming import state as state_streams
 
@@ -263,6 +263,12 @@ def history_distribution(spark, folder):
     return regimes.history_distribution(d.regimes_hourly(spark, folder))
 
 
+@query
+def history_signals(spark, folder):
+    """Counts over the newest entries by regime, model and signal; the signals are those of the comprehensive model."""
+    return regimes.history_distribution(features.regime_history_rows(_modelled(spark, folder)))
+
+
 @query
 def top_regimes(spark, folder):
     return regimes.top_regimes(regimes.history_distribution(d.regimes_by_user(spark, folder)))
@@ -443,6 +449,20 @@ def trade_levels(spark, folder):
     return _trades(spark, folder).select("symbol", "time", "error", "type", "volume", "sl", "tp")
 
 
+@rounded(4)
+def tick_trades(spark, folder):
+    """Every tick asks for a trade: features live five minutes after the end of their hour, the regime history begins with the 25th hour."""
+    sized = _signals(spark, folder).withColumns(signals.strategy_size(CAPITAL))
+    ended = (F.col("time") + F.expr("interval 1 hour"))
+    wanted = ["signal", "confidence", "position_size", "atr"]
+    known = sized.where(F.col("pos") >= indicators.FEATURE_GATE - 1).select("symbol", ended.alias("time"), *wanted)
+    history = sized.where(F.col("pos") >= 24).select("symbol", ended.alias("timestamp"), F.col("regime").alias("regime_type"))
+    ticks = d.ticks(spark, folder).select("symbol", "time", "bid")
+    ages = catalog.LIFETIME["high_frequency"], catalog.LIFETIME["long_term"]
+    found = signals.with_inputs(ticks, known, history, wanted, *ages).withColumns(signals.trade_levels())
+    return found.select("symbol", "time", "bid", "last_regime", "error", "type", "volume", "sl", "tp")
+
+
 @rounded(4)
 def order_levels(spark, folder):
     """Order prices of each trade from the newest quote of the last hour."""
@@ -851,6 +871,32 @@ def bounded_history_1000(spark, folder):
     return features.bounded_history(features.regime_history_rows(_user_rows(spark, folder)), 1000)
 
 
+def _minute_rows(spark, folder):
+    """Minute bars as rows of the basic model; a symbol has far more of them than a bounded list holds."""
+    table = regimes.basic_features(d.bars_of(d.table(spark, folder, "events"), F.col("event_type"), "minute"))
+    table = table.withColumns({n: F.lit(None).cast("double") for n in regimes.TECHNICAL_FEATURES})
+    return regimes.with_model(table.withColumn("pos", F.lit(0).cast("bigint")), "basic")
+
+
+@query
+def bulk_history(spark, folder):
+    """Bounded lists after a second batch: the rows up to the evening of the 30th are stored, the later ones come in bulk."""
+    rows = _minute_rows(spark, folder)
+    first = F.col("time") < F.lit("2024-01-30 18:00:00").cast("timestamp")
+    stored = materialize(features.bulk_history(rows.where(first)), "bounded-lists")
+    return features.bulk_history(rows.where(~first), stored)
+
+
+@query
+def recent_packages(spark, folder):
+    """The newest 1000 training packages per symbol, nested, in two batches; fields of the newest ones are read back."""
+    package = features.training_package(_minute_rows(spark, folder))
+    first = F.col("timestamp") < F.lit("2024-01-30 18:00:00").cast("timestamp")
+    stored = materialize(features.recent_packages(package.where(first)), "recent-packages")
+    rows = features.recent_packages(package.where(~first), stored, as_of=AS_OF)
+    return rows.select("symbol", "timestamp", "rank", "regime", "basic_features.volatility", F.col("ohlcv.close").alias("close"))
+
+
 @query
 def history_summary_1000(spark, folder):
     """The extended history."""
@@ -995,6 +1041,30 @@ def refreshed_regime_stats(spark, folder):
     return spark.read.parquet(path).drop("date")
 
 
+def _touched_daily(spark, folder, build, bucket, name):
+    """Hourly bars in two batches, the second all that came late: one hour in 29 of every day. Refreshed after each, at a later time as well."""
+    bars_ = d.bars_hourly(spark, folder)
+    late = F.pmod(F.dayofyear("time") * 24 + F.hour("time"), F.lit(29)) == 0
+    base, log, daily = (new_path(spark, f"{name}-{part}") for part in ("bars", "log", "days"))
+    writer = rollup.logged_upsert(base, log)
+    for n, (part, as_of) in enumerate([(~late, "2024-01-20 12:30:00"), (late, "2024-01-25 12:30:00")]):
+        writer(bars_.where(part), n)
+        rollup.refresh_touched(spark.read.parquet(base), log, daily, build, "time", bucket, as_of)
+    return spark.read.parquet(daily).drop("date")
+
+
+@query
+def touched_daily_bars(spark, folder):
+    """Daily bars after a refresh of the symbols and days that writes have touched."""
+    return _touched_daily(spark, folder, lambda rows: bars.resample(rows, "D1"), "time", "touched").select(*OHLCV)
+
+
+@query
+def touched_regime_stats(spark, folder):
+    """Daily regime statistics after a refresh of the symbols and days that writes have touched."""
+    return _touched_daily(spark, folder, lambda rows: regimes.daily_regime_stats(regimes.regime_events(rows)), "bucket", "touched-stats")
+
+
 @query
 def exported_package(spark, folder):
     """The training package written as nested rows, flattened to CSV, and read back."""
@@ -1036,6 +1106,19 @@ def _finish(stream, spark, name, writer, mode="append"):
     return f"{folder}/out"
 
 
+@query
+def tick_log_bars(spark, folder):
+    """Bars of a tick log that grows between three runs of one stream, each going on from the offset of the one before."""
+    ticks = d.ticks(spark, folder).select("time", "symbol", "bid", "ask")
+    part = F.least(F.floor(F.dayofmonth("time") / 11), F.lit(2))
+    log, out = new_path(spark, "tick-log"), new_path(spark, "stream-log")
+    for n in range(3):
+        ticklog.log_lines(ticks.where(part == n)).write.mode("append").text(log)
+        stream = tables.tick_bars(ticklog.tick_log(spark, log, split=1 << 16))
+        bar_streams.start(stream, f"{out}/checkpoint", bar_streams.versioned_rows(f"{out}/out")).awaitTermination()
+    return spark.read.parquet(f"{out}/out").select(*OHLCV, F.col("_batch").alias("batch"))
+
+
 @query
 def stream_daily_bars(spark, folder):
     daily = bar_streams.daily_bars(_tick_stream(spark, folder))
@@ -1066,6 +1149,23 @@ def stream_expiring_regimes(spark, folder):
     return newest
 
 
+@query
+def stream_regime_expiry(spark, folder):
+    """Regimes of users with a lifetime of a week, in four batches of eight days; one row in five comes a batch late.
+    What each batch changed, and what expired in it."""
+    rows = d.regimes_by_user(spark, folder).withColumn("day", F.datediff("timestamp", F.lit("2024-01-01").cast("date")))
+    late = F.pmod(F.col("symbol").cast("bigint") + F.col("day"), F.lit(5)) == 0
+    part = F.least(F.floor(F.col("day") / 8) + late.cast("int"), F.lit(3))
+    rows = materialize(rows.withColumn("part", part), "regimes-sent")
+    path, out = new_path(spark, "regimes-in"), new_path(spark, "stream-expiry")
+    writer = state_streams.expiring_table(f"{out}/out", catalog.LIFETIME["extended_history"], late=86_400)
+    for n in range(4):
+        rows.where(F.col("part") == n).drop("part", "day").write.mode("append").parquet(path)
+        stream = tables.tick_stream(spark, path, "symbol string, timestamp timestamp, regime_type string, confidence double")
+        bar_streams.start(stream, f"{out}/checkpoint", writer).awaitTermination()
+    return spark.read.parquet(f"{out}/out/changes")
+
+
 def _in_batches(spark, bars_, key, writer, name):
     """The bars as a stream of four batches: by time, but one bar in 23 comes a batch late, one in 29 comes with a
     wrong close first and is corrected in the next batch, and one in 31 comes twice. ``key`` numbers the bars."""

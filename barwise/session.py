@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -86,9 +85,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of one's own, on whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(table: DataFrame | None) -> None:
     """Delete a table of ``materialize`` that a later one has replaced. Nothing may read it afterwards."""
     if path := getattr(table, "written_to", None):
-        store, folder = fs.FileSystem.from_uri(path)
-        store.delete_dir(folder)
+        remove(table.sparkSession, path)
         table.written_to = None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barwise.operators.bars import last_write, merge_bars, resample, retain
 from barwise.operators.events import check_versions
 from barwise.operators.regimes import daily_regime_stats
-from barwise.session import materialize
+from barwise.session import materialize, remove
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -120,8 +120,7 @@ def _refresh(source: DataFrame, time: str, as_of: str, build, path: str, bucket:
         days = stored.where((F.col("date") >= F.to_date(first)) & (F.col("date") < F.to_date(end))).select("date").distinct()
         gone = [r[0] for r in days.join(built.select(F.to_date(bucket).alias("date")).distinct(), "date", "left_anti").collect()]
         for day in gone:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, f"{path}/date={day}")
     replace_dates(built, path, bucket)
 
 

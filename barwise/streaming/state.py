@@ -64,6 +64,44 @@ def expiring_regimes(events: DataFrame, seconds: int, watermark: str | None = No
     )
 
 
+def expiring_table(folder: str, seconds: int, late: int = 0):
+    """Batch writer of the newest regime per symbol with a lifetime, without rows of a symbol in one task.
+
+    Columns as in :func:`expiring_regimes`. A batch is reduced to one row per symbol before its shuffle and merged with the table of
+    the batch before, one row per living symbol. The clock is the latest time seen less ``late`` seconds; a regime expires when the clock reaches
+    its time plus ``seconds``. ``{folder}/changes/batch=n`` gets a row per symbol whose regime is newer than before, and one
+    with ``expired`` when it ends; ``{folder}/alive/batch=n`` is the state. Rows that had expired before their batch are left out,
+    later rows of equal time win within a batch by regime name, over earlier batches not at all. A repeated batch gives the same.
+    """
+    entry = F.struct(F.col("timestamp").alias("time"), F.col("regime_type").alias("regime"), "confidence")
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        alive = read_or_none(spark, f"{folder}/alive/batch={n - 1}") if n else None
+        clocks = read_or_none(spark, f"{folder}/clock/batch={n - 1}") if n else None
+        before = clocks.first().clock if clocks is not None else None
+        batch = batch.where(F.col("timestamp").isNotNull())
+        newest = materialize(batch.groupBy("symbol").agg(F.max(entry).alias("new")).select("symbol", "new.*"), "newest-regimes")
+        top = newest.agg(F.max(F.unix_micros("time")).alias("t")).first().t
+        clock = max([c for c in (before, None if top is None else top - late * 1_000_000) if c is not None], default=None)
+        ends = F.unix_micros("time") + seconds * 1_000_000
+        if before is not None:
+            newest = newest.where(ends > before)
+        rows = newest.withColumn("_new", F.lit(1))
+        if alive is not None:
+            rows = rows.unionByName(alive.withColumn("_new", F.lit(0)))
+        # Of equal times the stored row stays.
+        best = F.max_by(F.struct("time", "regime", "confidence", "_new"), F.struct("time", -F.col("_new")))
+        rows = rows.groupBy("symbol").agg(best.alias("_b")).select("symbol", "_b.*")
+        rows = materialize(rows.withColumn("expired", F.lit(False) if clock is None else ends <= clock), "regimes-now")
+        changes = rows.where((F.col("_new") == 1) | F.col("expired")).drop("_new")
+        changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")
+        rows.where("not expired").drop("_new", "expired").write.mode("overwrite").parquet(f"{folder}/alive/batch={n}")
+        spark.range(1).select(F.lit(clock).cast("long").alias("clock")).write.mode("overwrite").parquet(f"{folder}/clock/batch={n}")
+
+    return write
+
+
 # --- rolling risk ----------------------------------------------------------------------------
 
 TRADE = ["account", "symbol", "ts", "id", "pnl"]
