@@ -21,7 +21,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,8 @@ PERCENTILE = 90
 END_ID = 0
 #: Words whose ids a worker keeps, each after a space and at the start of a line: about 100 MB.
 KEPT_PIECES = 400_000
+#: New words that are encoded as one text.
+TOGETHER = 256
 _HEAD, _TAIL = "<HBBII", "<QQQQ8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 FILES = "file long, path string, n_docs long, n_tokens long"
@@ -66,12 +67,32 @@ class TextEncoder:
         # Ids of words that follow a space, and of words that begin a line.
         self.inner: dict[str, bytes] = {"": self._encode([" "])[0]}
         self.first: dict[str, bytes] = {"": b""}
+        self.feed_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.feed, self.marks = self._encode(["\n"])[0], dict(zip(".,;:!?", self._encode(list(".,;:!?")), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [_packed(x.ids) for x in found]
 
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words that hold no space and no line feed: many are encoded as the lines of one text and cut at the line feeds, whose id
+        stands for nothing else. Words with white space at an end would join the line feed, and are encoded one by one."""
+        odd = [i for i, w in enumerate(words) if w[:1].isspace() or w[-1:].isspace() or not w]
+        alone = dict(zip(odd, self._encode([lead + words[i] for i in odd]), strict=True))
+        lined = [w for i, w in enumerate(words) if i not in alone] if odd else words
+        texts = [lead + f"\n{lead}".join(lined[i : i + TOGETHER]) for i in range(0, len(lined), TOGETHER)]
+        out: list[bytes] = []
+        for start, found in zip(range(0, len(lined), TOGETHER), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            data, feeds = ids.tobytes(), (np.flatnonzero(ids == self.feed_id) * 4).tolist()
+            out += [data[a:b] for a, b in zip([0, *(x + 4 for x in feeds)], [*feeds, len(data)], strict=True)]
+            if len(out) != min(start + TOGETHER, len(lined)):
+                raise ValueError("line feeds do not separate words in this vocabulary")
+        if odd:
+            rest = iter(out)
+            out = [alone[i] if i in alone else next(rest) for i in range(len(words))]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.double_space.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         inner, first = set(), set()
@@ -106,12 +127,11 @@ class TextEncoder:
         plain = new.difference(ends)
         plain.update([w[:-1] for w in ends])
         plain = list(plain.difference(known))
-        known.update(zip(plain, self._encode([lead + w for w in plain]), strict=True))
+        known.update(zip(plain, self._words(plain, lead), strict=True))
         known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in ends])
         yield
-        if len(known) > KEPT_PIECES:
-            for w in list(islice(reversed(known), len(known) - KEPT_PIECES)):  # the newest
-                del known[w]
+        for _ in range(len(known) - KEPT_PIECES):
+            known.popitem()  # the newest
 
 
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:

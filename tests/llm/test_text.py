@@ -416,3 +416,17 @@ def test_pipeline_runs_on_the_tables(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.count() > 0 and got.where("not lossless").count() == 0
     assert set_join.WORDS == 3 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_words_encoded_together_equal_the_library():
+    """White space of all kinds at the ends of words, special tokens, and more new words than are kept or joined."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    ends, middles = ["x", "\t", " ", "\x1c", "\x85", "\u3000", "", "<|endoftext|>", "'s", "9"], [" ", "\n", "", "<|endoftext|>", "."]
+    texts = [a + b + c for a in ends for b in middles for c in ends] + [" ".join(f"w{i}q{i * i}." for i in range(3 * token_files.TOGETHER))]
+    encoder = token_files.TextEncoder(path)
+    for batch in (texts, texts[::-1], [""], []):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(batch)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in batch]
