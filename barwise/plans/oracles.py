@@ -142,7 +142,7 @@ CTES: dict[str, str] = {
         + ((symbol::BIGINT + date_diff('day', DATE '2024-01-01', timestamp::DATE)) % 5 = 0)::INT, 3) AS part FROM ev_u""",
     "seen_u": """SELECT n, symbol, max(timestamp) AS time, arg_max(regime_type, timestamp) AS regime, arg_max(confidence, timestamp) AS confidence
         FROM sent_u JOIN (VALUES (-1), (0), (1), (2), (3)) b(n) ON part <= n GROUP BY 1, 2""",
-    "clock_u": "SELECT n, max(time) - INTERVAL 1 DAY AS clock FROM seen_u GROUP BY 1",
+    "clock_u": "SELECT n, max(time) AS clock FROM seen_u GROUP BY 1",
     "live_h": """SELECT symbol, time + INTERVAL 1 HOUR AS at, i, regime, signal, confidence, atr, CASE WHEN ok THEN raw_size ELSE 0 END AS size
         FROM size_h""",
     "asked": """SELECT t.*, h.regime AS last_regime, h.at >= t.time - INTERVAL 86400 SECOND AS has_history FROM
@@ -836,9 +836,9 @@ _BODIES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
     "stream_expiring_regimes": """SELECT symbol, regime_type AS regime, timestamp AS time FROM flat_ev
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1""",
-    "stream_regime_expiry": """SELECT c.n AS batch, c.symbol, c.regime, round(c.confidence, 6) AS confidence, c.time, c.time + INTERVAL 7 DAY <= k.clock AS expired
+    "stream_regime_expiry": """SELECT c.n AS batch, c.symbol, c.regime, round(c.confidence, 6) AS confidence, c.time, c.time + INTERVAL 1 DAY <= k.clock AS expired
         FROM seen_u c JOIN clock_u k USING (n) LEFT JOIN seen_u p ON p.symbol = c.symbol AND p.n = c.n - 1 LEFT JOIN clock_u b ON b.n = c.n - 1
-        WHERE coalesce(c.time + INTERVAL 7 DAY > b.clock, TRUE) AND (p.time IS NULL OR c.time > p.time OR c.time + INTERVAL 7 DAY <= k.clock)""",
+        WHERE coalesce(c.time + INTERVAL 1 DAY > b.clock, TRUE) AND (p.time IS NULL OR c.time > p.time OR c.time + INTERVAL 1 DAY <= k.clock)""",
     "stream_ingest": """SELECT symbol, regime_type, nnfx_signal, count(*) AS n, min(time) AS first_time, max(time) AS last_time,
         round(avg(adx), 4) AS adx, round(avg(rsi), 4) AS rsi, round(avg(kama), 4) AS kama, round(avg(stoch_d), 4) AS stoch_d,
         round(avg(enhanced), 4) AS regime_confidence_enhanced FROM nnfx_f GROUP BY 1, 2, 3""",

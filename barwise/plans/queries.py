@@ -1151,14 +1151,14 @@ def stream_expiring_regimes(spark, folder):
 
 @query
 def stream_regime_expiry(spark, folder):
-    """Regimes of users with a lifetime of a week, in four batches of eight days; one row in five comes a batch late.
+    """Regimes of users with a lifetime of a day, in four batches of eight days; one row in five comes a batch late.
     What each batch changed, and what expired in it."""
     rows = d.regimes_by_user(spark, folder).withColumn("day", F.datediff("timestamp", F.lit("2024-01-01").cast("date")))
     late = F.pmod(F.col("symbol").cast("bigint") + F.col("day"), F.lit(5)) == 0
     part = F.least(F.floor(F.col("day") / 8) + late.cast("int"), F.lit(3))
     rows = materialize(rows.withColumn("part", part), "regimes-sent")
     path, out = new_path(spark, "regimes-in"), new_path(spark, "stream-expiry")
-    writer = state_streams.expiring_table(f"{out}/out", catalog.LIFETIME["extended_history"], late=86_400)
+    writer = state_streams.expiring_table(f"{out}/out", catalog.LIFETIME["long_term"])
     for n in range(4):
         rows.where(F.col("part") == n).drop("part", "day").write.mode("append").parquet(path)
         stream = tables.tick_stream(spark, path, "symbol string, timestamp timestamp, regime_type string, confidence double")
