@@ -155,18 +155,21 @@ def trade_state(trades: DataFrame, capital: float, size: int = BLOCK) -> DataFra
 
 def _position_scan() -> Scan:
     """Open/closed book of one symbol. A block is summed up for both cases of the state before it:
-    ``c_*`` when closed, ``o_*`` when open; a null ``o_at`` means the old position is still open."""
+    ``c_*`` when closed, ``o_*`` when open; a null ``o_at`` means the old position is still open.
 
-    def play(rows: pa.Table, opened: bool, pnl: float, at: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    Between two rows that differ in ``_stretch`` all positions close; ``first`` and ``last`` are those of the block."""
+
+    def play(rows: pa.Table, opened: bool, pnl: float, at: int | None, last: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per trade: open or not, pnl since it opened, opening time, and whether that is in these rows."""
-        won, reset = scans.values(rows, "pnl"), rows["_reset"].to_numpy()
+        won, reset, stretch = scans.values(rows, "pnl"), rows["_reset"].to_numpy(), rows["_stretch"].to_numpy()
         n, place = len(won), np.arange(len(won))
-        # A reset closes; a trade that is not zero leaves the position open; zeros after one of these turn it each time.
-        sure = reset | (won != 0)
-        last = np.maximum.accumulate(np.where(sure, place, -1))
-        turns = place - last
-        is_open = np.where(last >= 0, ~reset[last], opened) ^ (turns % 2 == 1)
-        begins = is_open & ~np.concatenate([[opened], is_open[:-1]])
+        cut = np.concatenate([[last is not None and stretch[0] != last], stretch[1:] != stretch[:-1]])
+        # A reset closes; a trade that is not zero, or any after a cut, leaves the position open; zeros after one of these turn it each time.
+        sure = reset | (won != 0) | cut
+        latest = np.maximum.accumulate(np.where(sure, place, -1))
+        turns = place - latest
+        is_open = np.where(latest >= 0, ~reset[latest], opened) ^ (turns % 2 == 1)
+        begins = is_open & (cut | ~np.concatenate([[opened], is_open[:-1]]))
         begun = np.maximum.accumulate(np.where(begins, place, -1))
         total = np.cumsum(won)
         since = np.where(begun >= 0, total - (total - won)[begun], total + pnl)
@@ -175,15 +178,17 @@ def _position_scan() -> Scan:
     def total(rows: pa.Table, _: dict) -> dict:
         out = {}
         for side, opened in (("c", False), ("o", True)):
-            is_open, pnl, at, known = (x[-1] for x in play(rows, opened, 0.0, None))
+            is_open, pnl, at, known = (x[-1] for x in play(rows, opened, 0.0, None, None))
             out |= {f"{side}_open": bool(is_open), f"{side}_pnl": float(pnl) if is_open else 0.0, f"{side}_at": int(at) if is_open and known else None}
-        return out
+        return out | {"first": rows["_stretch"][0].as_py(), "last": rows["_stretch"][-1].as_py()}
 
     def merge(left: dict, right: dict) -> dict:
-        out = {}
+        if left["last"] is None or right["last"] is None:
+            return right if left["last"] is None else left
+        out = {"first": left["first"], "last": right["last"]}
         for side in "co":
             opened, pnl, at = (left[f"{side}_{n}"] for n in ("open", "pnl", "at"))
-            if not opened:
+            if not opened or left["last"] != right["first"]:
                 opened, pnl, at = right["c_open"], right["c_pnl"], right["c_at"]
             elif right["o_open"] and right["o_at"] is None:
                 pnl = pnl + right["o_pnl"]
@@ -193,15 +198,15 @@ def _position_scan() -> Scan:
         return out
 
     def run(rows: pa.Table, before: dict) -> dict:
-        is_open, pnl, at, known = play(rows, before["c_open"], before["c_pnl"], before["c_at"])
+        is_open, pnl, at, known = play(rows, before["c_open"], before["c_pnl"], before["c_at"], before["last"])
         return {
             "is_open": is_open,
             "position_pnl": pa.array(pnl, mask=~is_open),
             "_opened": pa.array(at.astype(np.int64), mask=~(is_open & known)),
         }
 
-    unit = {"c_open": False, "c_pnl": 0.0, "c_at": None, "o_open": True, "o_pnl": 0.0, "o_at": None}
-    ddl = ", ".join(f"{s}_open boolean, {s}_pnl double, {s}_at bigint" for s in "co")
+    unit = {"c_open": False, "c_pnl": 0.0, "c_at": None, "o_open": True, "o_pnl": 0.0, "o_at": None, "first": None, "last": None}
+    ddl = ", ".join(f"{s}_open boolean, {s}_pnl double, {s}_at bigint" for s in "co") + ", first bigint, last bigint"
     return Scan(ddl, unit, total, merge, run, "is_open boolean, position_pnl double, _opened bigint")
 
 
@@ -209,17 +214,21 @@ def position_book(trades: DataFrame, size: int = BLOCK, keys: Sequence[str] = ("
     """Per trade the state of its symbol's position: open or not, pnl since it opened, opening time.
 
     Any trade opens a closed position, a zero closes an open one, others add to it. Rows with a true
-    ``reset`` (an emergency close) clear it. Trades without a symbol have no position.
+    ``reset`` (an emergency close) clear it; where ``emergencies`` changes between two trades, all positions closed in between. Trades
+    without a symbol have no position.
     """
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in trades.columns else F.lit(False)
+    stretch = F.col("emergencies") if "emergencies" in trades.columns else F.lit(0)
     held = trades.where(F.col("symbol").isNotNull())
     most = longest(held, keys)
     rows = block(numbered_trades(held, keys, most), size=size)
-    rows = rows.withColumns({"_at": F.unix_micros("ts"), "_reset": reset})
+    rows = rows.withColumns({"_at": F.unix_micros("ts"), "_reset": reset, "_stretch": stretch.cast("long")})
+    if most > size:  # totals and rows are read apart
+        rows = materialize(rows, "numbered-trades")
     return (
         prefix_scan(rows.drop("own"), keys, _position_scan(), most <= size)
         .withColumn("opened", F.timestamp_micros("_opened"))
-        .drop("_at", "_reset", "_opened", "block")
+        .drop("_at", "_reset", "_stretch", "_opened", "block")
     )
 
 
@@ -227,15 +236,19 @@ def emergency_book(trades: DataFrame, capital: float, size: int = BLOCK) -> Data
     """The position book where a drawdown above the hard limit closes all positions of the account.
 
     The drawdown follows from the pnl alone, so it is scanned first. ``emergencies`` counts the closes of the account before the trade: trades
-    of a symbol that differ in it are parted by a close, so each such stretch has a book of its own. A trade with ``reset`` is itself
+    of a symbol that differ in it are parted by a close, and the scan of the symbol's book begins anew there. A trade with ``reset`` is itself
     followed by a close. Columns of the trades, ``pos`` (place in the account), ``drawdown``, ``daily_pnl``, ``emergencies``,
     ``reset``, and those of the book.
     """
-    state = trade_state(trades, capital, size).withColumn("reset", F.col("drawdown") > HARD_LIMIT)
-    state = block(materialize(state, "trade-states"), size=size).drop("own").withColumn("_hit", F.col("reset").cast("long"))
+    return _book_of_states(materialize(trade_state(trades, capital, size), "trade-states"), size)
+
+
+def _book_of_states(state: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The emergency book of written trade states."""
+    hit = F.col("drawdown") > HARD_LIMIT
+    state = block(state.withColumns({"reset": hit, "_hit": hit.cast("long")}), size=size).drop("own")
     state = running(state, ["account"], "sum", "_hit", "emergencies", prior=True).drop("_hit", "block")
-    state = state.withColumnRenamed("pos", "_place")
-    book = position_book(state, size, ("account", "symbol", "emergencies"))
+    book = position_book(state.withColumnRenamed("pos", "_place"), size)
     return book.drop("pos").withColumnRenamed("_place", "pos")
 
 
@@ -304,7 +317,7 @@ def risk_report(trades: DataFrame, capital: float, retained: int | None = None,
         F.count_if(counted & (F.col("pnl") < 0)).alias("losing_trades"),
         F.collect_list(recent).alias("_r"),  # nulls are left out: at most the last trades
     )
-    book = emergency_book(trades, capital) if emergencies else position_book(state.select("account", "symbol", "ts", "id", "pnl"))
+    book = _book_of_states(state) if emergencies else position_book(state.select("account", "symbol", "ts", "id", "pnl"))
     positions = open_positions(book).groupBy("account").agg(F.count(F.lit(1)).alias("active_positions"))
     return (
         _tail_risk(sums, 0.95)

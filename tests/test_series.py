@@ -276,6 +276,21 @@ def test_emergencies_close_all_positions(spark, size):
     assert held == {(a, s) for a, b in books.items() for s in b}
 
 
+def test_closes_do_not_multiply_the_groups_of_the_book(spark, monkeypatch):
+    """Every trade closes all positions; the book is still scanned by symbol and block."""
+    rows = [("A", f"S{i % 3}", START + dt.timedelta(minutes=i), i, -500.0) for i in range(120)]
+    groups = []
+
+    def counted(df, keys, fold, one_block=False):
+        groups.append(df.select(*keys, "block").distinct().count())
+        return scan.prefix_scan(df, keys, fold, one_block)
+
+    monkeypatch.setattr(risk, "prefix_scan", counted)
+    got = risk.emergency_book(trade_frame(spark, rows), 900.0, 20).collect()
+    assert len(got) == 120 and max(r.emergencies for r in got) == 119 and not any(r.is_open for r in got)
+    assert groups == [6, 6]
+
+
 @pytest.mark.parametrize("size", [4, 65_536])
 def test_metrics_merge_over_blocks(spark, size):
     rows = random_trades(300, 31)
