@@ -168,6 +168,44 @@ def test_correlation_against_pandas(spark, sizes):
     assert factor == {"B": 0.5, "C": 1.0}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"tile": 1, "stretch": 7}])
+def test_correlation_counts_equal_series_once(spark, sizes, monkeypatch):
+    """Copies of a series are pairs like any other, but reach the tiles as one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    first, second = rng.normal(size=40), rng.normal(size=40)
+    data = {"A1": first, "A2": first, "A3": first, "B1": second, "B2": second, "C": rng.normal(size=40), "D1": np.zeros(40), "D2": np.zeros(40)}
+    rows = [(s, i, float(v)) for s, x in data.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, i bigint, ret double").withColumn("time", F.timestamp_seconds(F.col("i") * 86_400))
+    open_ = ["A1", "B1", "B2", "D1"]
+    opened = spark.createDataFrame([(s,) for s in open_], "symbol string")
+    read = []
+
+    def counted(returns, series, *rest):
+        read.append(series.count())
+        return over_tiles(returns, series, *rest)
+
+    over_tiles = risk._over_tiles
+    monkeypatch.setattr(risk, "_over_tiles", counted)
+    got = {(r.candidate, r.open_symbol): r for r in risk.correlations(df, opened, **sizes).collect()}
+    highest = {r.candidate: r.max_correlation for r in risk.highest_correlations(df, opened, **sizes).collect()}
+    assert read == [4, 4]
+    assert set(got) == {(a, b) for a in data for b in open_ if a != b} and set(highest) == set(data)
+    for a in data:
+        known = []
+        for b in open_:
+            if a == b:
+                continue
+            assert got[a, b].common_bars == 40
+            if a[0] == "D" or b[0] == "D":
+                assert got[a, b].correlation is None
+            else:
+                known.append(np.corrcoef(data[a], data[b])[0, 1])
+                assert got[a, b].correlation == pytest.approx(known[-1])
+        assert highest[a] == (pytest.approx(max(known)) if known else None)
+
+
 def test_allocation_of_the_worked_universe(spark):
     names = ["GainX 600", "PainX 400", "TrendX 600"]
     universe = spark.createDataFrame([(n, n.split(" ")[0], i) for i, n in enumerate(names)], "symbol string, family string, pos int")
