@@ -109,11 +109,11 @@ def _daily_scan() -> Scan:
     its only one."""
 
     def sums(day: np.ndarray, pnl: np.ndarray, last: int | None, tail: float) -> np.ndarray:
-        place = np.arange(len(day))
-        begins = np.concatenate([[last is None or day[0] != last], day[1:] != day[:-1]])
-        begun = np.maximum.accumulate(np.where(begins, place, -1))
-        total = np.cumsum(pnl)
-        return np.where(begun >= 0, total - (total - pnl)[begun], total + tail)
+        # Each day is summed by itself: differences of one long sum would lose digits.
+        runs = [np.cumsum(x) for x in np.split(pnl, np.flatnonzero(day[1:] != day[:-1]) + 1)]
+        if last is not None and day[0] == last:
+            runs[0] = runs[0] + tail
+        return np.concatenate(runs)
 
     def total(rows: pa.Table, _: dict) -> dict:
         day, pnl = rows["_day"].to_numpy(), scans.values(rows, "pnl")
