@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +14,7 @@ from barwise.operators import features as feature_ops
 from barwise.operators import regimes
 from barwise.operators.indicators import feature_indicators
 from barwise.operators.series import BLOCK
-from barwise.session import materialize
+from barwise.session import materialize, stored
 from barwise.sources import sinks
 from barwise.streaming.replay import BAR_COLUMNS, replayed_indicators
 
@@ -68,12 +70,12 @@ def replace_rows(keys: list[str], path: str, time: str):
     """Batch writer for update mode: changed rows replace those with the same keys, date by date."""
 
     def write(batch: DataFrame, _: int) -> None:
-        stored = sinks.read_or_none(batch.sparkSession, path)
-        if stored is None:
+        held = sinks.read_or_none(batch.sparkSession, path)
+        if held is None:
             sinks.append(batch, path, time)
             return
         changed = materialize(batch, "changed-rows")
-        old = sinks.on_dates(stored, sinks.dates_of(changed, time)).join(changed, keys, "left_anti")
+        old = sinks.on_dates(held, sinks.dates_of(changed, time)).join(changed, keys, "left_anti")
         sinks.replace_dates(materialize(old.unionByName(changed), "merged-rows"), path, time)
 
     return write
@@ -109,9 +111,14 @@ def batch_features(store: str, number: int, new: DataFrame, model: str = "compre
     return regimes.with_model(regimes.basic_features(feature_indicators(rows)), model)
 
 
-def ingest(store: str, model: str = "comprehensive", source: str = "live", size: int = BLOCK):
+#: The tables that follow from the features of a batch.
+OUTPUTS = ("regime_events", "key_values", "snapshot", "history", "package", "events")
+
+
+def ingest(store: str, model: str = "comprehensive", source: str = "live", size: int = BLOCK, outputs: Sequence[str] = OUTPUTS):
     """Batch writer of the whole path: validate, normalize, upsert, features, regime, signal, then
     regime events, key-values, snapshot, history, training package and audit. Bad bars go to quarantine.
+    ``outputs`` names the tables after the features that are wanted; bars, states and features are always kept.
 
     Every output lives under its batch number, so a repeated batch writes the same rows again. A bar that is sent
     again or comes late appears under a newer batch, with all later bars of its symbol; :func:`newest_batches` by symbol
@@ -128,17 +135,16 @@ def ingest(store: str, model: str = "comprehensive", source: str = "live", size:
         if new.isEmpty():
             return
         sinks.upsert_bars(new.withColumn("seq", F.lit(0)), f"{store}/bars", "seq")
-        rows = materialize(batch_features(store, number, new, model, size), "batch-features")
-        outputs = {
-            "features": rows,
-            "regime_events": event_ops.regime_event_rows(rows),
-            "key_values": feature_ops.key_values(rows),
-            "snapshot": feature_ops.strategy_snapshot(rows),
-            "history": feature_ops.regime_history_rows(rows),
-            "package": feature_ops.training_package(rows),
-            "events": event_ops.audit_events(rows, source),
+        rows = stored(batch_features(store, number, new, model, size), f"{store}/features/{part}")
+        built = {
+            "regime_events": lambda: event_ops.regime_event_rows(rows),
+            "key_values": lambda: feature_ops.key_values(rows),
+            "snapshot": lambda: feature_ops.strategy_snapshot(rows),
+            "history": lambda: feature_ops.regime_history_rows(rows),
+            "package": lambda: feature_ops.training_package(rows),
+            "events": lambda: event_ops.audit_events(rows, source),
         }
-        for name, out in outputs.items():
-            out.write.mode("overwrite").parquet(f"{store}/{name}/{part}")
+        for name in outputs:
+            built[name]().write.mode("overwrite").parquet(f"{store}/{name}/{part}")
 
     return write

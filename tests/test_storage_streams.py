@@ -183,6 +183,22 @@ def test_ingest_does_not_depend_on_the_cut(spark, tmp_path):
         assert rows_of[0].count() == rows_of[1].count() > 0
 
 
+def test_only_the_wanted_outputs_are_written_and_features_once(spark, tmp_path):
+    from pathlib import Path
+
+    source, store = str(tmp_path / "in"), tmp_path / "store"
+    rows = [(t, "X", o, h, lo, c, v) for t, o, h, lo, c, v in random_bars(40, 5)]
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, BARS).write.mode("append").parquet(source)
+        before = set(Path(shared_folder(spark)).glob("batch-features-*"))
+        run(tables.bar_stream(spark, source), str(tmp_path / "c"), bar_streams.ingest(str(store), size=48, outputs=("snapshot",)))
+        assert set(Path(shared_folder(spark)).glob("batch-features-*")) == before
+    assert {x.name for x in store.iterdir()} == {"bars", "quarantine", "state", "features", "snapshot"}
+    newest = bar_streams.newest_batches(spark.read.parquet(f"{store}/snapshot"), ["symbol"]).collect()
+    assert [r.timestamp for r in newest] == [rows[-1][0]]
+    assert len(current(spark, f"{store}/features")) == 40
+
+
 def test_only_touched_dates_are_read(spark, tmp_path):
     path = str(tmp_path / "bars")
     sinks.append(frame(spark, [bar(0), bar(30), bar(60)]).drop("seq"), path)
