@@ -15,15 +15,14 @@ packed differences from the minimum, most significant bit first, padded to whole
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,8 +35,10 @@ MAGIC = b"PFORIDS1"
 BLOCK, GROUP = 1024, 256
 PERCENTILE = 90
 END_ID = 0
-#: Words whose ids a worker keeps, each after a space and at the start of a line: about 100 MB.
-KEPT_PIECES = 400_000
+#: Pieces whose ids a worker keeps: some 50 bytes each.
+KEPT_PIECES = 800_000
+#: Two characters in a row that Unicode counts as white space.
+DOUBLE_SPACE = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}"
 #: New words that are encoded as one text.
 TOGETHER = 256
 _HEAD, _TAIL = "<HBBII", "<QQQQ8s"
@@ -63,12 +64,12 @@ class TextEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.double_space = re.compile(r"\s\s")
-        # Ids of words that follow a space, and of words that begin a line.
-        self.inner: dict[str, bytes] = {"": self._encode([" "])[0]}
-        self.first: dict[str, bytes] = {"": b""}
+        # Ids of pieces: of words after a space, and of line feeds with the word that begins the line.
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.feed_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.feed, self.marks = self._encode(["\n"])[0], dict(zip(".,;:!?", self._encode(list(".,;:!?")), strict=True))
+        self.feed = self._encode(["\n"])[0]
+        marks = list(".,;:!?")
+        self.marks, self.mark_ids = pa.array(["", *marks], pa.large_string()), pa.array([b"", *self._encode(marks)], pa.large_binary())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -93,45 +94,57 @@ class TextEncoder:
             out = [alone[i] if i in alone else next(rest) for i in range(len(words))]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.double_space.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        inner, first = set(), set()
-        for lines in cut:
-            for words in lines or ():
-                first.add(words[0])
-                inner.update(words[1:])
-        with self._learned(self.inner, inner, " "), self._learned(self.first, first, ""):
-            out = [b"" if lines is None else self._joined(lines) for lines in cut]
-        whole = [i for i, lines in enumerate(cut) if lines is None]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of every text; a null is an empty text.
+
+        A text is cut before every line feed and at every space. So a piece that begins with a line feed is that and the first word of a
+        line, any other is a word after a space. One more line feed is put before the text, and its id left out.
+        """
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, DOUBLE_SPACE)
+        # The empty texts in place of those that are encoded as a whole keep the places.
+        cut = pc.if_else(whole, pa.scalar("", pa.large_string()), texts)
+        marked = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(cut, "\n", " \n"), pa.scalar("", pa.large_string()))
+        lists = pc.split_pattern(marked, " ")
+        pieces = lists.flatten().dictionary_encode()
+        values = self._pieces(pieces.dictionary).take(pieces.indices)
+        # The taken values lie end to end, so they are the texts' ids already.
+        _, offsets, data = values.buffers()
+        starts = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+        ends = starts[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        data = memoryview(data) if data is not None else b""
+        out = [bytes(data[a + 4 : b]) for a, b in zip(ends, ends[1:])]
+        rest = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(rest, self._encode(texts.take(pa.array(rest, pa.int64())).to_pylist()), strict=True):
             out[i] = ids
         return out
 
-    def _joined(self, lines: list[list[str]]) -> bytes:
-        known, parts = self.inner.__getitem__, []
-        for words in lines:
-            parts.append(self.first[words[0]])
-            parts.extend(map(known, words[1:]))
-            parts.append(self.feed)
-        return b"".join(parts[:-1])
-
-    @contextmanager
-    def _learned(self, known: dict[str, bytes], words: set[str], lead: str) -> Iterator[None]:
-        """``known`` with all ``words``; afterwards it keeps new ones only as far as ``KEPT_PIECES`` allows.
-
-        A mark after a letter is a token of its own, so it is encoded apart.
-        """
-        new = words.difference(known)
-        marks = self.marks
-        ends = [w for w in new if w[-1] in marks and w[-2:-1].isalpha()]
-        plain = new.difference(ends)
-        plain.update([w[:-1] for w in ends])
-        plain = list(plain.difference(known))
-        known.update(zip(plain, self._words(plain, lead), strict=True))
-        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in ends])
-        yield
-        for _ in range(len(known) - KEPT_PIECES):
-            known.popitem()  # the newest
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of different pieces. A mark after a letter is a token of its own, so the piece before it is looked up apart."""
+        ended = pc.match_substring_regex(pieces, r"\p{L}[.,;:!?]$")
+        plain = pc.if_else(ended, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        mark = pc.index_in(pc.if_else(ended, pc.utf8_slice_codeunits(pieces, -1), pa.scalar("", pa.large_string())), self.marks)
+        ids = self._plain(plain.dictionary).take(plain.indices)
+        return pc.binary_join_element_wise(ids, self.mark_ids.take(mark), pa.scalar(b"", pa.large_binary()))
+
+    def _plain(self, pieces: pa.Array) -> pa.Array:
+        """Ids of different pieces; new ones are kept as far as ``KEPT_PIECES`` allows."""
+        place = pc.index_in(pieces, self.known)
+        missing = pc.is_null(place)
+        new = pieces.filter(missing)
+        words = np.array(new.to_pylist(), dtype=object)
+        first = np.array([w[:1] == "\n" for w in words], dtype=bool)
+        made = np.empty(len(words), dtype=object)
+        made[~first] = self._words(words[~first].tolist(), " ")
+        made[first] = [self.feed + ids for ids in self._words([w[1:] for w in words[first]], "")]
+        made = pa.array(made.tolist(), pa.large_binary())
+        n = len(self.known)
+        rank = pc.add(pc.cumulative_sum(missing.cast(pa.int64())), n - 1)
+        out = pa.concat_arrays([self.ids, made]).take(pc.if_else(missing, rank, place.cast(pa.int64())))
+        if n < KEPT_PIECES:
+            self.known = pa.concat_arrays([self.known, new.slice(0, KEPT_PIECES - n)])
+            self.ids = pa.concat_arrays([self.ids, made.slice(0, KEPT_PIECES - n)])
+        return out
 
 
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
@@ -233,8 +246,7 @@ def write(
                 continue
             encoder = encoder or per_process(("encoder", tokenizer), lambda: TextEncoder(tokenizer))
             writer = writer or _Writer(folder, TaskContext.get().partitionId())
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 writer.add(i, ids + end)
         if writer:
             row = writer.close()

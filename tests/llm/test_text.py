@@ -430,3 +430,19 @@ def test_words_encoded_together_equal_the_library():
     for batch in (texts, texts[::-1], [""], []):
         got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(batch)]
         assert got == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_pieces_are_kept_as_words_and_equal_the_tokenizer(monkeypatch):
+    """Only words without their mark are kept, up to the limit; texts equal the tokenizer's own ids, null ones are empty."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["ab cd, cd. ef", None, "", "\n", " x", "x ", "a\nb!\nc", "a\n\nb  c", "é, ü. 9, ,.", "a b c", "x  y", "a\tb\n c", "  \n", "\x85a \x1cb"] * 2
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 6)
+    encoder = token_files.TextEncoder(path)
+    for part in (texts[:3], texts):
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(part))] == want
+    assert len(encoder.known) == 6 and set(encoder.known.to_pylist()[:4]) == {"\nab", "cd", "ef", "\n"}
