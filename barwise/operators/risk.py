@@ -139,18 +139,22 @@ def trade_state(trades: DataFrame, capital: float, size: int = BLOCK) -> DataFra
     """Drawdown after each trade of an account, and its pnl of the day so far.
 
     A loss adds its share of the capital, a gain takes a tenth of its share off, within [0, 1].
-    The daily sum restarts at the first trade of a day.
+    The daily sum restarts at the first trade of a day. Where ``shift`` is given and not null, it takes the place of the trade's own effect on the
+    drawdown.
     """
     share = F.abs(F.col("pnl")) / capital
+    shift = F.when(F.col("pnl") < 0, share).otherwise(-share * RECOVERY)
+    if "shift" in trades.columns:
+        shift = F.coalesce("shift", shift)
     most = longest(trades, ["account"])
     rows = block(numbered_trades(trades, most=most), size=size).drop("own")
     rows = rows.withColumns(
-        {"_shift": F.when(F.col("pnl") < 0, share).otherwise(-share * RECOVERY), "_day": F.unix_date(F.to_date("ts")).cast("long")}
+        {"_shift": shift, "_day": F.unix_date(F.to_date("ts")).cast("long")}
     )
     if most > size:  # totals and rows are read apart
         rows = materialize(rows, "numbered-trades")
     both = _together(scans.clamp("_shift", "drawdown"), _daily_scan())
-    return prefix_scan(rows, ["account"], both, most <= size).drop("_shift", "_day", "block")
+    return prefix_scan(rows, ["account"], both, most <= size).drop("shift", "_shift", "_day", "block")
 
 
 def _position_scan() -> Scan:

@@ -127,15 +127,13 @@ def rolling_risk(folder: str, capital: float, size: int = BLOCK):
         rows = materialize(batch.select(*TRADE), "trades")
         accounts, recent, positions = (earlier(spark, name, n) for name in ("accounts", "recent", "positions"))
         before = F.lit(None).cast("string").alias("symbol"), F.lit(-1).cast("bigint").alias("id")
-        start = None if accounts is None else accounts.select(
-            "account", before[0], F.lit("1970-01-01").cast("timestamp").alias("ts"), before[1], (-F.col("drawdown") * capital).alias("pnl")
-        )
-        today = None if accounts is None else accounts.select(
-            "account", before[0], F.date_trunc("day", "ts").alias("ts"), before[1], F.col("daily_pnl").alias("pnl")
-        )
+        # One row with the drawdown before all trades, one with the pnl of the last day at its begin; neither changes the other value.
+        ahead = None if accounts is None else accounts.select("account", before[0], before[1], F.explode(F.array(
+            F.struct(F.lit("1970-01-01").cast("timestamp").alias("ts"), F.lit(0.0).alias("pnl"), F.col("drawdown").alias("shift")),
+            F.struct(F.date_trunc("day", "ts").alias("ts"), F.col("daily_pnl").alias("pnl"), F.lit(0.0).alias("shift")),
+        )).alias("_a")).select("account", "symbol", "id", "_a.*")
         key = ["account", "id"]
-        state = risk.trade_state(led_by(rows, start), capital, size=size).where("not _carried")
-        daily = risk.trade_state(led_by(rows, today), capital, size=size).where("not _carried")
+        state = risk.trade_state(led_by(rows.withColumn("shift", F.lit(None).cast("double")), ahead), capital, size=size).where("not _carried")
         var = risk.rolling_var(led_by(rows, recent), capital).where("not _carried")
         book = materialize(risk.position_book(led_by(rows, positions), size=size), "positions")
         moves = block(book.select("account", "symbol", "ts", "id", "pos", "is_open"), back=1, size=size)
@@ -145,8 +143,7 @@ def rolling_risk(folder: str, capital: float, size: int = BLOCK):
         moves = block(number(moves.unionByName(idle), ["account"], ["ts", "id"]), size=size).drop("own")
         active = running(moves, ["account"], "sum", "_move", "active_positions")
         out = (
-            state.select(*key, "ts", "drawdown")
-            .join(daily.select(*key, "daily_pnl"), key)
+            state.select(*key, "ts", "drawdown", "daily_pnl")
             .join(var.select(*key, "var"), key)
             .join(active.select(*key, F.col("active_positions").cast("int").alias("active_positions")), key)
         )

@@ -378,3 +378,12 @@ def test_asof_equals_brute_force(spark, rows, tolerance):
     for k, s, i in left:
         fits = [v for kk, v in right if kk == k and s - tolerance <= v <= s]
         assert got[i] == (max(fits) if fits else None)
+
+
+def test_given_shifts_lead_to_a_drawdown_without_changing_the_day(spark):
+    """A row with the drawdown and one with the pnl of the day, put before a trade, carry both states in one scan."""
+    day = dt.datetime(2024, 1, 2)
+    rows = [("A", None, dt.datetime(1970, 1, 1), -1, 0.0, 0.3), ("A", None, day, -1, 250.0, 0.0), ("A", "x", day + dt.timedelta(hours=1), 1, -100.0, None)]
+    trades = spark.createDataFrame(rows, "account string, symbol string, ts timestamp, id long, pnl double, shift double")
+    last = risk.trade_state(trades, 1000.0).where("id = 1").first()
+    assert (last.drawdown, last.daily_pnl) == (pytest.approx(0.4), 150.0)
