@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwise.llm import links
 from barwise.llm.common import lower_ascii, unused
 from barwise.session import materialize
 
@@ -83,11 +84,13 @@ def dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id", text:
     """
     decided = groups(docs, keep, doc_id, text)
     own, sha, stays, n, row = unused(docs, "own_id", "own_sha", "stays", "copies", "whole_row")
-    by_row = decided.groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha))
+    by_row = decided.groupBy(F.col("doc_id").alias(own), F.unhex("text_sha256").alias(sha))
     by_row = by_row.agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias(n)).where(~F.col(stays) | (F.col(n) > 1))
     by_row = materialize(by_row, "dropped-rows")
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(own)) & (F.sha2(F.encode(normalised(text), "UTF-8"), 256) == F.col(sha))
-    single = docs.join(by_row, same, "left_anti")
-    several = docs.join(by_row.where(F.col(stays)), same)
+    # Few rows go, so texts stay where they are: a shuffle of them would also lie on disk for as long as the result is in use.
+    text_sha = F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(own)) & (text_sha == F.col(sha))
+    single = docs.join(links.broadcast_small(by_row.select(own, sha)), same, "left_anti")
+    several = docs.join(links.broadcast_small(by_row.where(F.col(stays))), same)
     one = several.groupBy(own, sha).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
     return single.unionByName(one.select(f"{row}.*"))

@@ -5,7 +5,8 @@ pair shares some bucket. What matters is which nodes end up connected. So each r
 bucket with one pivot only and leaves buckets alone whose members are already connected; a group of thousands
 of near copies is connected by about one comparison per member. What the rounds leave open is compared in full:
 pairs of one bucket in different components, so no link between components is lost. Every row of a bucket carries the size and a
-parity map of its set, which reject nearly all pairs that are no link exactly, before a pair is made or a set is moved.
+parity map of its set, which reject pairs that are no link exactly, before a pair is made. A short map says little about a large set, so the pairs
+made can be tried on maps as long as the sets are large (``wide``); sets are read and moved only for what is left.
 
 How many similar partners a node has is counted afterwards (``degrees``). All of them lie in its component, so the
 members of a component are compared all with all, in chunks; only counts per node and chunk leave a task.
@@ -15,6 +16,8 @@ Tables between rounds are written to the shared folder. Nothing but counts reach
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,6 +84,17 @@ def parities(tokens: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * PARITY, pa.array(maps.reshape(-1)))
 
 
+def wide_parities(sets: list[np.ndarray]) -> pa.ListArray:
+    """Parity maps with a bit per element or up to twice that, of 2**k longs. Half a map, turned by the other half, is the map of half the length."""
+    maps = []
+    for tokens in sets:
+        longs = max(PARITY, 1 << (max(len(tokens), 1) - 1 >> 6).bit_length())
+        place = (tokens.astype(np.uint64) >> np.uint64(8) & np.uint64(64 * longs - 1)).astype(np.int64)
+        maps.append(np.packbits((np.bincount(place, minlength=64 * longs) & 1).astype(np.uint8), bitorder="little").view("<i8"))
+    stops = np.cumsum([0, *map(len, maps)]).astype(np.int32)
+    return pa.ListArray.from_arrays(stops, pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
+
+
 def may_link(percent: int) -> Column:
     """Whether sets of sizes ``n``, ``n2`` with ``parity``, ``parity2`` can reach the threshold: they share at most half of what remains of
     both sizes without the differing bits."""
@@ -89,6 +103,25 @@ def may_link(percent: int) -> Column:
     return (100 + percent) * (total - bits) >= 2 * percent * total
 
 
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that can be links by their wide maps. ``sets``: node, n, wide. Maps of lengths further apart than twice reject nothing."""
+    met = pairs.join(sets.select(F.col("node").alias("a"), "n", "wide"), "a")
+    met = met.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("wide2")), "b")
+
+    def halved(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    def differing(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, k: s + k)
+
+    x, y = F.col("wide"), F.col("wide2")
+    bits = F.when(F.size(x) == F.size(y), differing(x, y)).when(F.size(x) == 2 * F.size(y), differing(halved(x), y))
+    bits = bits.when(2 * F.size(x) == F.size(y), differing(x, halved(y))).otherwise(0)
+    total = F.col("n") + F.col("n2")
+    return met.where((100 + percent) * (total - bits) >= 2 * percent * total).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= percent * union. ``sets``: node, tokens."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -99,15 +132,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b").distinct()
 
 
-def link(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def link(
+    buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS, fetch: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``buckets`` (key, node, n: size of the set, few: smaller is a better pivot) to (edges, components). ``sets``: node, tokens, parity.
 
+    With ``fetch`` the sets have ``n, wide`` (see ``wide_parities``) in place of their tokens; it is given a written table of nodes and returns
+    ``node, tokens`` of these as a written table, which is deleted after the round.
+
     Give the buckets as a written table without those of one node; every round reads it.
 
     The edges connect exactly what all similar pairs of the buckets connect; they are not all such pairs.
     """
     maps = sets.select("node", "parity").dropDuplicates(["node"])
     keys = materialize(buckets.join(maps, "node"), "bucket-maps")
+    wide = sets.select("node", "n", "wide").dropDuplicates(["node"]) if fetch else None
     spark = buckets.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")
@@ -135,7 +174,15 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS
         met = met.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).where(may_link(percent))
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
-        found = materialize(verified(pairs, sets, percent), "linked-pairs")
+        if fetch:
+            close = materialize(near(pairs, wide, percent), "close-pairs")
+            nodes = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "close-nodes")
+            # Sets are read only where a pair is left.
+            held = None if nodes.isEmpty() else fetch(nodes)
+            found = materialize(verified(close, held, percent), "linked-pairs") if held else close
+            discard(held)
+        else:
+            found = materialize(verified(pairs, sets, percent), "linked-pairs")
         some = not found.isEmpty()
         if some:
             edges = edges.unionByName(found)

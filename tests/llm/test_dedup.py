@@ -227,3 +227,47 @@ def test_paragraph_repeats(spark):
 def test_every_dealt_query_is_registered():
     names = entry.queries()
     assert all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)) and "pipeline" in names
+
+
+def test_wide_maps_lose_no_link_and_reject_large_sets():
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 64, 256, 257, 5000)]
+    assert [len(m) for m in links.wide_parities(sets).to_pylist()] == [4, 4, 4, 8, 128]
+    halves = np.array(links.wide_parities([sets[4]])[0].as_py()).reshape(2, -1)
+    place = (sets[4] >> np.uint64(8) & np.uint64(64 * 64 - 1)).astype(int)
+    bits = np.unpackbits((halves[0] ^ halves[1]).view(np.uint8), bitorder="little")
+    assert (bits == np.bincount(place, minlength=64 * 64) % 2).all()
+
+
+def test_near_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 1100, dtype=np.uint64)
+    # 0 to 3 are links of each other at .8, with maps of two lengths; 4 and 5 share a tenth with them.
+    sets = [base[:1000], base[:1030], base[20:1040], base[:1020]] + [np.concatenate([base[:100], rng.integers(0, 1 << 63, 950, dtype=np.uint64)]) for _ in range(2)]
+    rows = [(i, len(s), m) for i, (s, m) in enumerate(zip(sets, links.wide_parities(sets).to_pylist(), strict=True))]
+    maps = spark.createDataFrame(rows, "node long, n int, wide array<long>")
+    pairs = spark.createDataFrame([(a, b) for b in range(6) for a in range(b)], "a long, b long")
+    got = {(r.a, r.b) for r in links.near(pairs, maps, 80).collect()}
+    assert {len(m) for _, _, m in rows} == {16, 32}
+    assert got == {(a, b) for b in range(4) for a in range(b)}
+
+
+def test_large_sets_that_share_a_passage_are_not_read_as_a_whole(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = sentence(rng, 40)
+    data = [(k, f"{passage} " + " ".join(f"a{k}b{i}" for i in range(1500)), "en", "s") for k in range(4)]
+    read, whole = [], set_join._whole
+    monkeypatch.setattr(set_join, "boundary", lambda costs, percent: 0)
+    monkeypatch.setattr(set_join, "_whole", lambda *a: read.append(out := whole(*a)) or out)
+    docs = documents(spark, data)
+    assert {r.component_id for r in set_join.join(docs, percent=80, count_links=False).collect()} == {0, 1, 2, 3}
+    assert not any("tokens" in t.columns for t in read)
+
+
+def test_dedups_shuffle_no_texts(spark):
+    from barwise.session import setting
+
+    docs = documents(spark, rows())
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        for out in (exact_dedup.dedup(docs), set_join.dedup(docs)):
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
