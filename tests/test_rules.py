@@ -206,6 +206,53 @@ def test_correlation_counts_equal_series_once(spark, sizes, monkeypatch):
         assert highest[a] == (pytest.approx(max(known)) if known else None)
 
 
+def _series_of_unequal_length(spark):
+    """Returns of series with 2 to 120 times each, equal ones among them, and their open symbols."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    data = {}
+    for i, n in enumerate([2, 5, 9, 30, 45, 90, 120]):
+        data[f"S{i}"] = dict(zip(sorted(rng.choice(120, n, replace=False).tolist()), rng.normal(size=n).tolist(), strict=True))
+    data |= {f"E{i}": data["S3"] for i in range(5)} | {"L": data["S5"]}
+    df = spark.createDataFrame([(s, i, v) for s, x in data.items() for i, v in x.items()], "symbol string, i bigint, ret double")
+    return data, df.withColumn("time", F.timestamp_seconds(F.col("i") * 86_400)), ["S0", "S3", "S5", "S6", "E0", "E1", "E2", "E3"]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"tile": 2, "stretch": 20}, {"tile": 1, "stretch": 7}])
+def test_correlation_of_series_in_pieces(spark, sizes, monkeypatch):
+    """Series longer and shorter than a piece meet, and so do columns that share a series."""
+    import numpy as np
+
+    monkeypatch.setattr(risk, "MEMBERS", 2)
+    monkeypatch.setattr(risk, "SPREAD", 5)
+    data, df, open_ = _series_of_unequal_length(spark)
+    opened = spark.createDataFrame([(s,) for s in open_], "symbol string")
+    rows = risk.correlations(df, opened, **sizes).collect()
+    got = {(r.candidate, r.open_symbol): r for r in rows}
+    highest = {r.candidate: r.max_correlation for r in risk.highest_correlations(df, opened, **sizes).collect()}
+    common = {(a, b): sorted(data[a].keys() & data[b].keys()) for a in data for b in open_ if a != b}
+    assert len(rows) == len(got) and set(got) == {k for k, at in common.items() if at} and set(highest) == {a for a, _ in got}
+    for (a, b), r in got.items():
+        at = common[a, b]
+        assert r.common_bars == len(at)
+        if len(at) > 1:
+            assert r.correlation == pytest.approx(np.corrcoef([data[a][t] for t in at], [data[b][t] for t in at])[0, 1])
+        else:
+            assert r.correlation is None
+    for a, value in highest.items():
+        known = [r.correlation for (c, _), r in got.items() if c == a and r.correlation is not None]
+        assert value == (pytest.approx(max(known)) if known else None)
+
+
+def test_correlation_copies_no_returns_per_tile(spark):
+    """Neither the returns nor the pairs are shuffled once per partner: tiles meet as a product, and pairs are the last step."""
+    _, df, open_ = _series_of_unequal_length(spark)
+    pairs = risk.correlations(df, spark.createDataFrame([(s,) for s in open_], "symbol string"), tile=2)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_allocation_of_the_worked_universe(spark):
     names = ["GainX 600", "PainX 400", "TrendX 600"]
     universe = spark.createDataFrame([(n, n.split(" ")[0], i) for i, n in enumerate(names)], "symbol string, family string, pos int")
