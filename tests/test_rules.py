@@ -253,6 +253,13 @@ def test_correlation_copies_no_returns_per_tile(spark):
     assert "hashpartitioning" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
 
 
+def test_highest_correlation_copies_no_returns_per_tile(spark):
+    _, df, open_ = _series_of_unequal_length(spark)
+    found = risk.highest_correlations(df, spark.createDataFrame([(s,) for s in open_], "symbol string"), tile=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan and "hashpartitioning(left" not in plan
+
+
 def test_allocation_of_the_worked_universe(spark):
     names = ["GainX 600", "PainX 400", "TrendX 600"]
     universe = spark.createDataFrame([(n, n.split(" ")[0], i) for i, n in enumerate(names)], "symbol string, family string, pos int")
