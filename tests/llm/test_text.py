@@ -240,6 +240,47 @@ def test_model_beats_base_on_held_out(spark):
     assert got[0] > 0.95 * got[1]
 
 
+def test_rare_words_are_predicted_from_rare_words(spark):
+    """All words share a class, so only the word before tells which one follows."""
+    learned = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1][:240]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    data = [(i, f"left{k % 40} right{k % 40}") for k, i in enumerate(learned)]
+    data += list(zip(held, ["left3 right3", "left3 right7", "left3 never"], strict=True))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for sizes in ({}, {"lookup": 5, "pair_lookup": 5}):
+        got = {r.doc_id: r for r in pitman_yor.score(docs, share=0.5, **sizes).where("held_out").collect()}
+        with_it, apart, never = (got[i] for i in held)
+        assert with_it.score > apart.score + 0.7 and math.isclose(with_it.base_score, apart.base_score)
+        assert with_it.score > never.score + 0.7
+
+
+def test_every_word_has_a_context(spark, monkeypatch):
+    """Words after any word that occurs, with the way to the classes, sum to one; customers are all tokens."""
+    seen = []
+
+    def gains(follows, words, model, discount, held):
+        seen.append((follows.toPandas(), words.toPandas(), discount))
+        return made(follows, words, model, discount, held)
+
+    made = pitman_yor._gains
+    monkeypatch.setattr(pitman_yor, "_gains", gains)
+    data = [(i, t) for i, t, *_ in mixed_rows(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    plain = {(r.doc_id, r.n_tokens): r.score for r in pitman_yor.score(docs, share=0.01).collect()}
+    joined = {(r.doc_id, r.n_tokens): r.score for r in pitman_yor.score(docs.repartition(4), share=0.01, lookup=5, pair_lookup=5).collect()}
+    assert plain.keys() == joined.keys() and all(math.isclose(plain[k], joined[k], abs_tol=1e-3) for k in plain)
+    follows, values, discount = seen[0]
+    learned = [[None, *words(t), None] for i, t in data if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = Counter(p for ws in learned for p in zip(ws, ws[1:], strict=False))
+    assert sorted(follows["c"]) == sorted(pairs.values())
+    assert (follows["kept"] >= 1).all() and (follows["kept"] <= follows["c"]).all()
+    tops = (follows["c"] - discount * follows["kept"]).groupby(follows["u"]).sum()
+    values = values.set_index("hash")
+    assert set(tops.index) == set(values.index)
+    total = tops / (pitman_yor.THETA + values["c"]) + 10 ** values["escape"]
+    assert np.allclose(total, 1)
+
+
 def test_predictions_sum_to_one(spark):
     """All classes after any class, and all words of a class with the unseen one."""
     docs = documents(spark, mixed_rows(200)).select("doc_id", "text")
