@@ -245,6 +245,13 @@ def test_correlation_of_series_in_pieces(spark, sizes, monkeypatch):
         assert value == (pytest.approx(max(known)) if known else None)
 
 
+def test_correlation_of_nothing(spark):
+    _, df, open_ = _series_of_unequal_length(spark)
+    opened = spark.createDataFrame([(s,) for s in open_], "symbol string")
+    for returns, held in ((df.where("false"), opened), (df, opened.where("false"))):
+        assert risk.correlations(returns, held).count() == risk.highest_correlations(returns, held).count() == 0
+
+
 def test_correlation_copies_no_returns_per_tile(spark):
     """Neither the returns nor the pairs are shuffled once per partner: tiles meet as a product, and pairs are the last step."""
     _, df, open_ = _series_of_unequal_length(spark)
